@@ -1,0 +1,34 @@
+"""Random draws that depend only on (seed, salt, row id), never on the partitioning."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, functions as F
+
+_RANGE = float(2**52)
+
+
+def uniform(seed: int, salt: str, row_id: Column) -> Column:
+    """Number in [0, 1) taken from 52 bits of a digest, so any SQL engine can repeat it."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:{salt}:"), row_id.cast("string")))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / _RANGE
+
+
+def draw_int(u: Column, low: int | Column, high: int | Column) -> Column:
+    """Whole number between the bounds, both included."""
+    low = low if isinstance(low, Column) else F.lit(low)
+    high = high if isinstance(high, Column) else F.lit(high)
+    return (low + F.floor(u * (high - low + 1))).cast("int")
+
+
+def choice(u: Column, values: list) -> Column:
+    index = F.floor(u * len(values)).cast("int")
+    return F.array(*[F.lit(v) for v in values])[index]
+
+
+def weighted_choice(u: Column, values: list, weights: list[float]) -> Column:
+    total, bound, picked = sum(weights), 0.0, None
+    for value, weight in zip(values[:-1], weights[:-1]):
+        bound += weight
+        test = u < round(bound / total, 12)
+        picked = F.when(test, value) if picked is None else picked.when(test, value)
+    return F.lit(values[-1]) if picked is None else picked.otherwise(values[-1])
