@@ -43,5 +43,5 @@ def in_networks(ip: Column, cidrs: list[str]) -> Column:
 
 def network_start(value: Column, prefix: Column) -> Column:
     """First address number of the network of the given prefix length that holds the value."""
-    size = F.expr("1L") * F.pow(F.lit(2.0), F.lit(32) - prefix).cast("bigint")
+    size = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(32) - prefix)
     return value - F.pmod(value, size)

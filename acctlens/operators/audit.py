@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from acctlens.functions import network as net
-from acctlens.operators.joins import lookup_join
+from acctlens.operators.joins import key_counts, lookup_join
 
 # (column, text) pairs that mark a serving event; the match is case-sensitive (fixed values).
 SERVING_PATTERNS = [
@@ -71,23 +71,26 @@ def subnet_rollup(df: DataFrame, ip_col: str, prefixes: tuple[int, ...] = (24, 1
 def cidr_match(df: DataFrame, ip_col: str, networks: DataFrame) -> DataFrame:
     """Adds ``in_allowed``: the address lies in any network of ``networks`` (column cidr).
 
-    Each distinct address is expanded to its 33 possible network starts and equi-joined on
-    (prefix length, start): no range join, and the work does not depend on the list's length.
-    For a short configured list use :func:`acctlens.functions.network.in_networks` instead.
+    Each distinct address is expanded to one network start per prefix length in use, at most 33,
+    and equi-joined on (prefix length, start): no range join, and the work does not depend on the
+    list's length. For a short configured list use
+    :func:`acctlens.functions.network.in_networks` instead.
     """
     prefix = F.substring_index("cidr", "/", -1).try_cast("int")
     nets = networks.select(
         prefix.alias("_prefix"),
         net.network_start(net.ip_to_long(F.substring_index("cidr", "/", 1)), prefix).alias("_start"),
     ).where("_start IS NOT NULL AND _prefix BETWEEN 0 AND 32").distinct()
-    value = net.ip_to_long(F.col(ip_col))
-    candidates = (
-        df.select(ip_col).distinct().where(value.isNotNull())
-        .select(ip_col, value.alias("_ip"), F.explode(F.sequence(F.lit(0), F.lit(32))).alias("_prefix"))
-        .withColumn("_start", net.network_start(F.col("_ip"), F.col("_prefix")))
+    lengths = nets.agg(F.collect_set("_prefix")).scalar()
+    rows = df.withColumn("_ip", net.ip_to_long(F.col(ip_col)))
+    counts = key_counts(rows, "_ip")
+    candidates = counts.select("_ip", F.explode(lengths).alias("_prefix")).withColumn(
+        "_start", net.network_start(F.col("_ip"), F.col("_prefix"))
     )
-    hits = candidates.join(nets, ["_prefix", "_start"]).select(ip_col).distinct()
-    flagged = lookup_join(df, hits.withColumn("in_allowed", F.lit(True)), ip_col)
+    hits = candidates.join(nets, ["_prefix", "_start"]).groupBy("_ip").agg(
+        F.lit(True).alias("in_allowed")
+    )
+    flagged = lookup_join(rows, hits, "_ip", counts=counts).drop("_ip")
     return flagged.withColumn("in_allowed", F.coalesce("in_allowed", F.lit(False)))
 
 

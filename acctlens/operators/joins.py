@@ -37,9 +37,10 @@ def lookup_join(
     """
     counts = key_counts(fact, key) if counts is None else counts
     values = [c for c in dim.columns if c != key]
-    hot_dim = dim.join(F.broadcast(hot_keys(counts, key, share=share).withColumnRenamed(key, "_h")),
-                       _same(F.col(key), F.col("_h"), null_safe), "left_semi")
-    hot_dim = hot_dim.select(
+    hot = hot_keys(counts, key, share=share).withColumnRenamed(key, "_h")
+    # An inner join on unique keys, not a semi join: that one would be pushed into the dimension's
+    # own plan and keep its two uses from sharing their shuffles.
+    hot_dim = dim.join(F.broadcast(hot), _same(F.col(key), F.col("_h"), null_safe)).select(
         F.col(key).alias("_hot_key"), F.lit(True).alias("_hot"),
         *[F.col(c).alias(f"_hot_{i}") for i, c in enumerate(values)],
     )

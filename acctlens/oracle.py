@@ -102,7 +102,7 @@ _CTE: dict[str, str] = {
                coalesce(cs.high_priority_open_cases, 0) AS high_priority_open_cases,
                coalesce(ord.total_orders, 0) AS total_orders,
                coalesce(ord.total_order_value, 0) AS total_order_value,
-               round(ord.avg_line_value, 0) AS avg_line_value,
+               CAST(CAST(ord.avg_line_value AS FLOAT) AS DOUBLE) AS avg_line_value,
                coalesce(bo.backorder_line_count, 0) AS backorder_line_count,
                coalesce(bo.total_backorder_qty, 0) AS total_backorder_qty,
                coalesce(bo.pct_qty_backordered, 0) AS pct_qty_backordered,
@@ -366,10 +366,11 @@ def _synth() -> dict[str, str]:
     }
 
     def child(name: str, salt: str, source: str, key: str) -> None:
+        ctes[f"{name}_drawn"] = f"""
+            SELECT {key} AS i, low + CAST(floor({_u(salt, key)} * (high - low + 1)) AS BIGINT) AS ck
+            FROM {source}, (SELECT min(c_custkey) AS low, max(c_custkey) AS high FROM customer)"""
         ctes[name] = f"""
-            SELECT {key} AS i, a.* FROM {source} JOIN synth_accounts a ON a.customer_shipto_key =
-                (SELECT min(c_custkey) FROM customer) + CAST(floor({_u(salt, key)} *
-                ((SELECT max(c_custkey) - min(c_custkey) FROM customer) + 1)) AS BIGINT)"""
+            SELECT i, a.* FROM {name}_drawn JOIN synth_accounts a ON a.customer_shipto_key = ck"""
 
     child("opp_rows", "opp-account", "orders", "o_orderkey")
     child("con_rows", "con-account", "events", "event_id")

@@ -111,10 +111,13 @@ def account_risk_summary(scored: DataFrame) -> DataFrame:
 
 
 def rule_score_column() -> Column:
-    """Composite score computed from feature columns."""
+    """Composite score computed from feature columns; counts go back to exact numbers first."""
+    def exact(name: str) -> Column:
+        return F.col(name).cast("decimal(18,6)")
+
     return risk.risk_score_raw(
-        F.col("days_since_last_activity"), F.col("escalated_case_count"),
-        F.col("pct_qty_backordered"), F.col("high_priority_open_cases"),
+        exact("days_since_last_activity"), exact("escalated_case_count"),
+        F.col("pct_qty_backordered"), exact("high_priority_open_cases"),
     )
 
 
