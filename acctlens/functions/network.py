@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 import ipaddress
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
-_IPV4 = r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"
+_OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_IPV4 = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
 
 
 def ip_to_long(ip: Column) -> Column:
     """Number of a dotted address; NULL for anything else."""
-    parts = F.split(ip, r"\.")
-    octets = [parts.getItem(i).try_cast("bigint") for i in range(4)]
-    valid = ip.rlike(_IPV4)
-    for octet in octets:
-        valid = valid & (octet <= 255)
-    value = octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3]
-    return F.when(valid, value)
+    number = F.aggregate(
+        F.split(ip, r"\."), F.lit(0).cast("bigint"), lambda acc, part: acc * 256 + part.try_cast("bigint")
+    )
+    return F.when(ip.rlike(_IPV4), number)
 
 
 def subnet(ip: Column, prefix: int) -> Column:
@@ -32,13 +32,17 @@ def is_private(ip: Column) -> Column:
 
 
 def in_networks(ip: Column, cidrs: list[str]) -> Column:
-    """Membership in any of a configured list of networks, as plain range tests without a join."""
-    value = ip_to_long(ip)
-    hit = F.lit(False)
-    for cidr in cidrs:
-        net = ipaddress.ip_network(cidr)
-        hit = hit | value.between(int(net.network_address), int(net.broadcast_address))
-    return F.coalesce(hit, F.lit(False))
+    """Membership in any of a configured list of networks, as plain range tests without a join.
+
+    The one-element array holds the address number, so it is worked out once per row.
+    """
+    nets = [ipaddress.ip_network(cidr) for cidr in cidrs]
+
+    def test(value: Column) -> Column:
+        ranges = [value.between(int(n.network_address), int(n.broadcast_address)) for n in nets]
+        return reduce(or_, ranges, F.lit(False))
+
+    return F.coalesce(F.exists(F.array(ip_to_long(ip)), test), F.lit(False))
 
 
 def network_start(value: Column, prefix: Column) -> Column:

@@ -83,12 +83,13 @@ def cidr_match(df: DataFrame, ip_col: str, networks: DataFrame) -> DataFrame:
     ).where("_start IS NOT NULL AND _prefix BETWEEN 0 AND 32").distinct()
     lengths = nets.agg(F.collect_set("_prefix")).scalar()
     rows = df.withColumn("_ip", net.ip_to_long(F.col(ip_col)))
-    counts = key_counts(rows, "_ip")
-    candidates = counts.select("_ip", F.explode(lengths).alias("_prefix")).withColumn(
+    counts = key_counts(rows, "_ip").where("_ip IS NOT NULL")
+    candidates = counts.select("_ip", "_n", F.explode(lengths).alias("_prefix")).withColumn(
         "_start", net.network_start(F.col("_ip"), F.col("_prefix"))
     )
+    # Reading the count here keeps this use of the counts equal to the join's, so they are made once.
     hits = candidates.join(nets, ["_prefix", "_start"]).groupBy("_ip").agg(
-        F.lit(True).alias("in_allowed")
+        (F.max("_n") > 0).alias("in_allowed")
     )
     flagged = lookup_join(rows, hits, "_ip", counts=counts).drop("_ip")
     return flagged.withColumn("in_allowed", F.coalesce("in_allowed", F.lit(False)))

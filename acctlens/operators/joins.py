@@ -36,6 +36,9 @@ def lookup_join(
     ``counts`` (key, _n) saves the counting pass where the caller already has it.
     """
     counts = key_counts(fact, key) if counts is None else counts
+    if not null_safe:
+        # Said here, the filter is the same in every use of the counts, and so they are made once.
+        counts = counts.where(F.col(key).isNotNull())
     values = [c for c in dim.columns if c != key]
     hot = hot_keys(counts, key, share=share).withColumnRenamed(key, "_h")
     # An inner join on unique keys, not a semi join: that one would be pushed into the dimension's

@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from acctlens.sources.tables import literal_column
+
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     """Keys that occur more than once; empty when the one-row-per-key promise holds."""
@@ -31,10 +33,9 @@ def length_violations(df: DataFrame, limits: dict[str, int], key: str) -> DataFr
 
 def missing_fields(needed: list[str], df: DataFrame) -> DataFrame:
     """Needed field names the table does not have (schema only, no data read)."""
-    names = [c.lower() for c in df.columns]
     spark = df.sparkSession
-    want = spark.createDataFrame([(n,) for n in needed], "field string")
-    have = spark.createDataFrame([(n,) for n in names], "name string")
+    want = literal_column(spark, "field", needed)
+    have = literal_column(spark, "name", [c.lower() for c in df.columns])
     return want.join(have, F.lower("field") == F.col("name"), "left_anti")
 
 

@@ -18,7 +18,7 @@ from acctlens.plans import briefing as br, customer_load as load, gold as g, ins
 from acctlens.schemas import FEATURES
 from acctlens.sources import bench_tables as bt, logs, outbound, synth
 from acctlens.sources.bench_tables import BenchTables
-from acctlens.sources.tables import settle, settle_folder
+from acctlens.sources.tables import literal_column, settle, settle_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -563,7 +563,7 @@ def audit_triage(b: BenchTables) -> DataFrame:
 @query
 def cidr_match(b: BenchTables) -> DataFrame:
     """Each event's address against the allowed networks: as a table and as a plain expression."""
-    networks = b.spark.createDataFrame([(c,) for c in ALLOWED], "cidr string")
+    networks = literal_column(b.spark, "cidr", ALLOWED)
     log = b.audit_log().select("event_id", "source_ip_address")
     listed = net.in_networks(F.col("source_ip_address"), ALLOWED).alias("in_list")
     return audit.cidr_match(log, "source_ip_address", networks).select("*", listed)

@@ -24,9 +24,13 @@ AUDIT_HOURS = 72
 class BenchTables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.cat = spark, Catalog(directory=sf_dir, suffix=".parquet")
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.cat, name)
+        """A test table; its schema is read once per instance."""
+        if name not in self._raw:
+            self._raw[name] = read_table(self.spark, self.cat, name)
+        return self._raw[name]
 
     def crm_accounts(self) -> DataFrame:
         """Accounts before the load: own id and order-side key."""

@@ -36,6 +36,11 @@ def make_table(spark: SparkSession, rows: list, schema: str | T.StructType) -> D
     return spark.createDataFrame(rows, schema=schema)
 
 
+def literal_column(spark: SparkSession, name: str, values: list) -> DataFrame:
+    """A one-column table of configured values, made without Python workers."""
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, values))).alias(name))
+
+
 def conform(df: DataFrame, schema: str) -> DataFrame:
     """The schema's columns in its order and types; extra columns drop out."""
     fields = parsed(schema).fields

@@ -41,7 +41,7 @@ class Mirror:
 
     def _mark(self, spark: SparkSession, kind: str, batch_id: int) -> None:
         """Appends a small record once the data it names is complete."""
-        row = spark.createDataFrame([(kind, batch_id)], "kind string, batch_id bigint")
+        row = spark.range(1).select(F.lit(kind).alias("kind"), F.lit(batch_id).alias("batch_id"))
         row.coalesce(1).write.mode("append").json(self.log)
 
     def _last(self, spark: SparkSession, kind: str) -> int:
