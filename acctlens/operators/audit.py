@@ -72,25 +72,31 @@ def cidr_match(df: DataFrame, ip_col: str, networks: DataFrame) -> DataFrame:
     """Adds ``in_allowed``: the address lies in any network of ``networks`` (column cidr).
 
     Each distinct address is expanded to one network start per prefix length in use, at most 33,
-    and equi-joined on (prefix length, start): no range join, and the work does not depend on the
-    list's length. For a short configured list use
-    :func:`acctlens.functions.network.in_networks` instead.
+    and looked up by (start, prefix length) as one number: no range join, and the work does not
+    depend on the list's length. Many addresses share a start, hence the skew-proof lookup. For a
+    short configured list use :func:`acctlens.functions.network.in_networks` instead.
     """
-    prefix = F.substring_index("cidr", "/", -1).try_cast("int")
-    nets = networks.select(
-        prefix.alias("_prefix"),
-        net.network_start(net.ip_to_long(F.substring_index("cidr", "/", 1)), prefix).alias("_start"),
-    ).where("_start IS NOT NULL AND _prefix BETWEEN 0 AND 32").distinct()
+    def code(start: Column, prefix: Column) -> Column:
+        return start * 64 + prefix
+
+    length = F.substring_index("cidr", "/", -1).try_cast("int")
+    first = net.ip_to_long(F.substring_index("cidr", "/", 1))
+    nets = (
+        networks.select(first.alias("_first"), length.alias("_prefix"))
+        .where("_first IS NOT NULL AND _prefix BETWEEN 0 AND 32")
+        .select("_prefix", code(net.network_start(F.col("_first"), F.col("_prefix")), F.col("_prefix")).alias("_net"))
+        .distinct()
+    )
     lengths = nets.agg(F.collect_set("_prefix")).scalar()
     rows = df.withColumn("_ip", net.ip_to_long(F.col(ip_col)))
     counts = key_counts(rows, "_ip").where("_ip IS NOT NULL")
-    candidates = counts.select("_ip", "_n", F.explode(lengths).alias("_prefix")).withColumn(
-        "_start", net.network_start(F.col("_ip"), F.col("_prefix"))
+    prefix = F.col("_prefix")
+    candidates = counts.select("_ip", "_n", F.explode(lengths).alias("_prefix")).select(
+        "_ip", "_n", code(net.network_start(F.col("_ip"), prefix), prefix).alias("_net")
     )
+    hits = lookup_join(candidates, nets.select("_net", F.lit(True).alias("_hit")), "_net", "inner")
     # Reading the count here keeps this use of the counts equal to the join's, so they are made once.
-    hits = candidates.join(nets, ["_prefix", "_start"]).groupBy("_ip").agg(
-        (F.max("_n") > 0).alias("in_allowed")
-    )
+    hits = hits.groupBy("_ip").agg((F.max("_n") > 0).alias("in_allowed"))
     flagged = lookup_join(rows, hits, "_ip", counts=counts).drop("_ip")
     return flagged.withColumn("in_allowed", F.coalesce("in_allowed", F.lit(False)))
 

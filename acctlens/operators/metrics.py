@@ -175,13 +175,18 @@ def customer_families(header: DataFrame, line: DataFrame, product: DataFrame) ->
     )
 
 
-def product_coverage(header: DataFrame, line: DataFrame, product: DataFrame) -> DataFrame:
-    return customer_families(header, line, product).groupBy("customer_shipto_key").agg(
+def coverage_summary(families: DataFrame) -> DataFrame:
+    """Number and sorted list of families from distinct (customer, family) pairs."""
+    return families.groupBy("customer_shipto_key").agg(
         F.count("family").alias("product_families_purchased"),
         F.concat_ws(", ", F.array_sort(F.collect_list("family"))).alias("product_family_list"),
     )
 
 
+def product_coverage(header: DataFrame, line: DataFrame, product: DataFrame) -> DataFrame:
+    return coverage_summary(customer_families(header, line, product))
+
+
 def sales_org(customer: DataFrame, org: DataFrame) -> DataFrame:
     """Names are NULL when either part is missing."""
     def full(first: str, last: str) -> Column:

@@ -199,7 +199,8 @@ _CTE: dict[str, str] = {
                round(urgency, 2) AS urgency_score,
                ['Routine', 'Low', 'Medium', 'High', 'Critical'][CAST(round(urgency) AS INTEGER) + 1] AS urgency_label,
                round(1.0 - abs(urgency - CAST(round(urgency) AS INTEGER)), 4) AS urgency_confidence,
-               round(1.0 / (1.0 + exp(-attention)), 4) AS exec_attention_prob
+               round(1.0 / (1.0 + exp(-attention)), 4) AS exec_attention_prob,
+               p1 AS re_engage, p2 AS escalate_ops, p3 AS protect_pipeline, p4 AS expand_relationship, p5 AS routine_checkin
         FROM probs""",
     "texts": """
         SELECT sf_account_id, unnest([

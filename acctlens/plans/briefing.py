@@ -6,8 +6,9 @@ function from (frame, spec) to the same struct column, so a model may take its p
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from operator import add
 
@@ -18,11 +19,12 @@ URGENCY_LABELS = ["Routine", "Low", "Medium", "High", "Critical"]
 
 @dataclass(frozen=True)
 class DecisionSpec:
-    """One logit per action label, an urgency between 0 and 4, one logit for a yes/no question."""
+    """One logit per action label, an urgency between 0 and the top level, one yes/no logit."""
 
     actions: dict[str, Column]
     urgency: Column
     attention: Column
+    levels: tuple[str, ...] = tuple(URGENCY_LABELS)
 
 
 def _num(name: str) -> Column:
@@ -46,6 +48,28 @@ def default_spec() -> DecisionSpec:
     )
 
 
+def spec_from_document(text: str, rules: DecisionSpec | None = None) -> DecisionSpec:
+    """Specification from its JSON document (a configuration text, not data).
+
+    The document holds one decision of each type: a ``choice`` whose criteria name the labels, a
+    ``score`` whose criteria list the levels, and a ``noul`` (yes or no). Labels the rules do not
+    know get a logit of 0; the urgency is stretched to the number of levels.
+    """
+    rules = rules or default_spec()
+    by_type = {d["type"]: d for d in json.loads(text).values()}
+    missing = {"choice", "score", "noul"} - set(by_type)
+    if missing:
+        raise ValueError(f"decision types missing: {', '.join(sorted(missing))}")
+    labels, levels = by_type["choice"]["criteria"], by_type["score"]["criteria"]
+    stretch = (len(levels) - 1) / (len(rules.levels) - 1)
+    return replace(
+        rules,
+        actions={label: rules.actions.get(label, F.lit(0.0)) for label in labels},
+        urgency=rules.urgency * stretch,
+        levels=tuple(levels),
+    )
+
+
 def rule_scorer(spec: DecisionSpec) -> Column:
     """Softmax over the action logits, its first maximum, and the two other decisions.
 
@@ -55,9 +79,10 @@ def rule_scorer(spec: DecisionSpec) -> Column:
     top = F.greatest(*spec.actions.values())
     weights = [F.exp(logit - top) for logit in spec.actions.values()]
     norm = reduce(add, weights)
+    shares = {label: F.round(w / norm, 6) for label, w in zip(spec.actions, weights)}
     ranked = F.array(*[
-        F.struct(F.round(w / norm, 6).alias("p"), F.lit(-i).alias("rank"), F.lit(label).alias("label"))
-        for i, (label, w) in enumerate(zip(spec.actions, weights))
+        F.struct(share.alias("p"), F.lit(-i).alias("rank"), F.lit(label).alias("label"))
+        for i, (label, share) in enumerate(shares.items())
     ])
     best = F.array_max(ranked)
     level = F.round(spec.urgency).cast("int")
@@ -65,9 +90,10 @@ def rule_scorer(spec: DecisionSpec) -> Column:
         best["label"].alias("action_type"),
         F.round(F.greatest(*[w / norm for w in weights]), 4).alias("action_confidence"),
         F.round(spec.urgency, 2).alias("urgency_score"),
-        F.array(*[F.lit(x) for x in URGENCY_LABELS])[level].alias("urgency_label"),
+        F.array(*[F.lit(x) for x in spec.levels])[level].alias("urgency_label"),
         F.round(1.0 - F.abs(spec.urgency - level), 4).alias("urgency_confidence"),
         F.round(1.0 / (1.0 + F.exp(-spec.attention)), 4).alias("exec_attention_prob"),
+        F.struct(*[share.alias(label) for label, share in shares.items()]).alias("action_probabilities"),
     )
 
 

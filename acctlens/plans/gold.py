@@ -64,15 +64,20 @@ def build_c360(
     The four order-side joins come first, on the order-side key, then the four customer-system
     joins on the account id: the base is shuffled once per key. Accounts without an order-side
     key are spread over the partitions. Write the result once and let later queries read it.
+
+    A written ``customer_families`` table among the inputs saves the pass over lines and products.
     """
     header, line = inputs["cur_sales_order_header"], inputs["cur_sales_order_line"]
+    families = inputs.get("customer_families")
+    if families is None:
+        families = m.customer_families(header, line, inputs["cur_product"])
     base = m.account_base(inputs["sf_account"], inputs["sf_cdm_key_mapping"], source)
     base = spread_null_key(base, "customer_shipto_key", "sf_account_id", "_spread")
     for side in (
         m.sales_org(inputs["cur_customer_shipto"], inputs["cur_customer_sales_org"]),
         m.order_metrics(header, line).drop("valued_lines"),
         m.backorder_metrics(inputs["cur_shipment_line"]).drop("total_shipped_qty"),
-        m.product_coverage(header, line, inputs["cur_product"]),
+        m.coverage_summary(families),
     ):
         base = left_join_on_spread(base, side, "customer_shipto_key", "_spread")
     for side in (

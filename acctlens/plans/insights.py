@@ -52,9 +52,9 @@ def delivery_reliability(
 def deep_insights(inputs: dict[str, DataFrame], as_of: date, days: int = 90) -> DataFrame:
     """All signals on one row per account.
 
-    ``inputs``: ``scored`` (gold with ml_risk_score; read twice, so pass a written table),
-    ``order_revenue``, ``cur_shipment_line``, ``cur_sales_order_header``,
-    ``cur_sales_order_line``, ``cur_product``.
+    ``inputs``: ``scored`` (gold with ml_risk_score) and ``customer_families`` (distinct customer
+    and family pairs), both read twice, so pass written tables; ``order_revenue``,
+    ``cur_shipment_line`` and ``cur_product``.
     """
     scored = inputs["scored"].select(
         "sf_account_id", "customer_shipto_key", "industry", "annual_revenue", "ml_risk_score"
@@ -65,14 +65,11 @@ def deep_insights(inputs: dict[str, DataFrame], as_of: date, days: int = 90) ->
         F.round(risk.revenue_at_risk(F.col("ml_risk_score"), F.col("annual_revenue")), 2),
     )
     base = spread_null_key(base, "customer_shipto_key", "sf_account_id", "_spread")
-    coverage = m.customer_families(
-        inputs["cur_sales_order_header"], inputs["cur_sales_order_line"], inputs["cur_product"]
-    )
     families = m.product_families(inputs["cur_product"])
     for side in (
         revenue_trend(inputs["order_revenue"], as_of, days),
         delivery_reliability(inputs["cur_shipment_line"]),
-        whitespace_score(coverage, families),
+        whitespace_score(inputs["customer_families"], families),
     ):
         base = left_join_on_spread(base, side, "customer_shipto_key", "_spread")
     return base.select(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from acctlens.functions import risk, text as tx
 from acctlens.operators.joins import lookup_join
 from acctlens.operators.metrics import require_key
+from acctlens.operators.quality import choose_format
 from acctlens.schemas import FEATURES
 
 SUMMARY = [
@@ -173,6 +174,12 @@ def publish_columns(scored: DataFrame, assessed_at: str) -> DataFrame:
 TYPED_FIELDS = ["Risk_Score__c", "Risk_Category__c", "Last_Risk_Assessment__c"]
 
 
+def publish(scored: DataFrame, target: DataFrame, assessed_at: str) -> DataFrame:
+    """Typed fields if the target table has them all, else the key-value text."""
+    typed = choose_format(target, TYPED_FIELDS) == "columns"
+    return publish_columns(scored, assessed_at) if typed else publish_text(scored, assessed_at)
+
+
 def read_published_scores(accounts: DataFrame, text_col: str = "Description") -> DataFrame:
     """Last published score per account, with a success flag and an error text."""
     parsed = accounts.select("Id", "Name", tx.read_score(F.col(text_col)).alias("r"))

@@ -50,28 +50,32 @@ def _rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
-def _gold(b: BenchTables) -> DataFrame:
-    return g.build_c360(b.entities(), bt.EVENTS_AS_OF, bt.SOURCE, bt.ACTIVITY_WINDOW)
+def _gold(b: BenchTables, **extra: DataFrame) -> DataFrame:
+    return g.build_c360({**b.entities(), **extra}, bt.EVENTS_AS_OF, bt.SOURCE, bt.ACTIVITY_WINDOW)
 
 
-def _scored(b: BenchTables) -> DataFrame:
-    return sc.rule_scored(_gold(b))
+def _scored(b: BenchTables, **extra: DataFrame) -> DataFrame:
+    return sc.rule_scored(_gold(b, **extra))
 
 
-def _insight_inputs(b: BenchTables, scored: DataFrame) -> dict[str, DataFrame]:
-    return {
-        "scored": scored,
-        "order_revenue": b.order_revenue(),
-        "cur_shipment_line": b.cur_shipment_line(),
-        "cur_sales_order_header": b.cur_sales_order_header(),
-        "cur_sales_order_line": b.cur_sales_order_line(),
-        "cur_product": b.cur_product(),
-    }
+def _coverage(b: BenchTables) -> DataFrame:
+    """Customer and family pairs as a written table: the lines are read once for all its uses."""
+    pairs = m.customer_families(b.cur_sales_order_header(), b.cur_sales_order_line(), b.cur_product())
+    return settle(pairs, "customer_families")
+
+
+def _scored_and_insights(b: BenchTables) -> tuple[DataFrame, DataFrame]:
+    coverage = _coverage(b)
+    scored = settle(_scored(b, customer_families=coverage), "scored")
+    insights = ins.deep_insights({
+        "scored": scored, "customer_families": coverage, "order_revenue": b.order_revenue(),
+        "cur_shipment_line": b.cur_shipment_line(), "cur_product": b.cur_product(),
+    }, bt.ORDERS_AS_OF)
+    return scored, insights
 
 
 def _summary_and_insights(b: BenchTables) -> tuple[DataFrame, DataFrame]:
-    scored = settle(_scored(b), "scored")
-    insights = ins.deep_insights(_insight_inputs(b, scored), bt.ORDERS_AS_OF)
+    scored, insights = _scored_and_insights(b)
     return scored.select(*sc.SUMMARY, "top_risk_driver"), insights
 
 
@@ -482,10 +486,6 @@ def delivery_reliability(b: BenchTables) -> DataFrame:
     return ins.delivery_reliability(b.cur_shipment_line())
 
 
-def _coverage(b: BenchTables) -> DataFrame:
-    return m.customer_families(b.cur_sales_order_header(), b.cur_sales_order_line(), b.cur_product())
-
-
 @query
 def whitespace_families(b: BenchTables) -> DataFrame:
     return peers.whitespace_families(_coverage(b), m.product_families(b.cur_product()))
@@ -510,8 +510,7 @@ def revenue_at_risk(b: BenchTables) -> DataFrame:
 
 @query
 def deep_insights(b: BenchTables) -> DataFrame:
-    scored = settle(_scored(b), "scored")
-    return ins.deep_insights(_insight_inputs(b, scored), bt.ORDERS_AS_OF)
+    return _scored_and_insights(b)[1]
 
 
 # --- decisions and briefing ------------------------------------------------------------------
@@ -521,7 +520,8 @@ def deep_insights(b: BenchTables) -> DataFrame:
 def decide_action(b: BenchTables) -> DataFrame:
     summary, insights = _summary_and_insights(b)
     signals = summary.join(insights, "sf_account_id", "left")
-    return br.decide(signals, br.default_spec()).select("sf_account_id", "decision.*")
+    decided = br.decide(signals, br.default_spec()).select("sf_account_id", "decision.*")
+    return decided.select("*", "action_probabilities.*").drop("action_probabilities")
 
 
 @query
@@ -640,7 +640,10 @@ def _mirror_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from acctlens.streaming.mirror import Mirror, start_mirror
 
-    folder = f"{settle_folder(spark)}/acctlens/mirror-{uuid.uuid4().hex}"
+    shared = settle_folder(spark)
+    if shared is None:
+        raise ValueError("the mirror needs a shared folder: set spark.checkpoint.dir")
+    folder = f"{shared}/acctlens/mirror-{uuid.uuid4().hex}"
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     mirror = Mirror(f"{folder}/data", events.schema, key="user_id", order=("ts", "event_id"))
     start_mirror(

@@ -134,7 +134,10 @@ def test_publish_and_read_back(scored):
     assert (rows["S1"].risk_score, rows["S1"].risk_category, rows["S1"].success) == (44.0, "Medium", True)
     # no order-side key: the text starts with the score
     assert rows["S5"].risk_score == 40.0
-    assert sc.publish_columns(scored, "t").columns == ["Id", *sc.TYPED_FIELDS]
+    typed = ["Id", *sc.TYPED_FIELDS]
+    assert sc.publish(scored, scored, "t").columns == ["Id", "Description"]
+    target = scored.select(*[F.lit(None).alias(c) for c in typed])
+    assert sc.publish(scored, target, "t").columns == typed
 
 
 # --- insights --------------------------------------------------------------------------------
@@ -203,6 +206,21 @@ def test_decide(frame):
     assert {r.sf_account_id: r.action_type for r in single} == {k: r.action_type for k, r in rows.items()}
 
 
+def test_spec_from_document(frame):
+    text = json.dumps({
+        "action": {"type": "choice", "criteria": {"re_engage": "a", "routine_checkin": "b", "new_label": "c"}},
+        "urgency": {"type": "score", "criteria": ["calm", "busy", "hot"]},
+        "exec": {"type": "noul", "instructions": "?"},
+    })
+    df = frame([("dark", 365, 0.0, 0, 0.0, 100.0, None, 0.0, 0)], SIGNALS)
+    row = br.decide(df, br.spec_from_document(text)).select("decision.*").first()
+    assert (row.action_type, row.urgency_label, row.urgency_score) == ("re_engage", "hot", 2.0)
+    assert set(row.action_probabilities.asDict()) == {"re_engage", "routine_checkin", "new_label"}
+    assert sum(row.action_probabilities) == pytest.approx(1.0, abs=1e-5)
+    with pytest.raises(ValueError, match="noul, score"):
+        br.spec_from_document('{"a": {"type": "choice", "criteria": {}}}')
+
+
 def test_recommend(frame):
     df = frame([("dark", 365, 16.0, 0, 0.0, 40.0, None, None, None), ("well", 1, 0.0, 0, 0.0, 0.0, 5.0, 0.0, 0)], SIGNALS)
     rows = {r.sf_account_id: r.recommendations.split("\n") for r in br.recommend(df).collect()}

@@ -78,3 +78,42 @@ def test_metrics_over_a_mirror(spark, ingest):
     out = activity_metrics(mirror.read(spark), date(2026, 1, 5))
     live = expected().where("IsDeleted = false").count()
     assert out.agg(F.sum("total_activities")).first()[0] == live
+
+
+def test_ingest_all_and_refresh(spark, tmp_path, sf_dir):
+    from acctlens.sources.bench_tables import BenchTables
+    from acctlens.sources.tables import Catalog, read_table
+    from acctlens.streaming.refresh import ingest_all, object_mirrors, refresh_from_mirrors
+
+    def put(name, *rows):
+        folder = tmp_path / "in" / name
+        folder.mkdir(parents=True, exist_ok=True)
+        stamped = [{"IsDeleted": False, "change_ts": "2026-01-01T00:00:00", "change_seq": i, **r}
+                   for i, r in enumerate(rows)]
+        (folder / f"{len(list(folder.iterdir()))}.json").write_text("\n".join(map(json.dumps, stamped)))
+
+    account = {"Id": "S1", "Name": "One", "Industry": "x", "AccountSource": "mine",
+               "Description": "CDM Key: 3 | Demo Account ID: A-3"}
+    put("sf_account", account, {**account, "Id": "S2", "Name": "Two", "AccountSource": "else"})
+    put("sf_contact", {"Id": "C1", "AccountId": "S1"}, {"Id": "C2", "AccountId": "S1"})
+    put("sf_opportunity", {"Id": "O1", "AccountId": "S1", "Amount": 9.0, "IsClosed": False, "IsWon": False})
+    put("sf_case", {"Id": "K1", "AccountId": "S1", "IsClosed": False, "IsEscalated": True, "Priority": "High"})
+    put("sf_task", {"Id": "T1", "AccountId": "S1", "ActivityDate": "2026-01-02"})
+
+    mirrors, cat = object_mirrors(str(tmp_path / "m")), Catalog(directory=str(tmp_path / "gold"))
+    b = BenchTables(spark, sf_dir)
+    orders = {k: v for k, v in b.entities().items() if k.startswith("cur_")}
+
+    def refresh():
+        ingest_all(spark, mirrors, str(tmp_path / "in"), str(tmp_path / "cp"))
+        refresh_from_mirrors(spark, mirrors, orders, date(2026, 1, 12), "mine", cat)
+        return read_table(spark, cat, "customer_360").collect()
+
+    # S2 took over the account id later, so S1 has no mapping and S2 is of another source
+    assert refresh() == []
+    put("sf_account", {**account, "Id": "S2", "Description": None, "change_ts": "2026-01-03T00:00:00"})
+    put("sf_contact", {"Id": "C2", "AccountId": "S1", "IsDeleted": True, "change_ts": "2026-01-03T00:00:00"})
+    [row] = refresh()
+    assert (row.sf_account_id, row.customer_shipto_key, row.total_contacts) == ("S1", 3, 1)
+    assert row.days_since_last_activity == 10 and row.open_pipeline_value == 9.0 and row.total_orders > 0
+    assert row.has_escalated_cases and row.escalated_case_count == 1
