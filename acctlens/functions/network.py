@@ -8,6 +8,8 @@ from operator import or_
 
 from pyspark.sql import Column, functions as F
 
+from acctlens.functions import text as tx
+
 _OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IPV4 = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
 
@@ -45,6 +47,25 @@ def in_networks(ip: Column, cidrs: list[str]) -> Column:
     return F.coalesce(F.exists(F.array(ip_to_long(ip)), test), F.lit(False))
 
 
+def message_ip(message: Column) -> Column:
+    """Address in a callout message ``IP=<JSON or plain address> | DB_STATUS=<code>``."""
+    part = F.substring_index(tx.after(message, "IP="), " | DB_", 1)
+    return tx.json_field_or_raw(part, "ip")
+
+
+def callout_verdict(message: Column, allowed: list[str]) -> Column:
+    """Why a call failed: its address is not listed, or it is and something else rejects it."""
+    ip = message_ip(message)
+    inside = in_networks(ip, allowed)
+    return (
+        F.when(ip.isNull(), "no address")
+        .when(inside & message.contains("DB_STATUS=403"), "listed but rejected")
+        .when(~inside, F.concat(F.lit("not listed: add "), ip, F.lit("/32")))
+        .when(message.contains("DB_STATUS=200"), "works")
+        .otherwise("listed")
+    )
+
+
 def network_start(value: Column, prefix: Column) -> Column:
     """First address number of the network of the given prefix length that holds the value."""
     size = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(32) - prefix)

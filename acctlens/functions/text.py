@@ -101,5 +101,7 @@ def mail_address(first: Column, last: Column, company: Column) -> Column:
 
 
 def json_field_or_raw(text: Column, field: str) -> Column:
-    """Field of a JSON text; the stripped text itself when it is not a JSON object with the field."""
-    return F.coalesce(F.get_json_object(text, f"$.{field}"), strip(text))
+    """Field of a JSON text; the stripped text itself when it is not a JSON object."""
+    return F.when(F.json_object_keys(text).isNull(), strip(text)).otherwise(
+        F.get_json_object(text, f"$.{field}")
+    )

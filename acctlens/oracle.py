@@ -650,6 +650,10 @@ def oracle_sql() -> dict[str, str]:
         "cidr_match": f"""
             SELECT event_id, source_ip_address, {_cidr_test('source_ip_address')} AS in_allowed,
                    {_cidr_test('source_ip_address')} AS in_list FROM audit""",
+        "callout_verdicts": f"""
+            SELECT event_id, source_ip_address AS ip,
+                   CASE WHEN NOT ({_cidr_test('source_ip_address')}) THEN 'not listed: add ' || source_ip_address || '/32'
+                        WHEN status_code = 403 THEN 'listed but rejected' ELSE 'works' END AS verdict FROM audit""",
         "subnet_rollup": """
             SELECT DISTINCT regexp_replace(source_ip_address, '[.][0-9]+$', '.0/24') AS cidr FROM audit
             UNION SELECT DISTINCT regexp_replace(source_ip_address, '[.][0-9]+[.][0-9]+$', '.0.0/16') FROM audit""",

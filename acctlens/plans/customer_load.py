@@ -1,4 +1,4 @@
-"""Load of generated customer tables into the customer system: key mapping and object payloads."""
+"""Load of customer tables into the customer system: one payload per object."""
 
 from __future__ import annotations
 
@@ -19,23 +19,6 @@ def account_payload(accounts: DataFrame, source: str) -> DataFrame:
     )
 
 
-def key_mapping(accounts: DataFrame, text_col: str, order: list[str]) -> DataFrame:
-    """(sf_account_id, customer_shipto_key, account_id) read from the key text.
-
-    Rows without an account mark drop out. An account id that occurs twice keeps the row that is
-    last in the given order.
-    """
-    text = F.col(text_col)
-    parsed = accounts.select(
-        F.col("Id").alias("sf_account_id"),
-        tx.parse_cdm_key(text).alias("customer_shipto_key"),
-        tx.parse_account_id(text).alias("account_id"),
-        F.struct(*order).alias("_order"),
-    ).where(F.col("account_id").isNotNull())
-    last = F.max_by(F.struct("sf_account_id", "customer_shipto_key"), "_order")
-    return parsed.groupBy("account_id").agg(last.alias("_row")).select("_row.*", "account_id")
-
-
 def contact_payload(contacts: DataFrame, mapping: DataFrame) -> DataFrame:
     return _with_account(contacts, mapping).select(
         F.col("sf_account_id").alias("AccountId"),

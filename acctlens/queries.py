@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from acctlens.functions import codes, network as net, text as tx
-from acctlens.operators import audit, joins, metrics as m, peers, quality, rollups
+from acctlens.operators import audit, joins, mapping, metrics as m, peers, quality, rollups
 from acctlens.operators.metric_layer import account_metrics
 from acctlens.plans import briefing as br, customer_load as load, gold as g, insights as ins, scoring as sc
 from acctlens.schemas import FEATURES
@@ -356,7 +356,7 @@ def key_mapping(b: BenchTables) -> DataFrame:
 def _loaded_mapping(b: BenchTables) -> DataFrame:
     """Mapping of the accounts that reached the customer system: those with revenue."""
     loaded = b.sf_account().where("AnnualRevenue > 0")
-    return load.key_mapping(loaded, "Description", ["Id"]).select("account_id", "sf_account_id")
+    return mapping.key_mapping(loaded, "Description", ["Id"]).select("account_id", "sf_account_id")
 
 
 @query
@@ -569,6 +569,20 @@ def cidr_match(b: BenchTables) -> DataFrame:
     return audit.cidr_match(log, "source_ip_address", networks).select("*", listed)
 
 
+@query
+def callout_verdicts(b: BenchTables) -> DataFrame:
+    """Callout messages, their address as JSON after a rejection, with address and verdict."""
+    log = b.audit_log().select("event_id", "source_ip_address", "response.status_code")
+    address = F.when(
+        F.col("status_code") == 403, F.format_string('{"ip": "%s"}', "source_ip_address")
+    ).otherwise(F.col("source_ip_address"))
+    message = F.concat(F.lit("IP="), address, F.lit(" | DB_STATUS="), F.col("status_code"))
+    return log.select("event_id", message.alias("message")).select(
+        "event_id", net.message_ip(F.col("message")).alias("ip"),
+        net.callout_verdict(F.col("message"), ALLOWED).alias("verdict"),
+    )
+
+
 @query
 def subnet_rollup(b: BenchTables) -> DataFrame:
     return audit.subnet_rollup(b.audit_log(), "source_ip_address")

@@ -10,7 +10,7 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from acctlens.functions import codes, text as tx
-from acctlens.plans.customer_load import key_mapping
+from acctlens.operators.mapping import key_mapping
 from acctlens.sources.tables import Catalog, read_table
 
 SOURCE = "CRM Import"

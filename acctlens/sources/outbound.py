@@ -13,32 +13,35 @@ BATCH = 200
 def outbound_batches(records: DataFrame, key: str, body: str, batch: int = BATCH) -> DataFrame:
     """Groups records (key, JSON body) into batches of at most ``batch`` newline-joined bodies.
 
-    Each task cuts its own rows as they stream by and holds one batch at a time. No shuffle and
-    no global numbering: a repeated task produces its partition's batches again as a whole, and
-    the file commit keeps one of the copies. A batch is named by its first key.
+    Each task cuts its own rows as they stream by and carries over less than one batch. No shuffle
+    and no global numbering: a repeated task produces its partition's batches again as a whole,
+    and the file commit keeps one of the copies. A batch is named by its first key.
     """
 
     def chunk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys: list[str] = []
         bodies: list[str] = []
 
-        def flush() -> pd.DataFrame:
+        def cut(upto: int) -> pd.DataFrame:
+            starts = range(0, upto, batch)
+            key_lists = [keys[i:i + batch] for i in starts]
             out = pd.DataFrame({
-                "batch_id": [keys[0]], "records": [len(keys)], "keys": [list(keys)],
-                "body": ["\n".join(bodies)],
+                "batch_id": [k[0] for k in key_lists],
+                "records": [len(k) for k in key_lists],
+                "keys": key_lists,
+                "body": ["\n".join(bodies[i:i + batch]) for i in starts],
             })
-            keys.clear()
-            bodies.clear()
+            del keys[:upto], bodies[:upto]
             return out
 
         for frame in frames:
-            for k, b in zip(frame[key], frame[body]):
-                keys.append(k)
-                bodies.append(b)
-                if len(keys) == batch:
-                    yield flush()
+            keys.extend(frame[key])
+            bodies.extend(frame[body])
+            full = len(keys) - len(keys) % batch
+            if full:
+                yield cut(full)
         if keys:
-            yield flush()
+            yield cut(len(keys))
 
     rows = records.select(F.col(key).cast("string").alias(key), F.col(body))
     return rows.mapInPandas(

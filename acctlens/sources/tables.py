@@ -98,12 +98,14 @@ def settle_folder(spark: SparkSession) -> str | None:
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write a result that several branches read, and read it back.
 
-    Cuts the lineage to files that outlive any executor. Without a shared folder the frame is
+    Cuts the lineage to files that outlive any executor, in one folder per application, which may
+    be removed when the application has ended. Without a shared folder the frame is
     returned as it is and simply computed once per branch.
     """
     folder = settle_folder(df.sparkSession)
     if folder is None:
         return df
-    path = f"{folder}/acctlens/{name}-{uuid.uuid4().hex}"
+    app = df.sparkSession.conf.get("spark.app.id", "session")
+    path = f"{folder}/acctlens/{app}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acctlens.plans.customer_load import key_mapping
+from acctlens.operators.mapping import key_mapping
 from acctlens.plans.gold import refresh_gold
 from acctlens.schemas import MIRROR, parsed
 from acctlens.sources.tables import Catalog

@@ -129,6 +129,19 @@ def test_network(value):
     assert value(net.is_private(lit("8.8.8.8"))) is False
 
 
+@pytest.mark.parametrize("message, ip, verdict", [
+    ('IP={"ip":"13.110.5.6"} | DB_STATUS=403', "13.110.5.6", "listed but rejected"),
+    ("IP= 13.110.5.6 | DB_STATUS=200", "13.110.5.6", "works"),
+    ("IP=8.8.8.8 | DB_STATUS=403", "8.8.8.8", "not listed: add 8.8.8.8/32"),
+    ("timeout", None, "no address"),
+    (None, None, "no address"),
+])
+def test_callout_verdict(value, message, ip, verdict):
+    text = lit(message).cast("string")
+    assert value(net.message_ip(text)) == ip
+    assert value(net.callout_verdict(text, ["13.108.0.0/14"])) == verdict
+
+
 def test_draws(spark):
     u = draws.uniform(7, "x", F.col("id"))
     rows = spark.range(2000).select(
@@ -144,3 +157,26 @@ def test_draws(spark):
 
 def test_least_ignores_null(value):
     assert value(F.least(lit(40), lit(None).cast("int"))) == 40
+
+
+def test_texts_round_trip_for_any_id(spark):
+    """Ids of any characters but the marks survive writing and reading, stripped at both ends."""
+    from hypothesis import given, settings, strategies as st
+
+    letters = st.characters(blacklist_categories=["Cs", "Cc", "Zs", "Zl", "Zp"])
+    cases = []
+
+    @settings(max_examples=60, database=None)
+    @given(st.integers(0, 10**15), st.text(letters, min_size=1, max_size=30),
+           st.decimals(0, 100, places=1, allow_nan=False))
+    def collect(key, account_id, score):
+        cases.append((key, account_id, float(score)))
+
+    collect()
+    df = spark.createDataFrame(cases, "k bigint, a string, s double")
+    out = df.select(
+        "k", "a", "s", tx.parse_cdm_key(tx.key_text(F.col("k"), F.col("a"))).alias("k2"),
+        tx.parse_account_id(tx.key_text(F.col("k"), F.col("a"))).alias("a2"),
+        tx.read_score(tx.score_text(F.col("k"), F.col("s"), F.lit("Low"), F.lit("t")))["score"].alias("s2"),
+    )
+    assert [tuple(r) for r in out.where("k <> k2 OR a <> a2 OR s <> s2 OR a2 IS NULL OR s2 IS NULL").collect()] == []

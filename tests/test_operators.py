@@ -157,6 +157,39 @@ def test_lookup_join_spreads_hot_and_null_keys(spark, frame):
     assert max(sizes) < 0.2 * 8000 < 0.3 * 8000 < max(plain)
 
 
+def test_order_joins_split_hot_orders_and_products(spark):
+    """Past the broadcast threshold, adaptive execution splits the hot keys of both line joins."""
+    conf = {
+        "spark.sql.shuffle.partitions": "32",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    ids = spark.range(0, 60000, 1, 8)
+    line = ids.select(
+        F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("sales_order_header_key"),
+        F.when(F.col("id") % 5 < 2, 5).otherwise(F.col("id") % 900).alias("product_key"))
+    header = ids.select(F.col("id").alias("sales_order_header_key"), (F.col("id") % 50).alias("customer_shipto_key"))
+    product = spark.range(900).select(
+        F.col("id").alias("product_key"), F.md5(F.col("id").cast("string")).alias("prduct_type_description"))
+    for key, setting in conf.items():
+        spark.conf.set(key, setting)
+    try:
+        df = m.customer_families(header, line, product)
+        got = rows_of(df)
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        for key in conf:
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    plain = header.join(line, "sales_order_header_key").join(product, "product_key")
+    assert got == rows_of(plain.select("customer_shipto_key", "prduct_type_description").distinct())
+    assert final.count("SortMergeJoin(skew=true)") == 2
+
+
 def test_left_join_on_spread(frame):
     left = frame([("a", 1), ("b", None), ("c", None), ("d", 9)], "id string, key bigint")
     right = frame([(1, "x"), (None, "y"), (2, "z")], "key bigint, v string")

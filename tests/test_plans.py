@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from acctlens.operators.mapping import key_mapping
 from acctlens.plans import briefing as br, customer_load as load, gold as g, insights as ins, scoring as sc
 from acctlens.schemas import FEATURES
 
@@ -263,7 +264,7 @@ def test_key_mapping(frame):
         ("S1", "CDM Key: 1 | Demo Account ID: A"), ("S2", "CDM Key: 2 | Demo Account ID: A"),
         ("S3", "nothing"), ("S4", None), ("S5", "Demo Account ID: B"),
     ], "Id string, Description string")
-    rows = sorted(tuple(r) for r in load.key_mapping(accounts, "Description", ["Id"]).collect())
+    rows = sorted(tuple(r) for r in key_mapping(accounts, "Description", ["Id"]).collect())
     assert rows == [("S2", 2, "A"), ("S5", None, "B")]
 
 
