@@ -17,6 +17,7 @@ _CTE: dict[str, str] = {
     "sf_account": """
         SELECT 'AC-' || c_custkey AS Id, c_name AS Name, c_mktsegment AS Industry,
                greatest(c_acctbal, 0.0) * 100 AS AnnualRevenue, c_custkey,
+               CASE WHEN c_acctbal < -500 THEN 'Partner' ELSE 'CRM Import' END AS AccountSource,
                'A-' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS account_id
         FROM customer""",
     "ev": """
@@ -36,7 +37,8 @@ _CTE: dict[str, str] = {
     # --- metrics
     "account_base": """
         SELECT Id AS sf_account_id, Name AS account_name, Industry AS industry,
-               AnnualRevenue AS annual_revenue, c_custkey AS customer_shipto_key FROM sf_account""",
+               AnnualRevenue AS annual_revenue, c_custkey AS customer_shipto_key
+        FROM sf_account WHERE AccountSource = 'CRM Import'""",
     "sales_org": """
         SELECT c_custkey AS customer_shipto_key, 'Rep ' || n_name AS rep_name,
                'Manager ' || r_name AS manager_name, n_name AS business_unit, r_name AS region
@@ -450,7 +452,22 @@ def _synth_sql() -> dict[str, str]:
                    true AS completed, owner_rep_name AS created_by
             FROM act_drawn""",
     }
-    return {name: _with(body, extra) for name, body in bodies.items()}
+    sql = {name: _with(body, extra) for name, body in bodies.items()}
+    sql["title_summary"] = f"SELECT title, count(*) AS contacts FROM ({sql['synth_contacts']}) GROUP BY 1"
+    sql["activity_type_summary"] = (
+        f"SELECT activity_type, count(*) AS activities FROM ({sql['synth_activities']}) GROUP BY 1"
+    )
+    sql["synth_story_check"] = f"""
+        SELECT a.account_id, a.account_name, coalesce(total_activities, 0) AS total_activities, last_activity_date,
+               coalesce(total_cases, 0) AS total_cases, coalesce(open_or_escalated, 0) AS open_or_escalated,
+               coalesce(total_opportunities, 0) AS total_opportunities
+        FROM ({sql['synth_accounts']}) a
+        LEFT JOIN (SELECT account_id, count(*) AS total_activities, max(activity_date) AS last_activity_date
+                   FROM ({sql['synth_activities']}) GROUP BY 1) USING (account_id)
+        LEFT JOIN (SELECT account_id, count(*) AS total_cases, count(*) FILTER (status IN ('Open', 'Escalated')) AS open_or_escalated
+                   FROM ({sql['synth_cases']}) GROUP BY 1) USING (account_id)
+        LEFT JOIN (SELECT account_id, count(*) AS total_opportunities FROM ({sql['synth_opportunities']}) GROUP BY 1) USING (account_id)"""
+    return sql
 
 
 def oracle_sql() -> dict[str, str]:

@@ -645,6 +645,34 @@ def synth_activities(b: BenchTables) -> DataFrame:
     return _text(out, "activity_date")
 
 
+@query
+def title_summary(b: BenchTables) -> DataFrame:
+    contacts = synth.synth_contacts(_event_ids(b), settle(_synth_accounts(b), "synth_accounts"))
+    return rollups.summarize(
+        contacts, ["title"], {"contacts": F.count(F.lit(1))}, [F.desc("contacts"), F.col("title")]
+    )
+
+
+@query
+def activity_type_summary(b: BenchTables) -> DataFrame:
+    activities = synth.synth_activities(_event_ids(b), settle(_synth_accounts(b), "synth_accounts"))
+    return rollups.summarize(
+        activities, ["activity_type"], {"activities": F.count(F.lit(1))},
+        [F.desc("activities"), F.col("activity_type")],
+    )
+
+
+@query
+def synth_story_check(b: BenchTables) -> DataFrame:
+    """The story check over generated tables, for every account."""
+    accounts = settle(_synth_accounts(b), "synth_accounts")
+    out = rollups.story_check(
+        accounts, synth.synth_activities(_event_ids(b), accounts),
+        synth.synth_cases(_event_ids(b), accounts), synth.synth_opportunities(_order_ids(b), accounts),
+    )
+    return _text(out, "last_activity_date")
+
+
 # --- streaming -------------------------------------------------------------------------------
 
 

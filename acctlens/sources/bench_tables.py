@@ -14,6 +14,7 @@ from acctlens.operators.mapping import key_mapping
 from acctlens.sources.tables import Catalog, read_table
 
 SOURCE = "CRM Import"
+OTHER_SOURCE = "Partner"
 EVENTS_AS_OF = date(2024, 1, 31)
 AUDIT_AS_OF = datetime(2024, 1, 31)
 ORDERS_AS_OF = date(2001, 8, 2)
@@ -41,6 +42,7 @@ class BenchTables:
             F.col("c_name").alias("account_name"),
             F.col("c_mktsegment").alias("industry_segment"),
             (F.greatest(F.col("c_acctbal"), F.lit(0.0)) * 100).alias("annual_revenue"),
+            F.col("c_acctbal").alias("balance"),
         )
 
     def sf_account(self) -> DataFrame:
@@ -49,7 +51,7 @@ class BenchTables:
             F.col("account_name").alias("Name"),
             F.col("industry_segment").alias("Industry"),
             F.col("annual_revenue").alias("AnnualRevenue"),
-            F.lit(SOURCE).alias("AccountSource"),
+            F.when(F.col("balance") < -500, OTHER_SOURCE).otherwise(SOURCE).alias("AccountSource"),
             tx.key_text(F.col("customer_shipto_key"), F.col("account_id")).alias("Description"),
         )
 

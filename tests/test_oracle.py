@@ -29,13 +29,13 @@ def test_matches_sql(name, spark, sf_dir, duck):
 
 def test_entry(spark):
     df = entry_points.entry(spark)
-    assert df.count() == 150 and "risk_score_raw" in df.columns
+    assert 0 < df.count() < 150 and "risk_score_raw" in df.columns   # one source out of two
 
 
 def test_ml_score(spark, sf_dir):
     rows = registry()["ml_score"](spark, sf_dir).collect()
-    assert len(rows) == spark.read.parquet(f"{sf_dir}/customer.parquet").count()
     truth = {r[0]: r[1] for r in registry()["risk_score_raw"](spark, sf_dir).collect()}
+    assert {r["sf_account_id"] for r in rows} == set(truth) and len(rows) == len(truth)
     error = sum(abs(r["ml_risk_score"] - truth[r["sf_account_id"]]) for r in rows) / len(rows)
     assert error < 3
 
@@ -49,4 +49,4 @@ def test_ml_importances(spark, sf_dir):
 def test_outbound_batches(spark, sf_dir):
     rows = registry()["outbound_batches"](spark, sf_dir).collect()
     assert all(0 < r["records"] <= 200 for r in rows)
-    assert sum(r["records"] for r in rows) == spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+    assert sum(r["records"] for r in rows) == registry()["account_base"](spark, sf_dir).count()
