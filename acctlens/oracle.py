@@ -680,4 +680,12 @@ def oracle_sql() -> dict[str, str]:
                         THEN 'PRIVATE' ELSE 'PUBLIC' END AS kind, count(*) AS events FROM audit GROUP BY 1""",
     }
     bodies["stream_mirror"] = bodies["latest_by_key"]
+    bodies["gold_table"] = bodies["customer_360"]
+    bodies["outbound_files"] = bodies["text_codec_write"]
+    bodies["typed_publish"] = f"""
+        SELECT sf_account_id AS Id, ml_risk_score AS Risk_Score__c, risk_category AS Risk_Category__c,
+               '{ASSESSED}' AS Last_Risk_Assessment__c FROM scored"""
+    bodies["classify_action"] = "SELECT sf_account_id, action_type FROM decisions"
+    bodies["duplicate_keys"] = "SELECT l_orderkey, count(*) AS copies FROM lineitem GROUP BY 1 HAVING count(*) > 1"
+    bodies["first_match"] = "SELECT c_custkey, c_name FROM customer WHERE contains(c_name, '99') ORDER BY c_custkey LIMIT 1"
     return {**{name: _with(body) for name, body in bodies.items()}, **_synth_sql()}

@@ -7,6 +7,7 @@ depend on the order of addition.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,7 +19,8 @@ from acctlens.plans import briefing as br, customer_load as load, gold as g, ins
 from acctlens.schemas import FEATURES
 from acctlens.sources import bench_tables as bt, logs, outbound, synth
 from acctlens.sources.bench_tables import BenchTables
-from acctlens.sources.tables import literal_column, settle, settle_folder
+from acctlens.sources.tables import Catalog, literal_column, read_table, settle, settle_folder
+from acctlens.streaming.mirror import Mirror, start_mirror
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +44,14 @@ def registry() -> dict[str, Query]:
     return dict(_REGISTRY)
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for the queries that exercise writers."""
+    shared = settle_folder(spark)
+    if shared is None:
+        raise ValueError("this query writes: set spark.checkpoint.dir to a shared folder")
+    return f"{shared}/acctlens/{name}-{uuid.uuid4().hex}"
+
+
 def _text(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("string") for c in cols})
 
@@ -114,6 +124,15 @@ def outbound_records(b: BenchTables) -> DataFrame:
     )
 
 
+@query
+def outbound_files(b: BenchTables) -> DataFrame:
+    """The change feed written as newline-delimited JSON files and read back."""
+    path = _scratch(b.spark, "feed")
+    payload = sc.publish_text(_scored(b), ASSESSED)
+    outbound.write_outbound(br.outbound_record(payload), path)
+    return b.spark.read.schema("Id string, Description string").json(path)
+
+
 def _results(b: BenchTables) -> DataFrame:
     failed = F.col("event_type") == "error"
     return b.raw("events").select(
@@ -185,14 +204,26 @@ def product_coverage(b: BenchTables) -> DataFrame:
     return m.product_coverage(b.cur_sales_order_header(), b.cur_sales_order_line(), b.cur_product())
 
 
-@query
-def customer_360(b: BenchTables) -> DataFrame:
-    out = _text(_gold(b), "last_activity_date")
+def _gold_output(gold: DataFrame) -> DataFrame:
+    out = _text(gold, "last_activity_date")
     out = out.withColumn("opp_product_families", F.array_join("opp_product_families", "|"))
     out = _rounded(out, 2, "open_pipeline_value", "total_closed_won", "total_closed_lost", "total_order_value")
     return out.withColumn("avg_line_value", F.col("avg_line_value").cast("float").cast("double"))
 
 
+@query
+def customer_360(b: BenchTables) -> DataFrame:
+    return _gold_output(_gold(b))
+
+
+@query
+def gold_table(b: BenchTables) -> DataFrame:
+    """The gold table written in its clustered layout and read back."""
+    cat = Catalog(directory=_scratch(b.spark, "tables"))
+    g.refresh_gold(b.entities(), bt.EVENTS_AS_OF, bt.SOURCE, cat, window_days=bt.ACTIVITY_WINDOW)
+    return _gold_output(read_table(b.spark, cat, "customer_360"))
+
+
 @query
 def risk_score_raw(b: BenchTables) -> DataFrame:
     return _gold(b).select("sf_account_id", "risk_score_raw")
@@ -404,6 +435,11 @@ def text_codec_write(b: BenchTables) -> DataFrame:
     return sc.publish_text(_scored(b), ASSESSED)
 
 
+@query
+def typed_publish(b: BenchTables) -> DataFrame:
+    return sc.publish_columns(_scored(b), ASSESSED)
+
+
 @query
 def text_codec_parse(b: BenchTables) -> DataFrame:
     """Accounts whose description holds the key text only, the score text, a broken score, or JSON."""
@@ -428,6 +464,17 @@ def length_violations(b: BenchTables) -> DataFrame:
     return quality.length_violations(b.raw("documents"), {"text": 2000, "source": 4}, "doc_id")
 
 
+@query
+def duplicate_keys(b: BenchTables) -> DataFrame:
+    return quality.duplicate_keys(b.raw("lineitem"), "l_orderkey")
+
+
+@query
+def first_match(b: BenchTables) -> DataFrame:
+    found = rollups.first_match(b.raw("customer"), "c_name", "99", "c_custkey")
+    return found.select("c_custkey", "c_name")
+
+
 @query
 def missing_fields(b: BenchTables) -> DataFrame:
     return quality.missing_json_fields(b.raw("events"), "props", ["k", "label", "score"])
@@ -524,6 +571,13 @@ def decide_action(b: BenchTables) -> DataFrame:
     return decided.select("*", "action_probabilities.*").drop("action_probabilities")
 
 
+@query
+def classify_action(b: BenchTables) -> DataFrame:
+    summary, insights = _summary_and_insights(b)
+    signals = summary.join(insights, "sf_account_id", "left")
+    return br.classify_action(signals, br.default_spec()).select("sf_account_id", "action_type")
+
+
 @query
 def recommendations(b: BenchTables) -> DataFrame:
     summary, insights = _summary_and_insights(b)
@@ -678,14 +732,7 @@ def synth_story_check(b: BenchTables) -> DataFrame:
 
 def _mirror_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events streamed into a mirror with the newest event per user, then read back."""
-    import uuid
-
-    from acctlens.streaming.mirror import Mirror, start_mirror
-
-    shared = settle_folder(spark)
-    if shared is None:
-        raise ValueError("the mirror needs a shared folder: set spark.checkpoint.dir")
-    folder = f"{shared}/acctlens/mirror-{uuid.uuid4().hex}"
+    folder = _scratch(spark, "mirror")
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     mirror = Mirror(f"{folder}/data", events.schema, key="user_id", order=("ts", "event_id"))
     start_mirror(
