@@ -19,7 +19,7 @@ from acctlens.plans import briefing as br, customer_load as load, gold as g, ins
 from acctlens.schemas import FEATURES
 from acctlens.sources import bench_tables as bt, logs, outbound, synth
 from acctlens.sources.bench_tables import BenchTables
-from acctlens.sources.tables import Catalog, literal_column, read_table, settle, settle_folder
+from acctlens.sources.tables import Catalog, literal_column, read_table, scratch_path, settle
 from acctlens.streaming.mirror import Mirror, start_mirror
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,14 +44,6 @@ def registry() -> dict[str, Query]:
     return dict(_REGISTRY)
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, for the queries that exercise writers."""
-    shared = settle_folder(spark)
-    if shared is None:
-        raise ValueError("this query writes: set spark.checkpoint.dir to a shared folder")
-    return f"{shared}/acctlens/{name}-{uuid.uuid4().hex}"
-
-
 def _text(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("string") for c in cols})
 
@@ -127,7 +119,7 @@ def outbound_records(b: BenchTables) -> DataFrame:
 @query
 def outbound_files(b: BenchTables) -> DataFrame:
     """The change feed written as newline-delimited JSON files and read back."""
-    path = _scratch(b.spark, "feed")
+    path = scratch_path(b.spark, "feed")
     payload = sc.publish_text(_scored(b), ASSESSED)
     outbound.write_outbound(br.outbound_record(payload), path)
     return b.spark.read.schema("Id string, Description string").json(path)
@@ -219,7 +211,7 @@ def customer_360(b: BenchTables) -> DataFrame:
 @query
 def gold_table(b: BenchTables) -> DataFrame:
     """The gold table written in its clustered layout and read back."""
-    cat = Catalog(directory=_scratch(b.spark, "tables"))
+    cat = Catalog(directory=scratch_path(b.spark, "tables"))
     g.refresh_gold(b.entities(), bt.EVENTS_AS_OF, bt.SOURCE, cat, window_days=bt.ACTIVITY_WINDOW)
     return _gold_output(read_table(b.spark, cat, "customer_360"))
 
@@ -732,7 +724,7 @@ def synth_story_check(b: BenchTables) -> DataFrame:
 
 def _mirror_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events streamed into a mirror with the newest event per user, then read back."""
-    folder = _scratch(spark, "mirror")
+    folder = scratch_path(spark, "mirror")
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     mirror = Mirror(f"{folder}/data", events.schema, key="user_id", order=("ts", "event_id"))
     start_mirror(

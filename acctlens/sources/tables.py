@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -78,34 +76,35 @@ def preview(df: DataFrame, n: int = 5) -> DataFrame:
     return df.limit(n)
 
 
-@lru_cache(maxsize=1)
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="acctlens-")
-
-
-def settle_folder(spark: SparkSession) -> str | None:
+def settle_folder(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: the session's checkpoint folder.
 
-    Where none is set, a local session uses a temporary folder and a cluster session none.
+    Where none is set (tests, notebooks) it is a folder in the session's warehouse, which all
+    executors share too. The same on every master.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared
-    master = spark.conf.get("spark.master", "")
-    return _local_folder() if master.startswith("local") else None
+    return shared or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_acctlens"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, in one folder per application."""
+    app = spark.conf.get("spark.app.id", "session")
+    return f"{settle_folder(spark)}/acctlens/{app}/{name}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write a result that several branches read, and read it back.
 
-    Cuts the lineage to files that outlive any executor, in one folder per application, which may
-    be removed when the application has ended. Without a shared folder the frame is
-    returned as it is and simply computed once per branch.
+    Cuts the lineage to files that outlive any executor. :func:`remove_settled` deletes them when
+    the application is done with its results.
     """
-    folder = settle_folder(df.sparkSession)
-    if folder is None:
-        return df
-    app = df.sparkSession.conf.get("spark.app.id", "session")
-    path = f"{folder}/acctlens/{app}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_settled(spark: SparkSession) -> None:
+    """Delete what this application has settled; frames built on it can no longer be read."""
+    app = spark.conf.get("spark.app.id", "session")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{settle_folder(spark)}/acctlens/{app}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
