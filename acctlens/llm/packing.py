@@ -131,8 +131,8 @@ def pack_pieces(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = np.array(sorted(plan_packing(counts, max_len)), np.int64).reshape(-1, 5)
     rank_bits = 48
-    keys = (runs[:, 0] << rank_bits) + runs[:, 1]
-    ranked = numbered(pieces, "length", [c for c in pieces.columns if c != "length"], "_rank")
+    keys, given = (runs[:, 0] << rank_bits) + runs[:, 1], pieces.columns
+    ranked = numbered(pieces, "length", [c for c in given if c != "length"], "_rank")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields]
 
     def place(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,9 +140,9 @@ def pack_pieces(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
             rank = part.column("_rank").to_numpy()
             length = part.column("length").to_numpy()
             at = np.searchsorted(keys, (length << rank_bits) + rank, side="right") - 1
-            columns = [part.column(c) for c in pieces.columns]
+            columns = [part.column(c) for c in given]
             columns += [pa.array(runs[at, 3] + rank - runs[at, 1]), pa.array(runs[at, 4])]
-            yield pa.RecordBatch.from_arrays(columns, [*pieces.columns, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays(columns, [*given, "sequence_id", "offset"])
 
     return ranked.mapInArrow(place, ", ".join([*fields, "sequence_id long", "offset long"]))
 
