@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from acctlens.llm import bpe, packing, quality_rules, secret_scan, sharding
+from acctlens.llm import bpe, line_dedup, near_dedup, packing, quality_rules, secret_scan, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -29,14 +29,23 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings, _ = secret_scan.scan_history(_table(spark, sf_dir, "documents"))
     return findings
 
 
 def registry() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_sharding, op3_packing, op6_quality_rules, op10_secret_scan)}
+    return {f.__name__: f for f in (
+        op1_bpe, op2_sharding, op3_packing, op4_near_dedup, op6_quality_rules, op9_line_dedup, op10_secret_scan)}
