@@ -115,3 +115,43 @@ def scan_history(docs: DataFrame, ledger: DataFrame | None = None, version: int
     known = full.where(F.col("rules_version") == version).drop("rules_version")
     paths = settle(with_blob(docs).select("doc_id", "blob"), "paths")
     return lookup_join(paths, known, "blob").drop("blob"), full
+
+
+def redacted(text: str, spans: str, mark: str = "[secret]") -> str:
+    """The text with every span, overlapping ones merged, replaced by the mark."""
+    cuts = sorted((int(a), int(b)) for _, a, b in (s.rsplit(":", 2) for s in spans.split(",") if s))
+    out, at = [], 0
+    for start, end in cuts:
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def redact_secrets(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """All rows and columns of ``docs``, with what the ledger knows of their blobs cut out of ``text``.
+
+    An ``n_chars`` column follows the text. Texts without a finding stay as they are, null stays null.
+    """
+    new = grow_ledger(docs, ledger)
+    full = new if ledger is None else ledger.unionByName(new)
+    known = full.where((F.col("rules_version") == RULES_VERSION) & (F.col("spans") != ""))
+    tagged = docs.withColumn("_blob", F.sha2("text", 256))
+    counts = tagged.select("_blob").groupBy("_blob").agg(F.count(F.lit(1)).alias("_n"))
+    found = lookup_join(tagged, known.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "_blob", counts=counts)
+    names, counted = docs.columns, "n_chars" in docs.columns
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in parts:
+            for part in batches(whole, "text"):
+                spans, texts = part.column("_spans").to_pylist(), part.column("text").to_pylist()
+                columns = {n: part.column(n) for n in names}
+                if any(spans):
+                    texts = [redacted(t, s) if s else t for t, s in zip(texts, spans)]
+                    columns["text"] = pa.array(texts, columns["text"].type)
+                    if counted:
+                        chars = zip(columns["n_chars"].to_pylist(), texts, spans)
+                        columns["n_chars"] = pa.array([len(t) if s else n for n, t, s in chars], columns["n_chars"].type)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names)
+
+    return found.select(*names, "_spans").mapInArrow(run, docs.schema)
