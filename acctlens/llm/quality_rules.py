@@ -128,8 +128,8 @@ def plan_cascade(docs: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS) ->
     The sample has at most ``rows`` texts of at most ``SAMPLE_BYTES`` bytes each; it decides the
     order only. Ties and an empty sample leave the given order.
     """
-    sample = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("text").limit(rows).toArrow()
-    column = sample.column(0).combine_chunks() if sample.num_rows else pa.array([], pa.string())
+    sample = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("text").take(rows)
+    column = pa.array([r["text"] for r in sample], pa.string())
     cost, hits = dict.fromkeys((r.name for r in rules), 1e-9), dict.fromkeys((r.name for r in rules), 0)
     for _, _, texts in chunks(column):
         texts.word_hashes  # shared by the rules, so no rule's cost

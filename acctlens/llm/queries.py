@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from acctlens.llm import bpe, line_dedup, near_dedup, packing, quality_rules, secret_scan, sharding
+from acctlens.llm import bpe, html_extract, line_dedup, near_dedup, packing, quality_rules, secret_scan, sharding, vector_search
+from acctlens.llm.labelled_pages import labelled_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -37,6 +38,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main(_table(spark, sf_dir, "pages"), labelled_pages())
+
+
+def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_table(spark, sf_dir, "documents"))
 
@@ -48,4 +57,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_bpe, op2_sharding, op3_packing, op4_near_dedup, op6_quality_rules, op9_line_dedup, op10_secret_scan)}
+        op1_bpe, op2_sharding, op3_packing, op4_near_dedup, op6_quality_rules, op7_html_extraction,
+        op8_vector_search, op9_line_dedup, op10_secret_scan)}
