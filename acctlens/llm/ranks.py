@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
-# Rows of one group that one task numbers, about.
-ROWS_PER_CELL = 50_000
+# Cells grow as the square root of the rows: few enough to be summed, and each a small part of a group.
+ROOT_PER_CELL = 8
 
 
 def numbered(table: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
@@ -16,7 +18,7 @@ def numbered(table: DataFrame, group: str, order: list[str], name: str) -> DataF
     cell, and the sizes of the cells before it are added. Rows that are equal in all order columns
     may swap numbers and must therefore be interchangeable.
     """
-    cells = 1 + table.count() // ROWS_PER_CELL
+    cells = 1 + math.isqrt(table.count()) // ROOT_PER_CELL
     dealt = table.withColumn("_cell", F.pmod(F.xxhash64(*order), F.lit(cells)))
     before = Window.partitionBy(group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     sizes = dealt.groupBy(group, "_cell").agg(F.count(F.lit(1)).alias("_n"))
