@@ -28,8 +28,10 @@ from pyspark.sql import DataFrame
 from acctlens.llm.textbytes import batches
 
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|[^<]++|<""",
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]{0,9999}+"|'[^']{0,9999}+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|[^<]++|<""",
     re.S)
+# After the last sign that could end a tag: comments and text only.
+PLAIN = re.compile(r"<!--.*|[^<]++|<", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements whose content is not text of the page.
@@ -43,7 +45,7 @@ ENDS = {
     "body": ({"head"}, set()),
 }
 P_BORDERS = {"table", "td", "th", "caption", "button", "object"}
-TAGS = frozenset("nav header footer aside form article main section p ul ol li table tr td blockquote pre figure dl body div".split())
+TAGS = frozenset("nav header footer aside form article main section p ul ol li table tr td blockquote pre figure figcaption dl body div".split())
 AROUND = frozenset((
     "nav navbar navigation menu header masthead topbar toolbar footer sidebar aside widget ad ads adv advert advertisement adverts promo promoted "
     "sponsor sponsored banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup form search login share "
@@ -105,12 +107,12 @@ def parse(html: str) -> Page:
             if tag not in INLINE:
                 texts.append((-1, ""))
 
-    at, find = 0, TOKEN.match
+    at, find, last = 0, TOKEN.match, html.rfind(">")
     while at < len(html):
-        found = find(html, at)
+        found = find(html, at) if at <= last else PLAIN.match(html, at)
         at = found.end()
         text = found[0]
-        tag = found[2] or found[5]
+        tag = found[2] or found[5] if found.re is TOKEN else None
         if tag is None:
             if (text[0] != "<" or text == "<") and not hidden and not text.isspace():
                 _, node, link = stack[-1]
@@ -170,8 +172,8 @@ def evidence(node: Node) -> tuple[str, ...]:
     tag = node.tag if node.tag in TAGS else "heading" if re.fullmatch("h[1-6]", node.tag) else "inline" if node.inline else "other"
     size = "size:" + ("0" if not node.chars else str(min(4, int(math.log(node.chars, 6)))))
     share = node.linked / node.chars if node.chars else 0.0
-    links = "links:" + ("none" if not node.linked else "few" if share < 0.3 else "some" if share < 0.7 else "most")
-    return ("tag:" + tag, "cue:" + node.cue, size, links)
+    links = "none" if not node.linked else "few" if share < 0.3 else "some" if share < 0.7 else "most"
+    return (f"tag:{tag}/{links}", "cue:" + node.cue, size)
 
 
 @dataclass(frozen=True)

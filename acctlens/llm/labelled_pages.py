@@ -32,6 +32,13 @@ ARTICLE = [
     '<main data-main="1"><h1>{s6}</h1>{paragraphs}<h2>{s3}</h2>{paragraphs}<ul><li>{s5}</li><li>{s12}</li></ul></main>',
     '<div id="content" class="post-body" data-main="1"><h2>{s6}</h2>{paragraphs}<blockquote><p>{s20}</p></blockquote></div>',
     '<div class="entry" data-main="1"><p>{s40}</p><div class="ad" data-main="0">{s8}</div><p>{s3} <a href="/x">{s2}</a> {s9}</p><table><tr><td>{s2}</td><td>{s4}</td></tr></table></div>',
+    '<article data-main="1"><h1>{s3}</h1><p>{s9}</p><div class="notice" data-main="0">{s5}</div><p>{s1}</p><p><a href="/q">{s4}</a></p>{paragraphs}'
+    '<div class="share" data-main="0"><a href="/f">{s1}</a></div><section id="comments" data-main="0"><h3>{s2}</h3><div class="comment"><p>{s30}</p></div></section></article>',
+    '<main data-main="1"><section><h2>{s4}</h2><p>{s20}</p><pre>{s9}</pre></section><figure><img src="/i"><figcaption>{s6}</figcaption></figure>'
+    '<form data-main="0"><label>{s2}</label><p>{s6}</p></form><aside data-main="0">{s20}</aside><ol><li>{s2}</li><li>{s9}</li></ol><p>{s2}</p></main>',
+    '<article class="post" data-main="1"><h2>{s2}</h2><nav data-main="0"><ul>{links}</ul></nav><p>{s12}</p><div>{s30}</div><dl><dt>{s1}</dt><dd>{s8}</dd></dl><footer data-main="0">{s4}</footer></article>',
+    '<article data-main="1"><h1>{s2}</h1><p>{s6}</p><div class="ad" data-main="0">{s4}</div><div class="comments" data-main="0"><h4>{s2}</h4><ul><li><p>{s40}</p></li><li>{s9}</li></ul></div>'
+    '<div class="cookie-banner" data-main="0"><p>{s20}</p></div><div class="related" data-main="0"><ul>{links}</ul></div></article>',
     '<article class="story" data-main="1"><h1>{s4}</h1><p>{s2}</p><aside data-main="0"><p>{s12}</p><ul>{links}</ul></aside><p>{s60}</p><p>{s1}</p></article>',
 ]
 SIDE = [
