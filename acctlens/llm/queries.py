@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from acctlens.llm import bpe, html_extract, line_dedup, near_dedup, packing, quality_rules, secret_scan, sharding, vector_search
+from acctlens.llm import bpe, html_extract, line_dedup, lm_scoring, near_dedup, packing, quality_rules, secret_scan, sharding, vector_search
 from acctlens.llm.labelled_pages import labelled_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(_table(spark, sf_dir, "documents"))
 
@@ -57,5 +61,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_bpe, op2_sharding, op3_packing, op4_near_dedup, op6_quality_rules, op7_html_extraction,
-        op8_vector_search, op9_line_dedup, op10_secret_scan)}
+        op1_bpe, op2_sharding, op3_packing, op4_near_dedup, op5_lm_scoring, op6_quality_rules,
+        op7_html_extraction, op8_vector_search, op9_line_dedup, op10_secret_scan)}
