@@ -144,7 +144,7 @@ def gradient(flat: np.ndarray, ids: np.ndarray, target: np.ndarray, mask: np.nda
 class Trainer:
     """Adagrad from given parameters."""
 
-    def __init__(self, flat: np.ndarray, rate: float = 0.05):
+    def __init__(self, flat: np.ndarray, rate: float = 0.1):
         self.flat, self.squares, self.rate = flat.copy(), np.full_like(flat, 1e-4), rate
 
     def windows(self, ids: np.ndarray, target: np.ndarray, mask: np.ndarray) -> None:

@@ -37,8 +37,8 @@ END = np.uint64(0x5851F42D4C957F2D)
 BLOCK_BYTES = 12 << 20
 # Windows of one training text, and rounds of training and averaging.
 STRETCH = 2
-ROUNDS = 2
-SIDE = 128
+ROUNDS = 3
+SIDE = 64
 SLICES = 64
 
 _ALPHA = np.zeros(256, bool)
