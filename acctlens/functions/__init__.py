@@ -1 +1 @@
-"""Column expressions: risk rules, text formats, addresses, code tables, hashed random draws."""
+"""Column expressions: risk rules, text formats, addresses, code tables."""

@@ -1,4 +1,4 @@
-"""IPv4 addresses and networks as column expressions."""
+"""IP addresses and networks of both families as column expressions."""
 
 from __future__ import annotations
 
@@ -22,6 +22,44 @@ def ip_to_long(ip: Column) -> Column:
     return F.when(ip.rlike(_IPV4), number)
 
 
+def _bits(number: Column, base: int, width: int) -> Column:
+    return F.lpad(F.conv(number, base, 2), width, "0")
+
+
+def ip_bits(ip: Column) -> Column:
+    """The family (4 or 6), a colon, and the address bit by bit; NULL for what is no address.
+
+    Two addresses lie in one network of a prefix length if these texts agree in its first bits. The
+    short form of an address (``::``) and a dotted address at its end are written out first.
+    """
+    four = F.concat(F.lit("4:"), *[_bits(F.split(ip, r"\.")[i], 10, 8) for i in range(4)])
+    text = F.lower(ip)
+    tail = ip_to_long(F.substring_index(text, ":", -1))
+    words = F.concat(F.hex(F.shiftright(tail, 16)), F.lit(":"), F.hex(tail.bitwiseAND(F.lit(0xFFFF))))
+    head = F.substring(text, F.lit(1), F.length(text) - F.length(F.substring_index(text, ":", -1)))
+    text = F.when(tail.isNotNull(), F.concat(head, F.lower(words))).otherwise(text)
+
+    def groups(part: Column) -> Column:
+        return F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":"))
+
+    sides = F.split(text, "::")
+    before, behind = groups(sides[0]), groups(F.get(sides, F.lit(1)))
+    gap = F.lit(8) - F.size(before) - F.size(behind)
+    short = F.concat(before, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), behind)
+    whole = F.when((F.size(sides) == 2) & (gap >= 1), short).when(F.size(sides) == 1, groups(text))
+    right = (F.size(whole) == 8) & F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    six = F.concat(F.lit("6:"), F.array_join(F.transform(whole, lambda g: _bits(g, 16, 16)), ""))
+    return F.when(ip.rlike(_IPV4), four).when(F.instr(ip, ":") > 0, F.when(right, six))
+
+
+def network_bits(cidr: Column) -> Column:
+    """What :func:`ip_bits` of every address in the network begins with; NULL for what is no network."""
+    bits = ip_bits(F.substring_index(cidr, "/", 1))
+    width = F.length(bits) - 2
+    prefix = F.when(F.instr(cidr, "/") > 0, F.substring_index(cidr, "/", -1).try_cast("int")).otherwise(width)
+    return F.when(prefix.between(0, width), F.substring(bits, F.lit(1), prefix + 2))
+
+
 def subnet(ip: Column, prefix: int) -> Column:
     """Network text of a /24 or /16 around the address."""
     keep = {24: 3, 16: 2}[prefix]
@@ -36,15 +74,15 @@ def is_private(ip: Column) -> Column:
 def in_networks(ip: Column, cidrs: list[str]) -> Column:
     """Membership in any of a configured list of networks, as plain range tests without a join.
 
-    The one-element array holds the address number, so it is worked out once per row.
+    The one-element array holds the address, bit by bit, so it is worked out once per row.
     """
-    nets = [ipaddress.ip_network(cidr) for cidr in cidrs]
+    nets = [ipaddress.ip_network(cidr, strict=False) for cidr in cidrs]
+    starts = [f"{n.version}:{int(n.network_address):0{n.max_prefixlen}b}"[: 2 + n.prefixlen] for n in nets]
 
-    def test(value: Column) -> Column:
-        ranges = [value.between(int(n.network_address), int(n.broadcast_address)) for n in nets]
-        return reduce(or_, ranges, F.lit(False))
+    def test(bits: Column) -> Column:
+        return reduce(or_, [bits.startswith(s) for s in starts], F.lit(False))
 
-    return F.coalesce(F.exists(F.array(ip_to_long(ip)), test), F.lit(False))
+    return F.coalesce(F.exists(F.array(ip_bits(ip)), test), F.lit(False))
 
 
 def message_ip(message: Column) -> Column:
@@ -60,13 +98,8 @@ def callout_verdict(message: Column, allowed: list[str]) -> Column:
     return (
         F.when(ip.isNull(), "no address")
         .when(inside & message.contains("DB_STATUS=403"), "listed but rejected")
-        .when(~inside, F.concat(F.lit("not listed: add "), ip, F.lit("/32")))
+        .when(~inside, F.concat(F.lit("not listed: add "), ip, F.when(F.instr(ip, ":") > 0, "/128").otherwise("/32")))
         .when(message.contains("DB_STATUS=200"), "works")
         .otherwise("listed")
     )
 
-
-def network_start(value: Column, prefix: Column) -> Column:
-    """First address number of the network of the given prefix length that holds the value."""
-    size = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(32) - prefix)
-    return value - F.pmod(value, size)

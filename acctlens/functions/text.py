@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import Column, functions as F
 
 # Field markers of the text format (fixed values).
@@ -40,7 +38,9 @@ def until(text: Column, stop: str) -> Column:
 
 
 def key_text(key: Column, account_id: Column) -> Column:
-    return F.concat(F.lit(KEY_MARK), key.cast("string"), F.lit(f" | {ACCOUNT_MARK} "), account_id)
+    """The mapping's text; a key that is not known is written as ``None``, so the id still stands."""
+    known = F.coalesce(key.cast("string"), F.lit("None"))
+    return F.concat(F.lit(KEY_MARK), known, F.lit(f" | {ACCOUNT_MARK} "), account_id)
 
 
 def parse_cdm_key(text: Column) -> Column:
@@ -53,10 +53,6 @@ def parse_account_id(text: Column) -> Column:
     return strip(F.substring_index(rest, ACCOUNT_MARK, 1))
 
 
-def iso_utc(moment: datetime) -> str:
-    return moment.strftime("%Y-%m-%dT%H:%M:%S.000Z")
-
-
 def score_text(key: Column, score: Column, category: Column, assessed_at: Column) -> Column:
     return F.concat_ws(
         " | ",

@@ -18,10 +18,6 @@ SERVING_PATTERNS = [
 ]
 
 
-def any_like(c: Column, patterns: list[str]) -> Column:
-    return reduce(or_, [c.like(p) for p in patterns])
-
-
 def recent(log: DataFrame, column: str, as_of: datetime, hours: int) -> Column:
     """column > as_of - hours, with the bound in the column's own type so that it reaches the scan."""
     bound = (as_of - timedelta(hours=hours)).isoformat(sep=" ")
@@ -68,36 +64,26 @@ def subnet_rollup(df: DataFrame, ip_col: str, prefixes: tuple[int, ...] = (24, 1
     return seen.select(F.explode(nets).alias("cidr")).distinct()
 
 
-def cidr_match(df: DataFrame, ip_col: str, networks: DataFrame) -> DataFrame:
+def cidr_match(df: DataFrame, ip_col: str, networks: DataFrame, repeats: bool = False) -> DataFrame:
     """Adds ``in_allowed``: the address lies in any network of ``networks`` (column cidr).
 
-    Each distinct address is expanded to one network start per prefix length in use, at most 33,
-    and looked up by (start, prefix length) as one number: no range join, and the work does not
-    depend on the list's length. Many addresses share a start, hence the skew-proof lookup. For a
-    short configured list use :func:`acctlens.functions.network.in_networks` instead.
+    Both address families. Each distinct address is cut to every prefix length in use, at most 129,
+    and looked up as it is: no range join, and the work does not depend on the list's length. Many
+    addresses share a network, hence the skew-proof lookup. What is no address or no network
+    matches nothing. Set ``repeats`` where many rows may be equal in all columns. For a short
+    configured list use :func:`acctlens.functions.network.in_networks` instead.
     """
-    def code(start: Column, prefix: Column) -> Column:
-        return start * 64 + prefix
-
-    length = F.substring_index("cidr", "/", -1).try_cast("int")
-    first = net.ip_to_long(F.substring_index("cidr", "/", 1))
-    nets = (
-        networks.select(first.alias("_first"), length.alias("_prefix"))
-        .where("_first IS NOT NULL AND _prefix BETWEEN 0 AND 32")
-        .select("_prefix", code(net.network_start(F.col("_first"), F.col("_prefix")), F.col("_prefix")).alias("_net"))
-        .distinct()
-    )
-    lengths = nets.agg(F.collect_set("_prefix")).scalar()
-    rows = df.withColumn("_ip", net.ip_to_long(F.col(ip_col)))
-    counts = key_counts(rows, "_ip").where("_ip IS NOT NULL")
-    prefix = F.col("_prefix")
-    candidates = counts.select("_ip", "_n", F.explode(lengths).alias("_prefix")).select(
-        "_ip", "_n", code(net.network_start(F.col("_ip"), prefix), prefix).alias("_net")
-    )
+    nets = networks.select(net.network_bits(F.col("cidr")).alias("_net")).where("_net IS NOT NULL").distinct()
+    lengths = nets.agg(F.array_sort(F.collect_set(F.length("_net")))).scalar()
+    counts = key_counts(df, ip_col).where(F.col(ip_col).isNotNull())
+    bits = counts.withColumn("_bits", net.ip_bits(F.col(ip_col))).where("_bits IS NOT NULL")
+    candidates = bits.select(ip_col, "_n", "_bits", F.explode(lengths).alias("_length")).where(
+        F.length("_bits") >= F.col("_length")
+    ).select(ip_col, "_n", F.substring(F.col("_bits"), F.lit(1), F.col("_length")).alias("_net"))
     hits = lookup_join(candidates, nets.select("_net", F.lit(True).alias("_hit")), "_net", "inner")
     # Reading the count here keeps this use of the counts equal to the join's, so they are made once.
-    hits = hits.groupBy("_ip").agg((F.max("_n") > 0).alias("in_allowed"))
-    flagged = lookup_join(rows, hits, "_ip", counts=counts).drop("_ip")
+    hits = hits.groupBy(ip_col).agg((F.max("_n") > 0).alias("in_allowed"))
+    flagged = lookup_join(df, hits, ip_col, counts=counts, repeats=repeats)
     return flagged.withColumn("in_allowed", F.coalesce("in_allowed", F.lit(False)))
 
 

@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# A key above this share of all rows is "hot". There can be at most 1 / HOT_SHARE such keys, and
-# that bounds what lookup_join broadcasts, whatever the data.
-HOT_SHARE = 0.001
+# There are at most this many hot keys, which bounds the rows that lookup_join broadcasts.
+MOST_HOT_KEYS = 100_000
+
+
+def hot_share(df: DataFrame) -> float:
+    """The share of rows above which a key is hot: half of what one reducer gets on average."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 1 / min(max(2 * tasks, 1000), MOST_HOT_KEYS)
 
 
 def key_counts(df: DataFrame, key: str, n: str = "_n") -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias(n))
 
 
-def hot_keys(counts: DataFrame, key: str, n: str = "_n", share: float = HOT_SHARE) -> DataFrame:
+def hot_keys(counts: DataFrame, key: str, n: str = "_n", share: float | None = None) -> DataFrame:
     """Keys above the share of all counted rows: at most 1 / share rows."""
+    share = hot_share(counts) if share is None else share
     total = counts.agg(F.sum(n)).scalar()
     return counts.where(F.col(n) > total * F.lit(share)).select(key)
 
@@ -26,15 +32,23 @@ def lookup_join(
     how: str = "left",
     counts: DataFrame | None = None,
     null_safe: bool = False,
-    share: float = HOT_SHARE,
+    share: float | None = None,
+    repeats: bool = False,
 ) -> DataFrame:
     """Add the columns of ``dim`` (one row per key) to ``fact``, whatever the key distribution.
 
     Rows of hot keys take their values from a broadcast of the hot dimension rows, at most
-    1 / share of them. All rows then go through one shuffle join in which the hot rows and the
-    NULL keys carry a slot hashed from the whole row, so no reducer receives a whole hot key.
-    ``counts`` (key, _n) saves the counting pass where the caller already has it.
+    1 / share of them and never more than MOST_HOT_KEYS. All rows then go through one shuffle join in
+    which the hot rows and the NULL keys carry a slot hashed from the whole row, so no reducer
+    receives a whole hot key. ``counts`` (key, _n) saves the counting pass where the caller already
+    has it. Equal rows have equal slots: where many rows may be equal in all columns set
+    ``repeats``, and they are joined once and repeated afterwards.
     """
+    if repeats:
+        once = fact.groupBy(*fact.columns).agg(F.count(F.lit(1)).alias("_times"))
+        out = lookup_join(once, dim, key, how, counts, null_safe, share)
+        copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))
+        return out.withColumn("_copy", copies).drop("_times", "_copy")
     counts = key_counts(fact, key) if counts is None else counts
     if not null_safe:
         # Said here, the filter is the same in every use of the counts, and so they are made once.
@@ -49,7 +63,7 @@ def lookup_join(
     )
     tagged = fact.join(F.broadcast(hot_dim), _same(F.col(key), F.col("_hot_key"), null_safe), "left")
 
-    hashable = [f.name for f in fact.schema.fields if f.dataType.typeName() != "map"]
+    hashable = [f.name for f in fact.schema.fields if "map<" not in f.dataType.simpleString()]
     spread = F.col("_hot").isNotNull()
     if not null_safe:
         spread = spread | F.col(key).isNull()
@@ -112,11 +126,13 @@ def resolve_fk(
 
 
 def fk_counts(child: DataFrame, mapping: DataFrame, key: str = "account_id") -> DataFrame:
-    """One row: matched and skipped children, from a single join."""
-    keyed = mapping.where(F.col(key).isNotNull()).select(key, F.lit(True).alias("_found"))
-    return lookup_join(child.select(key), keyed, key).agg(
-        F.count("_found").alias("matched"),
-        F.count_if(F.col("_found").isNull()).alias("skipped"),
+    """One row: matched and skipped children. The join sees each key once, with its count."""
+    keyed = mapping.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.lit(True).alias("_found"))
+    joined = key_counts(child, key).join(keyed, F.col(key) == F.col("_k"), "left")
+    n = F.col("_n")
+    return joined.agg(
+        F.coalesce(F.sum(F.when(F.col("_found"), n)), F.lit(0)).alias("matched"),
+        F.coalesce(F.sum(F.when(F.col("_found").isNull(), n)), F.lit(0)).alias("skipped"),
     )
 
 

@@ -10,10 +10,12 @@ from acctlens.functions import text as tx
 def key_mapping(accounts: DataFrame, text_col: str, order: list[str]) -> DataFrame:
     """(sf_account_id, customer_shipto_key, account_id) read from the key text.
 
-    Rows without an account mark drop out. An account id that occurs twice keeps the row that is
-    last in the given order.
+    Rows without an account mark drop out, and so do deleted rows where the table has the flag. An
+    account id that occurs twice keeps the row that is last in the given order.
     """
     text = F.col(text_col)
+    if "IsDeleted" in accounts.columns:
+        accounts = accounts.where(~F.coalesce("IsDeleted", F.lit(False)))
     parsed = accounts.select(
         F.col("Id").alias("sf_account_id"),
         tx.parse_cdm_key(text).alias("customer_shipto_key"),

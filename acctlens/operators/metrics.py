@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from acctlens.functions import text as tx
 
@@ -160,21 +160,52 @@ def product_families(product: DataFrame) -> DataFrame:
 def customer_families(header: DataFrame, line: DataFrame, product: DataFrame) -> DataFrame:
     """Distinct (customer, product family) pairs.
 
-    The product side is broadcast only if its size is below the session's threshold. Beyond that,
-    and for the order join, adaptive execution splits hot products and hot orders: both joins
-    read plain shuffles and the grouping behind them shuffles anew on another key.
+    Lines become distinct (order, product) and then distinct (order, family) pairs before they
+    meet the headers, each in its own task first, so a hot order is a few rows for each task.
     """
-    families = line.select("sales_order_header_key", "product_key").join(
-        product_families(product), "product_key"
-    ).select("sales_order_header_key", "family")
+    pairs = line.select("sales_order_header_key", "product_key").distinct()
+    families = pairs.join(product_families(product), "product_key")
     return (
         _headers(header)
-        .join(families, "sales_order_header_key")
+        .join(families.select("sales_order_header_key", "family").distinct(), "sales_order_header_key")
         .select("customer_shipto_key", "family")
         .distinct()
     )
 
 
+def order_side(header: DataFrame, line: DataFrame, product: DataFrame) -> DataFrame:
+    """:func:`order_metrics` and :func:`product_coverage` of every customer with orders, in one pass.
+
+    Lines are summed per (order, product), then per (order, family), before they meet the headers.
+    One row of each order, its first by family, stands for the order in the count; the rows of an
+    order are already together there. Families of lines without a product count as none.
+    """
+    value = F.col("qty_ordered") * F.col("unit_price")
+    parts = line.groupBy("sales_order_header_key", "product_key").agg(
+        F.sum(value).cast("double").alias("_value"), F.count(value).alias("_lines")
+    )
+    known = product_families(product).withColumn("_known", F.lit(1))
+    parts = parts.join(known, "product_key", "left").groupBy("sales_order_header_key", "family").agg(
+        F.sum("_value").alias("_value"), F.sum("_lines").alias("_lines"), F.max("_known").alias("_known")
+    )
+    order = Window.partitionBy("customer_shipto_key", "sales_order_header_key").orderBy(F.col("family"))
+    parts = _headers(header).join(parts, "sales_order_header_key").withColumn(
+        "_first", (F.row_number().over(order) == 1).cast("long")
+    )
+    by_family = parts.groupBy("customer_shipto_key", "family").agg(
+        *[F.sum(c).alias(c) for c in ("_value", "_lines", "_first")], F.max("_known").alias("_known")
+    )
+    order_value, lines = F.sum("_value"), F.sum("_lines")
+    names = F.concat_ws(", ", F.array_sort(F.collect_list("family")))
+    return by_family.groupBy("customer_shipto_key").agg(
+        F.sum("_first").alias("total_orders"),
+        order_value.alias("total_order_value"),
+        F.when(lines > 0, order_value / lines).alias("avg_line_value"),
+        F.when(F.max("_known") > 0, F.count("family")).alias("product_families_purchased"),
+        F.when(F.max("_known") > 0, names).alias("product_family_list"),
+    )
+
+
 def coverage_summary(families: DataFrame) -> DataFrame:
     """Number and sorted list of families from distinct (customer, family) pairs."""
     return families.groupBy("customer_shipto_key").agg(

@@ -20,22 +20,34 @@ def peer_benchmark(df: DataFrame, score: str, group: str = "industry") -> DataFr
     return out.withColumn("risk_vs_industry", F.round(F.col(score) - F.col("industry_avg_risk"), 1))
 
 
-def whitespace_families(coverage: DataFrame, families: DataFrame) -> DataFrame:
-    """(customer, family) pairs not bought, for the customers of ``coverage``.
+def _bought(customers: DataFrame, coverage: DataFrame) -> DataFrame:
+    """Every customer with the array of families it bought, empty where it bought none."""
+    bought = coverage.where(F.col("family").isNotNull()).groupBy("customer_shipto_key").agg(
+        F.collect_list("family").alias("_bought")
+    )
+    every = customers.where(F.col("customer_shipto_key").isNotNull()).select("customer_shipto_key").distinct()
+    return every.join(bought, "customer_shipto_key", "left").withColumn(
+        "_bought", F.coalesce("_bought", F.array().cast("array<string>"))
+    )
+
 
-    ``coverage`` holds distinct (customer, family) pairs, ``families`` the family names. Each
-    customer's bought set is subtracted from the one-row array of all families, so no pair list
-    of customers and families is ever formed.
+def whitespace_families(customers: DataFrame, coverage: DataFrame, families: DataFrame) -> DataFrame:
+    """Per customer the sorted array of the families it has not bought.
+
+    ``coverage`` holds distinct (customer, family) pairs, ``families`` the families of the product
+    dimension, a code list whose distinct names fit one row. Customers without a purchase lack the
+    whole range. No pairs of customers and families are formed.
     """
     every = families.where(F.col("family").isNotNull()).agg(F.array_sort(F.collect_set("family")))
-    bought = coverage.groupBy("customer_shipto_key").agg(F.collect_list("family").alias("_bought"))
     gaps = F.array_except(every.scalar(), F.col("_bought"))
-    return bought.select("customer_shipto_key", F.explode(gaps).alias("family"))
+    return _bought(customers, coverage).select("customer_shipto_key", gaps.alias("families"))
 
 
-def whitespace_score(coverage: DataFrame, families: DataFrame) -> DataFrame:
-    """Families bought per customer against the portfolio mean and the whole range."""
-    counts = coverage.groupBy("customer_shipto_key").agg(F.count("family").alias("families_bought"))
+def whitespace_score(customers: DataFrame, coverage: DataFrame, families: DataFrame) -> DataFrame:
+    """Families bought per customer against the mean of all customers and the whole range."""
+    counts = _bought(customers, coverage).select(
+        "customer_shipto_key", F.size("_bought").cast("long").alias("families_bought")
+    )
     mean = counts.agg(F.avg("families_bought")).scalar()
     size = families.agg(F.count_distinct("family")).scalar()
     return counts.select(

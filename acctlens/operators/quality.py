@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from acctlens.sources.tables import literal_column
@@ -39,14 +37,6 @@ def missing_fields(needed: list[str], df: DataFrame) -> DataFrame:
     return want.join(have, F.lower("field") == F.col("name"), "left_anti")
 
 
-def missing_fields_of(needed: list[str], tables: dict[str, DataFrame]) -> DataFrame:
-    parts = [
-        missing_fields(needed, df).select(F.lit(name).alias("table_name"), "field")
-        for name, df in tables.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def missing_json_fields(df: DataFrame, json_col: str, needed: list[str]) -> DataFrame:
     """Needed fields that JSON documents lack, with the number of documents lacking each."""
     keys = F.coalesce(F.json_object_keys(F.col(json_col)), F.array().cast("array<string>"))

@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import re
 
-from acctlens.queries import ALLOWED, ASSESSED, LOG_KEYWORDS, RAW_TABLES
-from acctlens.functions import codes, text as tx
-from acctlens.sources import synth
+RAW_TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
+    "labels conversations"
+).split()
+LOG_KEYWORDS = ["Licensed", "License", "reserved", "@mail"]
+ASSESSED = "2024-01-31T12:00:00.000Z"
 
 _CTE: dict[str, str] = {
     # --- entity tables
@@ -151,7 +154,9 @@ _CTE: dict[str, str] = {
                round(avg(CASE WHEN actual > promised THEN 100.0 ELSE 0.0 END), 1) AS pct_delivery_pushed,
                round(avg(CASE WHEN actual > promised THEN actual - promised END), 1) AS avg_days_pushed
         FROM ship GROUP BY 1""",
-    "bought": "SELECT customer_shipto_key, count(family) AS n FROM coverage GROUP BY 1",
+    "bought": """
+        SELECT c_custkey AS customer_shipto_key, count(family) AS n
+        FROM customer LEFT JOIN coverage ON customer_shipto_key = c_custkey GROUP BY 1""",
     "whitespace_score": """
         SELECT customer_shipto_key, n AS families_bought,
                round((SELECT avg(n) FROM bought), 2) AS portfolio_avg_families,
@@ -254,13 +259,16 @@ _CTE: dict[str, str] = {
                    WHEN 'Proposal/Price Quote' THEN 'Best Case' WHEN 'Negotiation/Review' THEN 'Commit'
                    WHEN 'Closed Won' THEN 'Closed' ELSE 'Omitted' END AS forecast_category
         FROM crm_opps""",
-    "crm_cases": f"""
-        SELECT CAST(event_id AS VARCHAR) AS case_id, account_id, {codes.CASE_TYPES!r}[k % 6 + 1] AS case_type,
+    "crm_cases": """
+        SELECT CAST(event_id AS VARCHAR) AS case_id, account_id, ['Instrument Service', 'Shipping Issue', 'Billing Dispute', 'Product Quality', 'Order Inquiry', 'Technical Support'][k % 6 + 1] AS case_type,
                CASE WHEN value > 100 THEN 'Escalated' WHEN value < 30 THEN 'Closed'
                     WHEN value < 60 THEN 'In Progress' ELSE 'Open' END AS status,
                CASE WHEN k >= 95 THEN 'Critical' WHEN k >= 90 THEN 'High' WHEN k >= 40 THEN 'Medium' ELSE 'Low' END AS priority
         FROM ev WHERE event_type = 'error'""",
+    "mapped": "SELECT account_id, Id AS sf_account_id FROM sf_account",
     "loaded": "SELECT account_id, Id AS sf_account_id FROM sf_account WHERE AnnualRevenue > 0",
+    "described": """
+        SELECT Id, 'CDM Key: ' || c_custkey || ' | Demo Account ID: ' || account_id AS Description FROM sf_account""",
     # --- audit log
     "audit": """
         SELECT event_id, ts AS event_time,
@@ -294,180 +302,11 @@ def _with(body: str, extra: dict[str, str] | None = None) -> str:
 
 
 def _cidr_test(ip: str) -> str:
-    import ipaddress
-
-    octets = [f"CAST(split_part({ip}, '.', {i}) AS BIGINT)" for i in range(1, 5)]
-    value = f"({octets[0]} * 16777216 + {octets[1]} * 65536 + {octets[2]} * 256 + {octets[3]})"
-    nets = [ipaddress.ip_network(c) for c in ALLOWED]
-    return " OR ".join(
-        f"{value} BETWEEN {int(n.network_address)} AND {int(n.broadcast_address)}" for n in nets
-    )
-
-
-# --- generated tables -------------------------------------------------------------------------
-
-
-def _u(salt: str, row: str) -> str:
-    """The digest-based uniform number of the generator."""
-    digest = f"md5('42:{salt}:' || {row})"
-    return f"(CAST(('0x' || substr({digest}, 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE)"
-
-
-def _list(values) -> str:
-    return "[" + ", ".join("'" + v + "'" for v in values) + "]"
-
-
-def _pick(salt: str, row: str, values) -> str:
-    return f"{_list(values)}[CAST(floor({_u(salt, row)} * {len(values)}) AS INTEGER) + 1]"
-
-
-def _int(salt: str, row: str, low: int, high: int) -> str:
-    return f"({low} + CAST(floor({_u(salt, row)} * {high - low + 1}) AS INTEGER))"
-
-
-def _weighted(salt: str, row: str, values, weights) -> str:
-    bound, cases = 0.0, []
-    for value, weight in zip(values[:-1], weights[:-1]):
-        bound += weight
-        cases.append(f"WHEN {_u(salt, row)} < {round(bound / sum(weights), 12)} THEN '{value}'")
-    return f"CASE {' '.join(cases)} ELSE '{values[-1]}' END"
-
-
-def _synth() -> dict[str, str]:
-    named = [n for names in synth.NAMED.values() for n in names]
-    segment = " ".join(
-        f"WHEN account_name IN ({', '.join(repr(n) for n in names)}) THEN '{s}'" for s, names in synth.NAMED.items()
-    )
-    states = " ".join(
-        f"WHEN '{r}' THEN {_list(s)}[CAST(floor({_u('state', 'k')} * 6) AS INTEGER) + 1]"
-        for r, s in synth.REGION_STATES.items()
-    )
-    low = " ".join(f"WHEN '{s}' THEN {a}" for s, (a, _) in synth.REVENUE.items())
-    span = " ".join(f"WHEN '{s}' THEN {b - a}" for s, (a, b) in synth.REVENUE.items())
-    n, p, q = len(named), len(synth.PLACES), len(synth.KINDS)
-    stories = " ".join(f"WHEN '{s.name}' THEN {s.revenue}" for s in synth.STORIES)
-    lap = f"((j - {n}) // {p * q})"
-    ctes = {
-        "s0": "SELECT c_custkey AS k, c_custkey - (SELECT min(c_custkey) FROM customer) AS j, c_nationkey FROM customer",
-        "s1": f"""
-            SELECT k, CASE WHEN j < {n} THEN {_list(named)}[j + 1]
-                   ELSE {_list(synth.PLACES)}[(j - {n}) % {p} + 1] || ' ' || {_list(synth.KINDS)}[((j - {n}) // {p}) % {q} + 1]
-                        || CASE WHEN {lap} > 0 THEN ' ' || ({lap} + 1) ELSE '' END END AS account_name,
-                   {_pick('region', 'k', list(synth.REGION_STATES))} AS billing_region, c_nationkey
-            FROM s0""",
-        "s2": f"SELECT *, CASE {segment} ELSE '{synth.DEFAULT_SEGMENT}' END AS seg FROM s1",
-        "synth_accounts": f"""
-            SELECT 'SF-ACCT-' || lpad(CAST(k AS VARCHAR), CAST(greatest(4, length(CAST(k AS VARCHAR))) AS INTEGER), '0') AS account_id,
-                   k AS customer_shipto_key, account_name, seg AS industry_segment,
-                   CASE billing_region {states} END AS billing_state, billing_region,
-                   round(CASE account_name {stories} ELSE
-                       CAST(CASE seg {low} END AS DOUBLE) + CAST(CASE seg {span} END AS DOUBLE) * {_u('revenue', 'k')} END, 2) AS annual_revenue,
-                   'Active' AS account_status,
-                   CAST(DATE '2020-01-01' + {_int('created', 'k', 0, 1500)} AS VARCHAR) AS created_date,
-                   'Rep ' || n_name AS owner_rep_name
-            FROM s2 JOIN nation ON c_nationkey = n_nationkey""",
-    }
-
-    def child(name: str, salt: str, source: str, key: str) -> None:
-        ctes[f"{name}_drawn"] = f"""
-            SELECT {key} AS i, low + CAST(floor({_u(salt, key)} * (high - low + 1)) AS BIGINT) AS ck
-            FROM {source}, (SELECT min(c_custkey) AS low, max(c_custkey) AS high FROM customer)"""
-        ctes[name] = f"""
-            SELECT i, a.* FROM {name}_drawn JOIN synth_accounts a ON a.customer_shipto_key = ck"""
-
-    child("opp_rows", "opp-account", "orders", "o_orderkey")
-    child("con_rows", "con-account", "events", "event_id")
-    child("case_rows", "case-account", "events", "event_id")
-    child("act_rows", "act-account", "events", "event_id")
-    ctes["opp_stage"] = f"""
-        SELECT *, {_weighted('opp-stage', 'i', codes.STAGES, codes.STAGE_WEIGHTS)} AS stage_name,
-               {_pick('opp-family', 'i', codes.PRODUCT_FAMILIES)} AS product_family FROM opp_rows"""
-    ctes["opp_dates"] = f"""
-        SELECT *, CASE WHEN stage_name IN ('Closed Won', 'Closed Lost')
-                   THEN DATE '2026-01-01' + {_int('opp-close', 'i', 0, 270)}
-                   ELSE DATE '2026-10-01' + {_int('opp-close', 'i', 0, 180)} END AS close_day FROM opp_stage"""
-    ctes["case_drawn"] = f"""
-        SELECT i, account_id, account_name, {_pick('case-type', 'i', codes.CASE_TYPES)} AS t,
-               {_weighted('case-status', 'i', codes.CASE_STATUSES, codes.CASE_STATUS_WEIGHTS)} AS s,
-               {_weighted('case-priority', 'i', codes.PRIORITIES, codes.PRIORITY_WEIGHTS)} AS p,
-               DATE '2026-01-01' + {_int('case-created', 'i', 0, 270)} AS created,
-               account_name = '{synth.DECLINING.name}' AND i % 5 = 0 AS planted FROM case_rows"""
-    ctes["act_drawn"] = f"""
-        SELECT *, {_weighted('act-type', 'i', codes.ACTIVITY_TYPES, codes.ACTIVITY_WEIGHTS)} AS t FROM act_rows"""
-    return ctes
-
-
-def _id(prefix: str) -> str:
-    return f"'{prefix}' || lpad(CAST(i + 1 AS VARCHAR), CAST(greatest(5, length(CAST(i + 1 AS VARCHAR))) AS INTEGER), '0')"
-
-
-def _synth_sql() -> dict[str, str]:
-    extra = _synth()
-    d, h = synth.DECLINING, synth.HEALTHY
-    seen = _int("con-seen", "i", 0, 120)
-    day = lambda start, span: f"DATE '{start}' + {_int('act-day', 'i', 0, span)}"
-    subjects = " ".join(f"WHEN '{k}' THEN {_pick('act-subject', 'i', v)}" for k, v in synth.SUBJECTS.items())
-    probability = " ".join(f"WHEN '{k}' THEN {v}" for k, v in codes.STAGE_PROBABILITY.items())
-    forecast = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in codes.STAGE_FORECAST.items())
-    bodies = {
-        "synth_accounts": "SELECT * FROM synth_accounts",
-        "synth_opportunities": f"""
-            SELECT {_id('SF-OPP-')} AS opportunity_id, account_id,
-                   account_name || ' - ' || product_family || ' ' || split_part(stage_name, '/', 1) AS opportunity_name,
-                   stage_name, round(annual_revenue * (0.02::DOUBLE + 0.13::DOUBLE * {_u('opp-amount', 'i')}), 2) AS amount,
-                   CAST(close_day AS VARCHAR) AS close_date,
-                   CAST(close_day - {_int('opp-created', 'i', 30, 180)} AS VARCHAR) AS created_date,
-                   product_family, CAST(CASE stage_name {probability} END AS INTEGER) AS probability,
-                   CASE stage_name {forecast} END AS forecast_category
-            FROM opp_dates""",
-        "synth_contacts": f"""
-            SELECT {_id('SF-CON-')} AS contact_id, account_id, {_pick('con-first', 'i', synth.FIRST)} AS first_name,
-                   {_pick('con-last', 'i', synth.LAST)} AS last_name, {_pick('con-title', 'i', synth.TITLES)} AS title,
-                   lower({_pick('con-first', 'i', synth.FIRST)}) || '.' || lower({_pick('con-last', 'i', synth.LAST)}) || '@'
-                       || substr(replace(replace(lower(account_name), ' ', ''), '&', ''), 1, 20) || '.com' AS email,
-                   '(' || {_int('con-p1', 'i', 200, 999)} || ') ' || {_int('con-p2', 'i', 200, 999)} || '-'
-                       || {_int('con-p3', 'i', 1000, 9999)} AS phone,
-                   CAST(CASE account_name WHEN '{d.name}' THEN DATE '{d.contact_date}' WHEN '{h.name}' THEN DATE '{h.contact_date}'
-                        ELSE DATE '2026-06-01' + {seen} END AS VARCHAR) AS last_activity_date,
-                   CAST(DATE '2021-01-01' + {_int('con-created', 'i', 0, 1800)} AS VARCHAR) AS created_date
-            FROM con_rows""",
-        "synth_cases": f"""
-            SELECT {_id('SF-CASE-')} AS case_id, account_id,
-                   CASE WHEN planted THEN 'Shipping Issue' ELSE t END AS case_type,
-                   CASE WHEN planted THEN 'Escalated' ELSE s END AS status,
-                   CASE WHEN planted THEN 'High' ELSE p END AS priority,
-                   CASE WHEN planted THEN 'Shipping Issue' ELSE t END || ' - ' || account_name AS subject,
-                   CAST(created AS VARCHAR) AS created_date,
-                   CAST(CASE WHEN s = 'Closed' THEN created + {_int('case-closed', 'i', 1, 30)} END AS VARCHAR) AS closed_date
-            FROM case_drawn""",
-        "synth_activities": f"""
-            SELECT {_id('SF-ACT-')} AS activity_id, account_id, t AS activity_type,
-                   CASE t {subjects} END || ' - ' || account_name AS subject,
-                   CAST(CASE account_name
-                       WHEN '{d.name}' THEN CASE WHEN {day(d.activity_start, d.activity_span)} > DATE '{d.activity_end}'
-                           THEN DATE '{d.activity_end}' - {_int('act-back', 'i', 0, 30)}
-                           ELSE {day(d.activity_start, d.activity_span)} END
-                       WHEN '{h.name}' THEN {day(h.activity_start, h.activity_span)}
-                       ELSE {day('2026-01-01', 270)} END AS VARCHAR) AS activity_date,
-                   true AS completed, owner_rep_name AS created_by
-            FROM act_drawn""",
-    }
-    sql = {name: _with(body, extra) for name, body in bodies.items()}
-    sql["title_summary"] = f"SELECT title, count(*) AS contacts FROM ({sql['synth_contacts']}) GROUP BY 1"
-    sql["activity_type_summary"] = (
-        f"SELECT activity_type, count(*) AS activities FROM ({sql['synth_activities']}) GROUP BY 1"
+    """13.110.0.0/15, 192.0.2.0/24, 198.51.100.0/24 and 2001:db8::/32, by the texts of their addresses."""
+    return (
+        f"(starts_with({ip}, '13.110.') OR starts_with({ip}, '13.111.') OR starts_with({ip}, '192.0.2.') "
+        f"OR starts_with({ip}, '198.51.100.') OR starts_with({ip}, '2001:db8:'))"
     )
-    sql["synth_story_check"] = f"""
-        SELECT a.account_id, a.account_name, coalesce(total_activities, 0) AS total_activities, last_activity_date,
-               coalesce(total_cases, 0) AS total_cases, coalesce(open_or_escalated, 0) AS open_or_escalated,
-               coalesce(total_opportunities, 0) AS total_opportunities
-        FROM ({sql['synth_accounts']}) a
-        LEFT JOIN (SELECT account_id, count(*) AS total_activities, max(activity_date) AS last_activity_date
-                   FROM ({sql['synth_activities']}) GROUP BY 1) USING (account_id)
-        LEFT JOIN (SELECT account_id, count(*) AS total_cases, count(*) FILTER (status IN ('Open', 'Escalated')) AS open_or_escalated
-                   FROM ({sql['synth_cases']}) GROUP BY 1) USING (account_id)
-        LEFT JOIN (SELECT account_id, count(*) AS total_opportunities FROM ({sql['synth_opportunities']}) GROUP BY 1) USING (account_id)"""
-    return sql
 
 
 def oracle_sql() -> dict[str, str]:
@@ -495,7 +334,15 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
                          unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents)
             WHERE {log_test}""",
-        "outbound_records": f"SELECT sf_account_id AS id, 'Account' AS kind, {score_text} AS description, true AS within_limit FROM scored",
+        "outbound_records": f"SELECT sf_account_id AS id, 'Account' AS kind, {score_text} AS description FROM scored",
+        "outbound_batches": "SELECT count(*) AS records, CAST(0 AS BIGINT) AS oversized, CAST(0 AS BIGINT) AS repeated_ids FROM scored",
+        "missing_columns": "SELECT unnest(['Risk_Score__c', 'Risk_Category__c', 'Last_Risk_Assessment__c']) AS field",
+        "ml_score_checks": "SELECT count(*) AS rows, count(*) AS accounts, true AS small_error FROM gold",
+        "ml_importance_checks": "SELECT CAST(18 AS BIGINT) AS features, CAST(1.0 AS DOUBLE) AS total, true AS none_negative",
+        "reconcile_objects": """
+            SELECT CASE WHEN event_id % 2 = 0 THEN 'Account' ELSE 'Contact' END AS object,
+                   count(*) FILTER (event_type <> 'error') AS succeeded, count(*) FILTER (event_type = 'error') AS failed
+            FROM events GROUP BY 1""",
         "reconcile_results": """
             SELECT count(*) FILTER (event_type <> 'error') AS succeeded,
                    count(*) FILTER (event_type = 'error') AS failed FROM events""",
@@ -538,14 +385,13 @@ def oracle_sql() -> dict[str, str]:
             ORDER BY ml_risk_score DESC, sf_account_id LIMIT 15""",
         "on_demand_score": """
             SELECT r.event_id AS request_id, 'AC-' || (r.user_id * 11) AS sf_account_id, s AS risk_score,
-                   CASE WHEN s >= 55 THEN 'High' WHEN s >= 25 THEN 'Medium' WHEN g.sf_account_id IS NOT NULL THEN 'Low' END AS risk_category,
-                   g.sf_account_id IS NOT NULL AS success,
-                   CASE WHEN g.sf_account_id IS NULL THEN 'Account not found: AC-' || (r.user_id * 11) END AS error
+                   CASE WHEN s >= 55 THEN 'High' WHEN s >= 25 THEN 'Medium' ELSE 'Low' END AS risk_category,
+                   g.sf_account_id IS NOT NULL AS found, true AS success, CAST(NULL AS VARCHAR) AS error
             FROM ev r LEFT JOIN gold g ON g.sf_account_id = 'AC-' || (r.user_id * 11),
-            LATERAL (SELECT CASE WHEN g.sf_account_id IS NOT NULL THEN CAST(least(100, round(
-                least(40, CASE WHEN r.k >= 50 THEN r.k ELSE g.days_since_last_activity END * 0.2)
-                + least(25, g.escalated_case_count * 12.5) + least(25, g.pct_qty_backordered * 1.5)
-                + least(10, g.high_priority_open_cases * 5))) AS DOUBLE) END AS s)""",
+            LATERAL (SELECT CAST(least(100, round(
+                least(40, CASE WHEN r.k >= 50 THEN r.k ELSE coalesce(g.days_since_last_activity, 0) END * 0.2)
+                + least(25, coalesce(g.escalated_case_count, 0) * 12.5) + least(25, coalesce(g.pct_qty_backordered, 0) * 1.5)
+                + least(10, coalesce(g.high_priority_open_cases, 0) * 5))) AS DOUBLE) AS s)""",
         "story_check": """
             SELECT a.account_id, a.Name AS account_name, coalesce(total_activities, 0) AS total_activities, last_activity_date,
                    coalesce(total_cases, 0) AS total_cases, coalesce(open_or_escalated, 0) AS open_or_escalated,
@@ -561,13 +407,21 @@ def oracle_sql() -> dict[str, str]:
         "case_matrix": "SELECT case_type, status, count(*) AS cases FROM crm_cases GROUP BY 1, 2",
         "stage_forecast": "SELECT opportunity_id, stage_name, probability, forecast_category FROM opps",
         "segment_lookup": """
-            SELECT c_custkey, n_name, CASE WHEN r_name = 'AFRICA' THEN 'Regional Lab' ELSE r_name END AS segment
-            FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+            WITH placed AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+            SELECT c_custkey, n_name, r_name AS segment FROM placed
+            UNION ALL SELECT c_custkey, r_name, 'Regional Lab' FROM placed""",
         "account_owner": """
             SELECT account_id, c.c_custkey AS customer_shipto_key, 'Rep ' || n_name AS owner_rep_name
-            FROM sf_account a JOIN customer c USING (c_custkey) JOIN nation ON c_nationkey = n_nationkey""",
-        "key_mapping": "SELECT Id AS sf_account_id, c_custkey AS customer_shipto_key, account_id FROM sf_account",
-        "fk_resolve": "SELECT case_id, account_id, sf_account_id FROM crm_cases JOIN loaded USING (account_id)",
+            FROM sf_account a LEFT JOIN customer c USING (c_custkey) LEFT JOIN nation ON c_nationkey = n_nationkey""",
+        "key_mapping": """
+            SELECT Id AS sf_account_id, CAST(regexp_extract(Description, 'CDM Key: *([0-9]+)', 1) AS BIGINT) AS customer_shipto_key,
+                   trim(split_part(Description, 'Demo Account ID:', 2)) AS account_id FROM described""",
+        "key_mapping_changes": """
+            SELECT 'AC-' || event_id AS sf_account_id, CASE WHEN value > 20 THEN user_id END AS customer_shipto_key,
+                   'A-' || lpad(CAST(user_id AS VARCHAR), 8, '0') AS account_id
+            FROM events WHERE event_type <> 'error'
+            QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
+        "fk_resolve": "SELECT case_id, account_id, sf_account_id FROM crm_cases JOIN mapped USING (account_id)",
         "fk_orphans": """
             SELECT count(sf_account_id) AS matched, count(*) - count(sf_account_id) AS skipped
             FROM crm_cases LEFT JOIN loaded USING (account_id)""",
@@ -577,23 +431,23 @@ def oracle_sql() -> dict[str, str]:
         "crm_contact_payload": """
             SELECT sf_account_id AS AccountId, upper(event_type[1]) || event_type[2:] AS FirstName, 'User' || user_id AS LastName,
                    'Buyer' AS Title, event_type || '.' || user_id || '@example.com' AS Email, '(555) 555-0100' AS Phone
-            FROM (SELECT DISTINCT user_id, account_id, event_type FROM ev) JOIN loaded USING (account_id)""",
+            FROM (SELECT DISTINCT user_id, account_id, event_type FROM ev) JOIN mapped USING (account_id)""",
         "crm_opportunity_payload": """
             SELECT sf_account_id AS AccountId, substr(opportunity_name, 1, 120) AS Name, stage_name AS StageName, amount AS Amount,
                    CAST(close_date AS VARCHAR) AS CloseDate, probability AS Probability, forecast_category AS ForecastCategoryName,
                    'Product Family: ' || product_family AS Description
-            FROM opps JOIN loaded USING (account_id)""",
+            FROM opps JOIN mapped USING (account_id)""",
         "crm_case_payload": """
             SELECT sf_account_id AS AccountId, substr(case_type || ' - ' || account_id, 1, 255) AS Subject,
                    CASE status WHEN 'Open' THEN 'New' WHEN 'Escalated' THEN 'Escalated' WHEN 'Closed' THEN 'Closed' ELSE 'Working' END AS Status,
                    priority AS Priority, case_type AS Type, 'CRM Import' AS Origin
-            FROM crm_cases JOIN loaded USING (account_id)""",
+            FROM crm_cases JOIN mapped USING (account_id)""",
         "crm_task_payload": """
             SELECT sf_account_id AS WhatId, event_type || ' ' || event_id AS Subject, CAST(CAST(ts AS DATE) AS VARCHAR) AS ActivityDate,
                    CASE WHEN value >= 5 THEN 'Completed' ELSE 'Not Started' END AS Status, 'Normal' AS Priority,
                    'Type: ' || CASE event_type WHEN 'click' THEN 'Call' WHEN 'view' THEN 'Email' ELSE 'Meeting' END
                        || ' | Created by: Rep ' || user_id AS Description
-            FROM ev JOIN loaded USING (account_id) WHERE event_type <> 'error'""",
+            FROM ev JOIN mapped USING (account_id) WHERE event_type <> 'error'""",
         "text_codec_write": f"SELECT sf_account_id AS Id, {score_text} AS Description FROM scored",
         "text_codec_parse": f"""
             SELECT 'AC-' || c_custkey AS sf_account_id,
@@ -602,7 +456,8 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN c_acctbal < 0 OR ({broken}) THEN NULL WHEN c_mktsegment = 'BUILDING' THEN 'High' ELSE 'Medium' END AS risk_category,
                    CASE WHEN c_acctbal >= 0 AND c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN '{ASSESSED}' END AS assessed,
                    c_acctbal >= 0 AND NOT ({broken}) AS success,
-                   CASE WHEN c_acctbal < 0 THEN '{tx.NO_SCORE}' WHEN {broken} THEN '{tx.BAD_SCORE}' END AS error
+                   CASE WHEN c_acctbal < 0 THEN 'No risk score found. Run the batch scoring job first.'
+                        WHEN {broken} THEN 'Risk score is not a number.' END AS error
             FROM customer""",
         "length_violations": """
             SELECT doc_id, 'text' AS field, CAST(length(text) AS INTEGER) AS length, 2000 AS max_length FROM documents WHERE length(text) > 2000
@@ -640,9 +495,9 @@ def oracle_sql() -> dict[str, str]:
         "revenue_trend": "SELECT * FROM revenue_trend",
         "delivery_reliability": "SELECT * FROM delivery_reliability",
         "whitespace_families": """
-            SELECT c.customer_shipto_key, f.family
-            FROM (SELECT DISTINCT customer_shipto_key FROM coverage) c, (SELECT DISTINCT p_type AS family FROM part) f
-            ANTI JOIN coverage b ON b.customer_shipto_key = c.customer_shipto_key AND b.family = f.family""",
+            SELECT c_custkey AS customer_shipto_key, coalesce(string_agg(f.family, '|' ORDER BY f.family) FILTER (b.family IS NULL), '') AS families
+            FROM customer CROSS JOIN (SELECT DISTINCT p_type AS family FROM part) f
+            LEFT JOIN coverage b ON b.customer_shipto_key = c_custkey AND b.family = f.family GROUP BY 1""",
         "whitespace_score": "SELECT * FROM whitespace_score",
         "peer_benchmark": """
             SELECT sf_account_id, industry, ml_risk_score, round(industry_avg, 6) AS industry_avg_risk,
@@ -666,7 +521,9 @@ def oracle_sql() -> dict[str, str]:
             GROUP BY ALL""",
         "cidr_match": f"""
             SELECT event_id, source_ip_address, {_cidr_test('source_ip_address')} AS in_allowed,
-                   {_cidr_test('source_ip_address')} AS in_list FROM audit""",
+                   {_cidr_test('source_ip_address')} AS in_list
+            FROM (SELECT event_id, CASE event_id % 7 WHEN 0 THEN '2001:db8::' || hex(event_id % 65536)
+                         WHEN 1 THEN '2001:db9:0:0::' || hex(event_id % 65536) ELSE source_ip_address END AS source_ip_address FROM audit)""",
         "callout_verdicts": f"""
             SELECT event_id, source_ip_address AS ip,
                    CASE WHEN NOT ({_cidr_test('source_ip_address')}) THEN 'not listed: add ' || source_ip_address || '/32'
@@ -688,4 +545,4 @@ def oracle_sql() -> dict[str, str]:
     bodies["classify_action"] = "SELECT sf_account_id, action_type FROM decisions"
     bodies["duplicate_keys"] = "SELECT l_orderkey, count(*) AS copies FROM lineitem GROUP BY 1 HAVING count(*) > 1"
     bodies["first_match"] = "SELECT c_custkey, c_name FROM customer WHERE contains(c_name, '99') ORDER BY c_custkey LIMIT 1"
-    return {**{name: _with(body) for name, body in bodies.items()}, **_synth_sql()}
+    return {name: _with(body) for name, body in bodies.items()}

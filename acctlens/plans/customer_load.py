@@ -39,7 +39,7 @@ def opportunity_payload(opportunities: DataFrame, mapping: DataFrame) -> DataFra
         F.col("close_date").cast("string").alias("CloseDate"),
         F.col("probability").alias("Probability"),
         F.col("forecast_category").alias("ForecastCategoryName"),
-        F.concat(F.lit("Product Family: "), F.col("product_family")).alias("Description"),
+        F.concat(F.lit("Product Family: "), F.coalesce(F.col("product_family"), F.lit("None"))).alias("Description"),
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from acctlens.functions import risk
 from acctlens.operators import metrics as m
 from acctlens.operators.joins import left_join_on_spread, spread_null_key
+from acctlens.operators.quality import assert_unique
 from acctlens.sources.tables import Catalog, write_clustered
 
 # Columns that show 0 where an account has no rows in the source.
@@ -34,7 +35,8 @@ COLUMNS = [
 
 
 def default_zero(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.na.fill(0, cols)
+    """0 for NULL; a value that is not a number stays."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType)) for c in cols})
 
 
 def risk_flags(df: DataFrame, stale_days: int = 90) -> DataFrame:
@@ -59,25 +61,19 @@ def with_risk_score(df: DataFrame, floor: bool = False) -> DataFrame:
 def build_c360(
     inputs: dict[str, DataFrame], as_of: date, source: str, window_days: int = 90
 ) -> DataFrame:
-    """Star of left joins from the account base to eight pre-aggregated sides.
+    """Star of left joins from the account base to seven pre-aggregated sides.
 
-    The four order-side joins come first, on the order-side key, then the four customer-system
+    The three order-side joins come first, on the order-side key, then the four customer-system
     joins on the account id: the base is shuffled once per key. Accounts without an order-side
     key are spread over the partitions. Write the result once and let later queries read it.
-
-    A written ``customer_families`` table among the inputs saves the pass over lines and products.
     """
     header, line = inputs["cur_sales_order_header"], inputs["cur_sales_order_line"]
-    families = inputs.get("customer_families")
-    if families is None:
-        families = m.customer_families(header, line, inputs["cur_product"])
     base = m.account_base(inputs["sf_account"], inputs["sf_cdm_key_mapping"], source)
     base = spread_null_key(base, "customer_shipto_key", "sf_account_id", "_spread")
     for side in (
         m.sales_org(inputs["cur_customer_shipto"], inputs["cur_customer_sales_org"]),
-        m.order_metrics(header, line).drop("valued_lines"),
+        m.order_side(header, line, inputs["cur_product"]),
         m.backorder_metrics(inputs["cur_shipment_line"]).drop("total_shipped_qty"),
-        m.coverage_summary(families),
     ):
         base = left_join_on_spread(base, side, "customer_shipto_key", "_spread")
     for side in (
@@ -97,6 +93,12 @@ def refresh_gold(
     inputs: dict[str, DataFrame], as_of: date, source: str, cat: Catalog,
     name: str = "customer_360", window_days: int = 90,
 ) -> None:
-    """Rebuild the gold table, laid out by (industry, region)."""
+    """Rebuild the gold table, laid out by (industry, region).
+
+    Raises if the mapping or a dimension has a key twice, which would repeat accounts.
+    """
+    assert_unique(inputs["sf_cdm_key_mapping"], "sf_account_id")
+    assert_unique(inputs["cur_customer_shipto"], "customer_shipto_key")
+    assert_unique(inputs["cur_customer_sales_org"], "customer_sales_org_key")
     gold = build_c360(inputs, as_of, source, window_days)
     write_clustered(gold, cat, name, ["industry", "region"], "sf_account_id")

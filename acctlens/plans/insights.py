@@ -54,7 +54,7 @@ def deep_insights(inputs: dict[str, DataFrame], as_of: date, days: int = 90) ->
 
     ``inputs``: ``scored`` (gold with ml_risk_score) and ``customer_families`` (distinct customer
     and family pairs), both read twice, so pass written tables; ``order_revenue``,
-    ``cur_shipment_line`` and ``cur_product``.
+    ``cur_shipment_line``, ``cur_product`` and ``cur_customer_shipto``.
     """
     scored = inputs["scored"].select(
         "sf_account_id", "customer_shipto_key", "industry", "annual_revenue", "ml_risk_score"
@@ -69,7 +69,7 @@ def deep_insights(inputs: dict[str, DataFrame], as_of: date, days: int = 90) ->
     for side in (
         revenue_trend(inputs["order_revenue"], as_of, days),
         delivery_reliability(inputs["cur_shipment_line"]),
-        whitespace_score(inputs["customer_families"], families),
+        whitespace_score(inputs["cur_customer_shipto"], inputs["customer_families"], families),
     ):
         base = left_join_on_spread(base, side, "customer_shipto_key", "_spread")
     return base.select(

@@ -15,6 +15,7 @@ from acctlens.operators.joins import lookup_join
 from acctlens.operators.metrics import require_key
 from acctlens.operators.quality import choose_format
 from acctlens.schemas import FEATURES
+from acctlens.sources.tables import Catalog, write_snapshot
 
 SUMMARY = [
     "sf_account_id", "account_name", "ml_risk_score", "risk_category", "days_since_last_activity",
@@ -23,10 +24,18 @@ SUMMARY = [
 
 
 def feature_matrix(gold: DataFrame, cols: list[str] = FEATURES) -> DataFrame:
-    """Account id and the features in training order, as doubles with 0 for NULL."""
-    return require_key(gold, "sf_account_id").select(
-        "sf_account_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols]
-    )
+    """Account id and the features in training order, as doubles with 0 for NULL and NaN."""
+    values = raw_features(gold, cols)
+    return values.select("sf_account_id", *[_filled(F.col(c)).alias(c) for c in cols])
+
+
+def raw_features(gold: DataFrame, cols: list[str] = FEATURES) -> DataFrame:
+    """Account id and the features as doubles with their gaps, for training."""
+    return require_key(gold, "sf_account_id").select("sf_account_id", *[F.col(c).cast("double").alias(c) for c in cols])
+
+
+def _filled(value: Column) -> Column:
+    return F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))
 
 
 def feature_json(features: DataFrame, cols: list[str] = FEATURES) -> DataFrame:
@@ -104,17 +113,19 @@ def with_category(df: DataFrame) -> DataFrame:
 
 
 def account_risk_summary(scored: DataFrame) -> DataFrame:
-    """Nine summary columns and the driver, riskiest first.
+    """Nine summary columns and the driver. The table has no order; readers of its top sort that."""
+    return scored.select(*SUMMARY, "top_risk_driver")
 
-    The id ends the sort key, so the many accounts sharing a score still split evenly.
-    """
-    return scored.select(*SUMMARY, "top_risk_driver").orderBy(F.desc("ml_risk_score"), "sf_account_id")
+
+def publish_summary(scored: DataFrame, cat: Catalog, name: str = "account_risk_summary") -> None:
+    """Replace the published summary table and its schema."""
+    write_snapshot(account_risk_summary(scored), cat, name)
 
 
 def rule_score_column() -> Column:
     """Composite score computed from feature columns; counts go back to exact numbers first."""
     def exact(name: str) -> Column:
-        return F.col(name).cast("decimal(18,6)")
+        return F.col(name).try_cast("decimal(18,6)")
 
     return risk.risk_score_raw(
         exact("days_since_last_activity"), exact("escalated_case_count"),
@@ -125,10 +136,12 @@ def rule_score_column() -> Column:
 def on_demand_score(
     requests: DataFrame, gold: DataFrame, scorer: Callable[[], Column] = rule_score_column
 ) -> DataFrame:
-    """Score, category, success and error per request (request_id, sf_account_id).
+    """Score, category, found, success and error per request (request_id, sf_account_id).
 
-    Feature columns a request carries win over the account's own values; what neither has is 0.
-    The category follows the unrounded score.
+    The record a request carries is scored, whether its account is known or not; features it lacks
+    come from the account if that is known, and are 0 otherwise. A feature that is not a number, or
+    beyond what the score is computed in, ends in that request's error and gives no score. The
+    category follows the unrounded score.
     """
     known = feature_matrix(gold).withColumn("_found", F.lit(True))
     own = [c for c in FEATURES if c in requests.columns]
@@ -138,15 +151,18 @@ def on_demand_score(
         c: F.coalesce(*([F.col(f"_req_{c}").cast("double")] if c in own else []), F.col(c), F.lit(0.0))
         for c in FEATURES
     })
-    found = F.coalesce(F.col("_found"), F.lit(False))
-    value = scorer()
-    return filled.select(
+    bad = F.array_compact(F.array(*[
+        F.when(F.col(c).try_cast("decimal(18,6)").isNull(), F.lit(c)) for c in FEATURES
+    ]))
+    checked = filled.withColumn("_bad", F.array_join(bad, ", "))
+    value, good = scorer(), F.col("_bad") == ""
+    return checked.select(
         "request_id", "sf_account_id",
-        F.when(found, F.round(value, 1)).alias("risk_score"),
-        F.when(found, risk.risk_category(value)).alias("risk_category"),
-        found.alias("success"),
-        F.when(~found, F.concat(F.lit("Account not found: "), F.coalesce("sf_account_id", F.lit("none"))))
-        .alias("error"),
+        F.when(good, F.round(value, 1)).alias("risk_score"),
+        F.when(good, risk.risk_category(value)).alias("risk_category"),
+        F.coalesce(F.col("_found"), F.lit(False)).alias("found"),
+        good.alias("success"),
+        F.when(~good, F.concat(F.lit("Not a usable number: "), F.col("_bad"))).alias("error"),
     )
 
 

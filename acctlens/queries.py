@@ -7,9 +7,10 @@ depend on the order of addition.
 
 from __future__ import annotations
 
-import uuid
+import json
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from acctlens.functions import codes, network as net, text as tx
@@ -17,7 +18,7 @@ from acctlens.operators import audit, joins, mapping, metrics as m, peers, quali
 from acctlens.operators.metric_layer import account_metrics
 from acctlens.plans import briefing as br, customer_load as load, gold as g, insights as ins, scoring as sc
 from acctlens.schemas import FEATURES
-from acctlens.sources import bench_tables as bt, logs, outbound, synth
+from acctlens.sources import bench_tables as bt, logs, outbound
 from acctlens.sources.bench_tables import BenchTables
 from acctlens.sources.tables import Catalog, literal_column, read_table, scratch_path, settle
 from acctlens.streaming.mirror import Mirror, start_mirror
@@ -25,7 +26,8 @@ from acctlens.streaming.mirror import Mirror, start_mirror
 Query = Callable[[SparkSession, str], DataFrame]
 
 ASSESSED = "2024-01-31T12:00:00.000Z"
-ALLOWED = ["13.108.0.0/14", "96.43.144.0/20", "136.146.0.0/15", "160.8.0.0/13"]
+# Ranges set aside for documentation, and one that holds a third of the test addresses.
+ALLOWED = ["13.110.0.0/15", "192.0.2.0/24", "198.51.100.0/24", "2001:db8::/32"]
 LOG_KEYWORDS = ["Licensed", "License", "reserved", "@mail"]
 RAW_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -52,12 +54,26 @@ def _rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
-def _gold(b: BenchTables, **extra: DataFrame) -> DataFrame:
-    return g.build_c360({**b.entities(), **extra}, bt.EVENTS_AS_OF, bt.SOURCE, bt.ACTIVITY_WINDOW)
+def _gold(b: BenchTables) -> DataFrame:
+    return g.build_c360(b.entities(), bt.EVENTS_AS_OF, bt.SOURCE, bt.ACTIVITY_WINDOW)
 
 
-def _scored(b: BenchTables, **extra: DataFrame) -> DataFrame:
-    return sc.rule_scored(_gold(b, **extra))
+def _scored(b: BenchTables) -> DataFrame:
+    return sc.rule_scored(_gold(b))
+
+
+# Gold tables that this application has refreshed, by application and source folder.
+_REFRESHED: dict[tuple[str, str], Catalog] = {}
+
+
+def _refreshed(b: BenchTables) -> DataFrame:
+    """The refreshed gold table, written once per application and source and then read."""
+    key = (b.spark.conf.get("spark.app.id"), b.cat.directory)
+    if key not in _REFRESHED:
+        cat = Catalog(directory=scratch_path(b.spark, "gold"))
+        g.refresh_gold(b.entities(), bt.EVENTS_AS_OF, bt.SOURCE, cat, window_days=bt.ACTIVITY_WINDOW)
+        _REFRESHED[key] = cat
+    return read_table(b.spark, _REFRESHED[key], "customer_360")
 
 
 def _coverage(b: BenchTables) -> DataFrame:
@@ -67,11 +83,11 @@ def _coverage(b: BenchTables) -> DataFrame:
 
 
 def _scored_and_insights(b: BenchTables) -> tuple[DataFrame, DataFrame]:
-    coverage = _coverage(b)
-    scored = settle(_scored(b, customer_families=coverage), "scored")
+    scored = sc.rule_scored(_refreshed(b))
     insights = ins.deep_insights({
-        "scored": scored, "customer_families": coverage, "order_revenue": b.order_revenue(),
+        "scored": scored, "customer_families": _coverage(b), "order_revenue": b.order_revenue(),
         "cur_shipment_line": b.cur_shipment_line(), "cur_product": b.cur_product(),
+        "cur_customer_shipto": b.cur_customer_shipto(),
     }, bt.ORDERS_AS_OF)
     return scored, insights
 
@@ -95,33 +111,35 @@ def log_filter(b: BenchTables) -> DataFrame:
     return logs.scan_log(lines, LOG_KEYWORDS, 300)
 
 
+def _feed(b: BenchTables) -> DataFrame:
+    """The change feed, written as files of newline-delimited JSON and read back by batch."""
+    path = scratch_path(b.spark, "feed")
+    payload = sc.publish(_scored(b), b.sf_account(), ASSESSED)
+    outbound.write_outbound(br.outbound_record(payload), path)
+    return outbound.read_batches(b.spark, path)
+
+
 @query
 def outbound_batches(b: BenchTables) -> DataFrame:
-    payload = sc.publish_text(_scored(b), ASSESSED)
-    return outbound.outbound_batches(br.outbound_record(payload), "Id", "body").drop("keys")
+    """Records, batches over the limit and repeated ids of the written feed."""
+    return outbound.check_batches(_feed(b))
 
 
 @query
 def outbound_records(b: BenchTables) -> DataFrame:
-    """The batches taken apart again: every record once, none in an oversized batch."""
-    payload = sc.publish_text(_scored(b), ASSESSED)
-    batches = outbound.outbound_batches(br.outbound_record(payload), "Id", "body")
-    body = F.explode(F.split("body", "\n")).alias("line")
-    lines = batches.select((F.col("records") <= outbound.BATCH).alias("within_limit"), body)
-    return lines.select(
+    """The batches taken apart again: every record once."""
+    return _feed(b).select(
         F.get_json_object("line", "$.Id").alias("id"),
         F.get_json_object("line", "$.attributes.type").alias("kind"),
         F.get_json_object("line", "$.Description").alias("description"),
-        "within_limit",
     )
 
 
 @query
 def outbound_files(b: BenchTables) -> DataFrame:
-    """The change feed written as newline-delimited JSON files and read back."""
+    """The change feed's files read as JSON."""
     path = scratch_path(b.spark, "feed")
-    payload = sc.publish_text(_scored(b), ASSESSED)
-    outbound.write_outbound(br.outbound_record(payload), path)
+    outbound.write_outbound(br.outbound_record(sc.publish(_scored(b), b.sf_account(), ASSESSED)), path)
     return b.spark.read.schema("Id string, Description string").json(path)
 
 
@@ -138,6 +156,13 @@ def reconcile_results(b: BenchTables) -> DataFrame:
     return outbound.reconcile(_results(b))
 
 
+@query
+def reconcile_objects(b: BenchTables) -> DataFrame:
+    """Deliveries per object; the parity of the id stands for it."""
+    kind = F.when(F.col("id") % 2 == 0, "Account").otherwise("Contact").alias("object")
+    return outbound.reconcile(_results(b).select("*", kind), ["object"])
+
+
 @query
 def reconcile_errors(b: BenchTables) -> DataFrame:
     return outbound.first_errors(_results(b), n=3)
@@ -263,7 +288,10 @@ def top_risk_driver(b: BenchTables) -> DataFrame:
 
 @query
 def account_risk_summary(b: BenchTables) -> DataFrame:
-    return _rounded(sc.account_risk_summary(_scored(b)), 2, "open_pipeline_value")
+    """The published summary, written and read back."""
+    cat = Catalog(directory=scratch_path(b.spark, "summary"))
+    sc.publish_summary(_scored(b), cat)
+    return _rounded(read_table(b.spark, cat, "account_risk_summary"), 2, "open_pipeline_value")
 
 
 @query
@@ -284,24 +312,45 @@ def _requests(b: BenchTables) -> DataFrame:
 
 @query
 def on_demand_score(b: BenchTables) -> DataFrame:
-    return sc.on_demand_score(_requests(b), settle(_gold(b), "gold"))
+    return sc.on_demand_score(_requests(b), _refreshed(b))
+
+
+def _model(b: BenchTables) -> tuple[DataFrame, PipelineModel]:
+    """The refreshed gold table and a model of its composite score, trained on unfilled features."""
+    gold = _refreshed(b)
+    labelled = sc.raw_features(gold).join(gold.select("sf_account_id", "risk_score_raw"), "sf_account_id")
+    return gold, sc.train(labelled, "risk_score_raw")
 
 
 @query
 def ml_score(b: BenchTables) -> DataFrame:
-    gold = settle(_gold(b), "gold")
-    features = sc.feature_matrix(gold)
-    labelled = features.join(gold.select("sf_account_id", "risk_score_raw"), "sf_account_id")
-    scores = sc.score(features, sc.train(labelled, "risk_score_raw"))
-    scored = sc.model_scored(gold, scores)
+    gold, model = _model(b)
+    scored = sc.model_scored(gold, sc.score(sc.raw_features(gold), model))
     return scored.select("sf_account_id", "ml_risk_score", "risk_category", "top_risk_driver")
 
 
+@query
+def ml_score_checks(b: BenchTables) -> DataFrame:
+    """What must hold of the model's scores: all accounts, each once, and a small mean error."""
+    gold, model = _model(b)
+    both = sc.score(sc.raw_features(gold), model).join(gold.select("sf_account_id", "risk_score_raw"), "sf_account_id")
+    return both.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("sf_account_id").alias("accounts"),
+        (F.avg(F.abs(F.col("ml_risk_score") - F.col("risk_score_raw"))) < 3).alias("small_error"),
+    )
+
+
 @query
 def ml_importances(b: BenchTables) -> DataFrame:
-    gold = settle(_gold(b), "gold")
-    labelled = sc.feature_matrix(gold).join(gold.select("sf_account_id", "risk_score_raw"), "sf_account_id")
-    return sc.feature_importances(sc.train(labelled, "risk_score_raw")).limit(10)
+    return sc.feature_importances(_model(b)[1])
+
+
+@query
+def ml_importance_checks(b: BenchTables) -> DataFrame:
+    return sc.feature_importances(_model(b)[1]).agg(
+        F.count(F.lit(1)).alias("features"), F.round(F.sum("importance"), 6).alias("total"),
+        (F.min("importance") >= 0).alias("none_negative"),
+    )
 
 
 # --- rollups, lookups and load ---------------------------------------------------------------
@@ -352,17 +401,13 @@ def stage_forecast(b: BenchTables) -> DataFrame:
 
 @query
 def segment_lookup(b: BenchTables) -> DataFrame:
-    """Customers classified by nation name; the lookup leaves one region's nations out."""
+    """Customers by the name of their nation and, as names the lookup does not have, of their region."""
     nation, region = b.raw("nation"), b.raw("region")
-    segments = (
-        nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-        .where("r_name <> 'AFRICA'")
-        .select("n_name", F.col("r_name").alias("segment"), F.col("n_nationkey").alias("rank"))
-    )
-    names = b.raw("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    return joins.classify_by_lookup(
-        names.select("c_custkey", "n_name"), segments, "n_name", "Regional Lab"
-    )
+    places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    segments = places.select("n_name", F.col("r_name").alias("segment"), F.col("n_nationkey").alias("rank"))
+    named = b.raw("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    names = named.select("c_custkey", F.explode(F.array("n_name", "r_name")).alias("n_name"))
+    return joins.classify_by_lookup(names, segments, "n_name", "Regional Lab")
 
 
 @query
@@ -376,21 +421,33 @@ def key_mapping(b: BenchTables) -> DataFrame:
     return b.sf_cdm_key_mapping()
 
 
-def _loaded_mapping(b: BenchTables) -> DataFrame:
-    """Mapping of the accounts that reached the customer system: those with revenue."""
-    loaded = b.sf_account().where("AnnualRevenue > 0")
-    return mapping.key_mapping(loaded, "Description", ["Id"]).select("account_id", "sf_account_id")
+@query
+def key_mapping_changes(b: BenchTables) -> DataFrame:
+    """The mapping over a change history: one id many times, the newest changes deletions."""
+    e = b.raw("events")
+    own = F.concat(F.lit("A-"), F.lpad(F.col("user_id").cast("string"), 8, "0"))
+    accounts = e.select(
+        F.concat(F.lit("AC-"), "event_id").alias("Id"), (F.col("event_type") == "error").alias("IsDeleted"),
+        tx.key_text(F.when(F.col("value") > 20, F.col("user_id")), own).alias("Description"), "ts", "event_id",
+    )
+    return mapping.key_mapping(accounts, "Description", ["ts", "event_id"])
+
+
+def _mapping(b: BenchTables) -> DataFrame:
+    return b.sf_cdm_key_mapping().select("account_id", "sf_account_id")
 
 
 @query
 def fk_resolve(b: BenchTables) -> DataFrame:
-    matched, _ = joins.resolve_fk(b.crm_cases().select("case_id", "account_id"), _loaded_mapping(b))
+    matched, _ = joins.resolve_fk(b.crm_cases().select("case_id", "account_id"), _mapping(b))
     return matched
 
 
 @query
 def fk_orphans(b: BenchTables) -> DataFrame:
-    return joins.fk_counts(b.crm_cases(), _loaded_mapping(b))
+    """Against the accounts with revenue, so that some cases have none."""
+    loaded = mapping.key_mapping(b.sf_account().where("AnnualRevenue > 0"), "Description", ["Id"])
+    return joins.fk_counts(b.crm_cases(), loaded)
 
 
 @query
@@ -400,7 +457,7 @@ def crm_account_payload(b: BenchTables) -> DataFrame:
 
 @query
 def crm_contact_payload(b: BenchTables) -> DataFrame:
-    return load.contact_payload(b.crm_contacts(), _loaded_mapping(b))
+    return load.contact_payload(b.crm_contacts(), _mapping(b))
 
 
 @query
@@ -409,27 +466,36 @@ def crm_opportunity_payload(b: BenchTables) -> DataFrame:
     deals = b.crm_opportunities().withColumns({
         "probability": codes.stage_probability(stage), "forecast_category": codes.stage_forecast(stage),
     })
-    return load.opportunity_payload(deals, _loaded_mapping(b))
+    return load.opportunity_payload(deals, _mapping(b))
 
 
 @query
 def crm_case_payload(b: BenchTables) -> DataFrame:
-    return load.case_payload(b.crm_cases(), _loaded_mapping(b), bt.SOURCE)
+    return load.case_payload(b.crm_cases(), _mapping(b), bt.SOURCE)
 
 
 @query
 def crm_task_payload(b: BenchTables) -> DataFrame:
-    return load.task_payload(b.crm_activities(), _loaded_mapping(b))
+    return load.task_payload(b.crm_activities(), _mapping(b))
 
 
 @query
 def text_codec_write(b: BenchTables) -> DataFrame:
-    return sc.publish_text(_scored(b), ASSESSED)
+    """The target has a text field only."""
+    return sc.publish(_scored(b), b.sf_account(), ASSESSED)
 
 
 @query
 def typed_publish(b: BenchTables) -> DataFrame:
-    return sc.publish_columns(_scored(b), ASSESSED)
+    """The target has the typed fields."""
+    target = b.sf_account().withColumns({c: F.lit(None).cast("string") for c in sc.TYPED_FIELDS})
+    return sc.publish(_scored(b), target, ASSESSED)
+
+
+@query
+def missing_columns(b: BenchTables) -> DataFrame:
+    """Needed fields that the account table lacks, and one that it has."""
+    return quality.missing_fields(["Id", *sc.TYPED_FIELDS], b.sf_account())
 
 
 @query
@@ -527,17 +593,18 @@ def delivery_reliability(b: BenchTables) -> DataFrame:
 
 @query
 def whitespace_families(b: BenchTables) -> DataFrame:
-    return peers.whitespace_families(_coverage(b), m.product_families(b.cur_product()))
+    gaps = peers.whitespace_families(b.cur_customer_shipto(), _coverage(b), m.product_families(b.cur_product()))
+    return gaps.withColumn("families", F.array_join("families", "|"))
 
 
 @query
 def whitespace_score(b: BenchTables) -> DataFrame:
-    return peers.whitespace_score(_coverage(b), m.product_families(b.cur_product()))
+    return peers.whitespace_score(b.cur_customer_shipto(), _coverage(b), m.product_families(b.cur_product()))
 
 
 @query
 def peer_benchmark(b: BenchTables) -> DataFrame:
-    scored = settle(_scored(b).select("sf_account_id", "industry", "ml_risk_score"), "scored")
+    scored = sc.rule_scored(_refreshed(b)).select("sf_account_id", "industry", "ml_risk_score")
     return _rounded(peers.peer_benchmark(scored, "ml_risk_score"), 6, "industry_avg_risk")
 
 
@@ -552,6 +619,13 @@ def deep_insights(b: BenchTables) -> DataFrame:
     return _scored_and_insights(b)[1]
 
 
+# The decisions as their configuration document names them (fixed values).
+DECISIONS = json.dumps({
+    "next_action": {"type": "choice", "criteria": ["re_engage", "escalate_ops", "protect_pipeline", "expand_relationship", "routine_checkin"]},
+    "urgency": {"type": "score", "criteria": ["Routine", "Low", "Medium", "High", "Critical"]},
+    "exec_attention": {"type": "noul"},
+})
+
 # --- decisions and briefing ------------------------------------------------------------------
 
 
@@ -559,7 +633,7 @@ def deep_insights(b: BenchTables) -> DataFrame:
 def decide_action(b: BenchTables) -> DataFrame:
     summary, insights = _summary_and_insights(b)
     signals = summary.join(insights, "sf_account_id", "left")
-    decided = br.decide(signals, br.default_spec()).select("sf_account_id", "decision.*")
+    decided = br.decide(signals, br.spec_from_document(DECISIONS)).select("sf_account_id", "decision.*")
     return decided.select("*", "action_probabilities.*").drop("action_probabilities")
 
 
@@ -608,9 +682,13 @@ def audit_triage(b: BenchTables) -> DataFrame:
 
 @query
 def cidr_match(b: BenchTables) -> DataFrame:
-    """Each event's address against the allowed networks: as a table and as a plain expression."""
+    """Each event's address, of either family, against the allowed networks: as a table and as a
+    plain expression."""
     networks = literal_column(b.spark, "cidr", ALLOWED)
-    log = b.audit_log().select("event_id", "source_ip_address")
+    turn, number = F.col("event_id") % 7, F.hex(F.col("event_id") % 65536)
+    address = F.when(turn == 0, F.concat(F.lit("2001:db8::"), number)).when(
+        turn == 1, F.concat(F.lit("2001:db9:0:0::"), number)).otherwise(F.col("source_ip_address"))
+    log = b.audit_log().select("event_id", address.alias("source_ip_address"))
     listed = net.in_networks(F.col("source_ip_address"), ALLOWED).alias("in_list")
     return audit.cidr_match(log, "source_ip_address", networks).select("*", listed)
 
@@ -647,78 +725,6 @@ def private_ip_class(b: BenchTables) -> DataFrame:
     return b.audit_log().groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("events"))
 
 
-# --- generated tables ------------------------------------------------------------------------
-
-
-def _synth_accounts(b: BenchTables) -> DataFrame:
-    return synth.synth_accounts(b.cur_customer_shipto(), b.cur_customer_sales_org())
-
-
-def _order_ids(b: BenchTables) -> DataFrame:
-    return b.raw("orders").select(F.col("o_orderkey").alias("i"))
-
-
-def _event_ids(b: BenchTables) -> DataFrame:
-    return b.raw("events").select(F.col("event_id").alias("i"))
-
-
-@query
-def synth_accounts(b: BenchTables) -> DataFrame:
-    return _text(_synth_accounts(b), "created_date")
-
-
-@query
-def synth_opportunities(b: BenchTables) -> DataFrame:
-    out = synth.synth_opportunities(_order_ids(b), settle(_synth_accounts(b), "synth_accounts"))
-    return _text(out, "close_date", "created_date")
-
-
-@query
-def synth_contacts(b: BenchTables) -> DataFrame:
-    out = synth.synth_contacts(_event_ids(b), settle(_synth_accounts(b), "synth_accounts"))
-    return _text(out, "last_activity_date", "created_date")
-
-
-@query
-def synth_cases(b: BenchTables) -> DataFrame:
-    out = synth.synth_cases(_event_ids(b), settle(_synth_accounts(b), "synth_accounts"))
-    return _text(out, "created_date", "closed_date")
-
-
-@query
-def synth_activities(b: BenchTables) -> DataFrame:
-    out = synth.synth_activities(_event_ids(b), settle(_synth_accounts(b), "synth_accounts"))
-    return _text(out, "activity_date")
-
-
-@query
-def title_summary(b: BenchTables) -> DataFrame:
-    contacts = synth.synth_contacts(_event_ids(b), settle(_synth_accounts(b), "synth_accounts"))
-    return rollups.summarize(
-        contacts, ["title"], {"contacts": F.count(F.lit(1))}, [F.desc("contacts"), F.col("title")]
-    )
-
-
-@query
-def activity_type_summary(b: BenchTables) -> DataFrame:
-    activities = synth.synth_activities(_event_ids(b), settle(_synth_accounts(b), "synth_accounts"))
-    return rollups.summarize(
-        activities, ["activity_type"], {"activities": F.count(F.lit(1))},
-        [F.desc("activities"), F.col("activity_type")],
-    )
-
-
-@query
-def synth_story_check(b: BenchTables) -> DataFrame:
-    """The story check over generated tables, for every account."""
-    accounts = settle(_synth_accounts(b), "synth_accounts")
-    out = rollups.story_check(
-        accounts, synth.synth_activities(_event_ids(b), accounts),
-        synth.synth_cases(_event_ids(b), accounts), synth.synth_opportunities(_order_ids(b), accounts),
-    )
-    return _text(out, "last_activity_date")
-
-
 # --- streaming -------------------------------------------------------------------------------
 
 

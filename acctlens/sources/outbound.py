@@ -2,64 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BATCH = 200
 
 
-def outbound_batches(records: DataFrame, key: str, body: str, batch: int = BATCH) -> DataFrame:
-    """Groups records (key, JSON body) into batches of at most ``batch`` newline-joined bodies.
+def write_outbound(df: DataFrame, path: str, body: str = "body", batch: int = BATCH) -> None:
+    """One JSON record per line, and a file per batch: no file holds more than ``batch`` records.
 
-    Each task cuts its own rows as they stream by and carries over less than one batch. No shuffle
-    and no global numbering: a repeated task produces its partition's batches again as a whole,
-    and the file commit keeps one of the copies. A batch is named by its first key.
+    Each task cuts its own rows as it writes them, so nothing is shuffled or numbered; a repeated
+    task writes its files again, and the commit keeps one set.
     """
+    df.select(F.col(body).alias("value")).write.mode("overwrite").option("maxRecordsPerFile", batch).text(path)
 
-    def chunk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys: list[str] = []
-        bodies: list[str] = []
-
-        def cut(upto: int) -> pd.DataFrame:
-            starts = range(0, upto, batch)
-            key_lists = [keys[i:i + batch] for i in starts]
-            out = pd.DataFrame({
-                "batch_id": [k[0] for k in key_lists],
-                "records": [len(k) for k in key_lists],
-                "keys": key_lists,
-                "body": ["\n".join(bodies[i:i + batch]) for i in starts],
-            })
-            del keys[:upto], bodies[:upto]
-            return out
-
-        for frame in frames:
-            keys.extend(frame[key])
-            bodies.extend(frame[body])
-            full = len(keys) - len(keys) % batch
-            if full:
-                yield cut(full)
-        if keys:
-            yield cut(len(keys))
 
-    rows = records.select(F.col(key).cast("string").alias(key), F.col(body))
-    return rows.mapInPandas(
-        chunk, schema="batch_id string, records int, keys array<string>, body string"
-    )
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """(batch, line) of a written feed; a batch is named by its file."""
+    return spark.read.text(path).select(F.col("_metadata.file_name").alias("batch"), F.col("value").alias("line"))
 
 
-def write_outbound(
-    df: DataFrame, path: str, key: str = "Id", body: str = "body", batch: int = BATCH
-) -> None:
-    """One text line per record, batch by batch, as newline-delimited JSON files."""
-    outbound_batches(df, key, body, batch).select("body").write.mode("overwrite").text(path)
+def check_batches(batches: DataFrame, key: str = "Id", batch: int = BATCH) -> DataFrame:
+    """One row: records, batches over the limit, and ids that occur more than once."""
+    sizes = batches.groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
+    ids = batches.groupBy(F.get_json_object("line", f"$.{key}").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    over = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.count_if(F.col("n") > batch).alias("oversized"))
+    return over.withColumn("repeated_ids", ids.agg(F.count_if(F.col("n") > 1)).scalar())
 
 
-def reconcile(results: DataFrame) -> DataFrame:
-    """One row: delivered and failed records. An unknown outcome counts as failed."""
+def reconcile(results: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Delivered and failed records, in one row or one for each value of the columns ``by``, such as
+    the object. An unknown outcome counts as failed."""
     ok = F.coalesce(F.col("success"), F.lit(False))
-    return results.agg(F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"))
+    return results.groupBy(*(by or [])).agg(F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"))
 
 
 def first_errors(results: DataFrame, key: str = "id", n: int = 3) -> DataFrame:

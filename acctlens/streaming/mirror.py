@@ -1,16 +1,17 @@
-"""Continuous ingest of change records into a mirror that keeps the latest row per key.
+"""Continuous ingest of change records, from which the latest row per key is read.
 
-Each micro-batch is written as its own folder of a change table, so its cost follows the batch
-and not the mirror. Readers resolve the latest row per key over the last compacted snapshot and
-the changes after it. Writing a batch again replaces the same folder, which makes replays
-harmless, and a late record loses by its order columns whenever it arrives.
+Each micro-batch becomes a folder of its own, named by its number, with the newest row per key of the
+batch. Writing a batch again replaces the same folder, which makes replays harmless, and the commit
+of the write keeps unfinished files out of sight. Those folders are the whole state: readers take the
+newest row per key over all of them, and a late record loses by its order columns whenever it
+arrives.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from acctlens.operators.rollups import latest_by_key
@@ -20,64 +21,26 @@ ORDER = ["change_ts", "change_seq"]
 
 @dataclass(frozen=True)
 class Mirror:
-    """A mirrored object: schema, key, order of changes, and the shared folder that holds it."""
+    """A mirrored object: schema, key, order of changes, and the shared folder of its batches."""
 
     folder: str
     schema: T.StructType
     key: str = "Id"
     order: tuple[str, ...] = tuple(ORDER)
 
-    @property
-    def changes(self) -> str:
-        return f"{self.folder}/changes"
-
-    @property
-    def snapshots(self) -> str:
-        return f"{self.folder}/snapshots"
-
-    @property
-    def log(self) -> str:
-        return f"{self.folder}/log"
-
-    def _mark(self, spark: SparkSession, kind: str, batch_id: int) -> None:
-        """Appends a small record once the data it names is complete."""
-        row = spark.range(1).select(F.lit(kind).alias("kind"), F.lit(batch_id).alias("batch_id"))
-        row.coalesce(1).write.mode("append").json(self.log)
-
-    def _last(self, spark: SparkSession, kind: str) -> int:
-        marks = spark.read.schema("kind string, batch_id bigint").json(self.log)
-        last = marks.where(F.col("kind") == kind).agg(F.max("batch_id")).first()[0]
-        return -1 if last is None else last
-
-    def upsert_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """Reduce the batch to its newest row per key and store it under its id."""
+    def store_batch(self, batch: DataFrame, batch_id: int) -> None:
+        """Reduce the batch to its newest row per key and store it under its number."""
         newest = latest_by_key(batch, self.key, list(self.order))
-        newest.write.mode("overwrite").parquet(f"{self.changes}/batch_id={batch_id}")
-        self._mark(batch.sparkSession, "batch", batch_id)
-
-    def versions(self, spark: SparkSession) -> DataFrame:
-        """Snapshot rows and later changes, up to the last complete batch."""
-        done, base = self._last(spark, "batch"), self._last(spark, "snapshot")
-        full = T.StructType(self.schema.fields + [T.StructField("batch_id", T.LongType())])
-        rows = (
-            spark.read.schema(full).parquet(self.changes)
-            .where(F.col("batch_id").between(base + 1, done))
-            .drop("batch_id")
-        )
-        if base < 0:
-            return rows
-        return spark.read.schema(self.schema).parquet(f"{self.snapshots}/upto={base}").unionByName(rows)
+        newest.write.mode("overwrite").parquet(f"{self.folder}/batch_id={batch_id}")
 
     def read(self, spark: SparkSession) -> DataFrame:
-        """Current row per key. Deleted rows stay, flagged, as the metrics expect."""
-        return latest_by_key(self.versions(spark), self.key, list(self.order))
-
-    def compact(self, spark: SparkSession) -> None:
-        """Fold the complete batches into a new snapshot; run it on a schedule."""
-        done = self._last(spark, "batch")
-        if done > self._last(spark, "snapshot"):
-            self.read(spark).write.mode("overwrite").parquet(f"{self.snapshots}/upto={done}")
-            self._mark(spark, "snapshot", done)
+        """Current row per key, none before the first batch. Deleted rows stay, flagged, as the
+        metrics expect."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return spark.createDataFrame([], self.schema)
+        rows = spark.read.schema(self.schema).parquet(self.folder).select(*self.schema.names)
+        return latest_by_key(rows, self.key, list(self.order))
 
 
 def start_mirror(
@@ -89,7 +52,7 @@ def start_mirror(
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     writer = (
-        reader.load(source).writeStream.foreachBatch(mirror.upsert_batch)
+        reader.load(source).writeStream.foreachBatch(mirror.store_batch)
         .option("checkpointLocation", checkpoint)
     )
     trigger = {"availableNow": True} if available_now else {"processingTime": "1 minute"}

@@ -22,7 +22,7 @@ HEADLINE = [
     "account_risk_summary", "feature_matrix", "on_demand_score", "revenue_trend", "delivery_reliability",
     "whitespace_score", "peer_benchmark", "deep_insights", "decide_action", "account_briefing",
     "briefing_payload", "outbound_batches", "metric_by_region_bu", "fk_resolve", "audit_triage",
-    "cidr_match", "latest_by_key", "synth_opportunities",
+    "cidr_match", "latest_by_key", "whitespace_families",
 ]
 
 

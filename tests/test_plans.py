@@ -124,8 +124,15 @@ def test_on_demand(scored, frame):
     rows = {r.request_id: r for r in sc.on_demand_score(requests, scored).collect()}
     assert (rows[1].risk_score, rows[1].risk_category, rows[1].success) == (44.0, "Medium", True)
     assert rows[2].risk_score == 24.0 and rows[2].risk_category == "Low"
-    assert rows[3].success is False and rows[3].error == "Account not found: S9" and rows[3].risk_score is None
-    assert rows[4].error == "Account not found: none"
+    assert (rows[1].found, rows[3].found, rows[4].found) == (True, False, False)
+    assert rows[3].success and rows[3].risk_score == 1.0 and rows[4].risk_score == 0.0
+    # a record of its own, and two that can't be scored: neither ends the job
+    bare = frame([(5, None, 200.0, 1.0), (6, "S1", 1e15, 0.0), (7, "S1", float("nan"), 0.0)],
+                 "request_id bigint, sf_account_id string, days_since_last_activity double, escalated_case_count double")
+    rows = {r.request_id: r for r in sc.on_demand_score(bare, scored).collect()}
+    assert rows[5].risk_score == 53.0 and rows[5].success and not rows[5].found
+    assert [rows[i].error for i in (6, 7)] == ["Not a usable number: days_since_last_activity"] * 2
+    assert rows[6].risk_score is None and not rows[6].success and rows[6].found
 
 
 def test_publish_and_read_back(scored):

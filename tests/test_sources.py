@@ -1,11 +1,10 @@
 import json
-from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
 from acctlens.schemas import AUDIT_LOG, CRM_ACCOUNTS, MIRROR, parsed
-from acctlens.sources import logs, outbound, synth, tables as tb
+from acctlens.sources import logs, outbound, tables as tb
 
 
 def test_snapshot_replaces_rows_and_schema(spark, frame, tmp_path):
@@ -53,6 +52,16 @@ def test_settle_uses_the_shared_folder(spark, frame):
     assert all(folder in f for f in out.inputFiles())
 
 
+def test_refresh_gold_refuses_double_keys(spark, sf_dir, tmp_path):
+    from acctlens.plans.gold import refresh_gold
+    from acctlens.sources import bench_tables as bt
+
+    entities = bt.BenchTables(spark, sf_dir).entities()
+    twice = entities["sf_cdm_key_mapping"].union(entities["sf_cdm_key_mapping"].limit(1))
+    with pytest.raises(ValueError, match="occurs 2 times"):
+        refresh_gold({**entities, "sf_cdm_key_mapping": twice}, bt.EVENTS_AS_OF, bt.SOURCE, tb.Catalog(directory=str(tmp_path)))
+
+
 def test_make_and_conform(spark):
     df = tb.make_table(spark, [("A", 1)], "account_id string, customer_shipto_key int")
     wide = df.withColumns({c: F.lit(None) for c in parsed(CRM_ACCOUNTS).names if c not in df.columns})
@@ -61,29 +70,25 @@ def test_make_and_conform(spark):
     assert len(parsed(AUDIT_LOG).fields) == 7 and all(parsed(s).fields for s in MIRROR.values())
 
 
-@pytest.mark.parametrize("rows, parts", [(0, 1), (1, 1), (200, 1), (401, 1), (1500, 4)])
-def test_outbound_batches(spark, rows, parts):
-    df = spark.range(0, rows, 1, parts).select(
-        F.col("id").alias("Id"), F.to_json(F.struct(F.col("id").alias("n"))).alias("body"))
-    out = outbound.outbound_batches(df, "Id", "body").collect()
-    assert sorted(k for r in out for k in r["keys"]) == sorted(str(i) for i in range(rows))
-    assert all(r["records"] == len(r["keys"]) == len(r["body"].split("\n")) <= 200 for r in out)
-    assert len({r["batch_id"] for r in out}) == len(out)
-    if parts == 1:
-        assert len(out) == -(-rows // 200)
-
-
-def test_write_outbound(spark, tmp_path):
-    df = spark.range(450).select(F.col("id").alias("Id"), F.to_json(F.struct("id")).alias("body"))
-    outbound.write_outbound(df, str(tmp_path / "feed"))
-    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "feed")).collect()]
-    assert sorted(r["id"] for r in lines) == list(range(450))
+@pytest.mark.parametrize("rows, parts, batch, files", [(1, 1, 200, 1), (450, 1, 200, 3), (450, 1, 7, 65), (1500, 4, 200, 8)])
+def test_write_outbound(spark, tmp_path, rows, parts, batch, files):
+    df = spark.range(0, rows, 1, parts).select(F.to_json(F.struct(F.col("id").alias("Id"))).alias("body"))
+    outbound.write_outbound(df, str(tmp_path / "feed"), batch=batch)
+    batches = outbound.read_batches(spark, str(tmp_path / "feed"))
+    lines = [json.loads(r.line) for r in batches.collect()]
+    assert sorted(r["Id"] for r in lines) == list(range(rows))
+    assert batches.select("batch").distinct().count() == files
+    assert tuple(outbound.check_batches(batches, batch=batch).first()) == (rows, 0, 0)
+    if rows == 450:
+        assert outbound.check_batches(batches.union(batches), batch=batch).first()["repeated_ids"] == 450
 
 
 def test_reconcile(frame):
     results = frame([(3, False, "c"), (1, True, None), (2, False, "b"), (4, None, "d"), (5, False, "e")],
                     "id int, success boolean, errors string")
     assert tuple(outbound.reconcile(results).first()) == (1, 4)
+    by = outbound.reconcile(results.withColumn("object", F.col("id") % 2), ["object"])
+    assert sorted(tuple(r) for r in by.collect()) == [(0, 0, 2), (1, 1, 2)]
     assert [tuple(r) for r in outbound.first_errors(results).collect()] == [(2, "b"), (3, "c"), (4, "d")]
 
 
@@ -92,71 +97,3 @@ def test_scan_log(spark, tmp_path):
     path.write_text("  CALLOUT_REQUEST\tone \nnothing\nexception\n" + " FATAL " + "x" * 400 + "\n")
     out = sorted(r.value for r in logs.scan_log(logs.read_log(spark, str(path))).collect())
     assert out[0] == "CALLOUT_REQUEST\tone" and len(out) == 2 and len(out[1]) == 300
-
-
-# --- generated data --------------------------------------------------------------------------
-
-
-@pytest.fixture(scope="module")
-def customers(spark):
-    return spark.range(1, 401).select(
-        F.col("id").alias("customer_shipto_key"), (F.col("id") % 7).alias("customer_sales_org_key"))
-
-
-@pytest.fixture(scope="module")
-def accounts(spark, customers):
-    orgs = spark.range(6).select(F.col("id").alias("customer_sales_org_key"), F.lit("Rep").alias("rp_emp_first"),
-                                 F.col("id").cast("string").alias("rp_emp_last"))
-    return tb.settle(synth.synth_accounts(customers, orgs), "accounts")
-
-
-def test_accounts(accounts):
-    rows = accounts.collect()
-    assert len({r.account_name for r in rows}) == len(rows) == 400
-    assert rows and all(r.account_id == f"SF-ACCT-{r.customer_shipto_key:04d}" for r in rows)
-    for r in rows:
-        low, high = synth.REVENUE[r.industry_segment]
-        assert low <= r.annual_revenue <= high
-        assert r.billing_state in synth.REGION_STATES[r.billing_region]
-        assert date(2020, 1, 1) <= r.created_date <= date(2024, 2, 9)
-        assert (r.owner_rep_name is None) == (r.customer_shipto_key % 7 == 6)
-    by_name = {r.account_name: r for r in rows}
-    assert by_name[synth.DECLINING.name].annual_revenue == 420_000.0
-    assert by_name[synth.DECLINING.name].industry_segment == "Academic"
-    assert {r.industry_segment for r in rows} == set(synth.REVENUE)
-
-
-def test_children(spark, accounts):
-    ids = spark.range(3000).select(F.col("id").alias("i"))
-    revenue = {r.account_id: r.annual_revenue for r in accounts.collect()}
-    opps = synth.synth_opportunities(ids, accounts).collect()
-    assert len(opps) == 3000 and len({r.account_id for r in opps}) > 350
-    for r in opps:
-        assert 0.02 * revenue[r.account_id] - 0.01 <= r.amount <= 0.15 * revenue[r.account_id] + 0.01
-        closed = r.stage_name.startswith("Closed")
-        start = date(2026, 1, 1) if closed else date(2026, 10, 1)
-        assert 0 <= (r.close_date - start).days <= (270 if closed else 180)
-        assert 30 <= (r.close_date - r.created_date).days <= 180
-    assert 0.2 < sum(r.stage_name == "Proposal/Price Quote" for r in opps) / 3000 < 0.3
-
-    cases = synth.synth_cases(ids, accounts)
-    target = accounts.where(F.col("account_name") == synth.DECLINING.name).first().account_id
-    planted = cases.where((F.col("account_id") == target) & (F.substring("case_id", -1, 1).isin("1", "6")))
-    assert {(r.status, r.priority, r.case_type) for r in planted.collect()} <= {("Escalated", "High", "Shipping Issue")}
-    wrong = cases.where("closed_date <= created_date OR (status = 'Closed' AND closed_date IS NULL)")
-    assert wrong.count() == 0
-
-    acts = synth.synth_activities(ids, accounts)
-    last = acts.where(F.col("account_id") == target).agg(F.max("activity_date")).first()[0]
-    assert last is None or last <= date(2026, 8, 25)
-    contacts = synth.synth_contacts(ids, accounts)
-    assert contacts.where(~F.col("email").rlike(r"^[a-z]+\.[a-z]+@[^ &]{1,20}\.com$")).count() == 0
-    assert contacts.where(~F.col("phone").rlike(r"^\(\d{3}\) \d{3}-\d{4}$")).count() == 0
-
-
-def test_generator_ignores_partitioning(spark, accounts):
-    ids = spark.range(500).select(F.col("id").alias("i"))
-    for make in (synth.synth_opportunities, synth.synth_activities):
-        one = make(ids.repartition(1), accounts)
-        many = make(ids.repartition(13), accounts.repartition(5))
-        assert one.exceptAll(many).count() == 0 and one.count() == many.count() == 500
