@@ -1,9 +1,9 @@
 """Groups of connected items from buckets of candidates, without all pairs of a bucket.
 
-Two items are compared only while nothing has connected them yet. Each bucket first compares a few
-of its members, its hubs, with all others; what links to a hub is then one group and needs no
-further comparison inside. Later rounds take four times as many hubs, and only members that are
-still in different groups are compared. After the last round every pair of a bucket has either been
+Two items are compared only while nothing has connected them yet. Each bucket first compares one
+of its members, its hub, with all others; what links to a hub is then one group and needs no further
+comparison inside. Later rounds take about four hubs, then four times as many each time, and only
+members that are still in different groups are compared. After the last round every pair of a bucket has either been
 compared or is connected, so no link between groups is lost, and a bucket of like items costs a few
 comparisons for each member.
 """
@@ -65,17 +65,25 @@ def sizes_within(least: float) -> Column:
 def shared_buckets(members: DataFrame) -> DataFrame:
     """The members (bucket long, id long, ...) of buckets with company, as a written table.
 
-    Adds what :func:`linked` needs: the bucket's size n, the member's place in it, the round in which
-    it is a hub, and the number of parts that the bucket is split into.
+    Adds what :func:`linked` needs: the bucket's size n, the round ``level`` in which the member is a
+    hub, its ``place`` among the hubs of a round, and the number of parts that the bucket is split
+    into. The first hub of a bucket is the member with most company in all its buckets, as it is most
+    likely to be like the others; it tends to be the same item in all buckets that it shares with
+    them. The further hubs follow by a hash of the item.
     """
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # A place from 0 to n that only depends on the item; half its binary logarithm is the round.
-    place = F.pmod(F.xxhash64("id", "bucket"), F.lit(1 << 31)) / F.lit(1 << 31) * F.col("n")
-    level = F.when((F.col("n") <= SMALL_BUCKET) | (F.col("place") < 4), 0).otherwise(F.floor(F.log2("place") / 2).cast("int"))
-    out = members.join(sizes, "bucket").withColumn("place", place).withColumn("level", level)
-    out = settle(out.withColumn("parts", (F.col("n") / SPLIT).cast("int") + 1), "members")
-    free_shuffles(out)
-    return out
+    shared = settle(members.join(sizes, "bucket"), "shared")
+    free_shuffles(shared)
+    noise = F.pmod(F.xxhash64("id"), F.lit(1 << 24))
+    company = shared.groupBy("id").agg((F.sum("n") * (1 << 24)).alias("company"))
+    ranked = shared.join(company.withColumn("company", F.col("company") + noise), "id")
+    first = ranked.groupBy("bucket").agg(F.max("company").alias("most"))
+    place = noise / F.lit(1 << 24) * F.col("n")
+    now = (F.col("n") <= SMALL_BUCKET) | (F.col("company") == F.col("most"))
+    level = F.when(now, 0).when(F.col("place") < 4, 1).otherwise(1 + F.floor(F.log2("place") / 2).cast("int"))
+    out = ranked.join(first, "bucket").withColumn("place", place).withColumn("level", level)
+    out = out.withColumn("parts", (F.col("n") / SPLIT).cast("int") + 1).drop("company", "most")
+    return settle(out, "members")
 
 
 def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], also: Column | None = None) -> DataFrame:
@@ -97,7 +105,9 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], also: C
             seen = seen.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         keyed = seen.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
         hubs = seen.where(F.col("level") == now).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        later = (F.col("x.place") < F.col("y.place")) | ((F.col("x.place") == F.col("y.place")) & (F.col("x.id") < F.col("y.id")))
+        # Each pair of a bucket once: by the round, then by place, then by id.
+        order = [F.struct(f"{m}.level", f"{m}.place", f"{m}.id") for m in "xy"]
+        later = order[0] < order[1]
         same = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") == F.col("y.part"))
         pairs = hubs.alias("x").join(keyed.alias("y"), same & later & (F.col("x.root") != F.col("y.root")) & possible)
         pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
