@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from acctlens.llm.linking import linked, shared_buckets, sizes_within
+from acctlens.llm.rows import packed_rows, unpacked_rows
 from acctlens.llm.textbytes import Texts, chunks, mixed
 from acctlens.operators.joins import lookup_join
 from acctlens.sources.tables import settle
@@ -206,7 +207,7 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     # A null doc_id comes last, so it only stays in a class of such.
     keep = texts.groupBy("root").agg(
         F.min(F.struct(F.col("first").isNull().alias("n"), "first", "digest", "mark")).alias("k"))
-    keep = keep.select(F.col("k.digest").alias("_digest"), F.col("k.mark").alias("_mark"))
-    keyed = docs.where(F.col("text").isNotNull()).withColumns({"_digest": F.unhex(F.md5("text")), "_mark": F.xxhash64("doc_id")})
-    kept = keyed.join(keep, ["_digest", "_mark"], "left_semi").dropDuplicates(["_digest", "_mark"])
-    return kept.drop("_digest", "_mark").unionByName(docs.where(F.col("text").isNull()))
+    keep = keep.select("k.digest", "k.mark")
+    keyed = packed_rows(docs.where(F.col("text").isNotNull()), _digest(), _mark())
+    kept = keyed.join(keep, ["digest", "mark"], "left_semi").dropDuplicates(["digest", "mark"])
+    return unpacked_rows(kept, docs).unionByName(docs.where(F.col("text").isNull()))

@@ -1,7 +1,64 @@
-"""DuckDB SQL for the queries on training data that SQL can express."""
+"""DuckDB SQL for the queries on training data that SQL can express.
+
+The others have none: tokens, checksums by CRC, simhashes, packings, trees, models and positions of
+matches are compared with brute force in the tests.
+"""
 
 from __future__ import annotations
 
+import string
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+_QUALITY = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (
+    SELECT *, regexp_extract_all(t, '{_WORD}') AS ws,
+           list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls
+    FROM d),
+windows AS (
+    SELECT r, i, count(*) OVER (PARTITION BY r, text) AS copies
+    FROM (SELECT r, i, array_to_string(ws[i:i + 7], ' ') AS text
+          FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM w))),
+covered AS (
+    SELECT r, count(DISTINCT p) AS n
+    FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM windows WHERE copies > 1) GROUP BY r),
+counts AS (
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+           CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+           CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+           CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, len(ls) AS n_lines,
+           CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+           len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS lettered,
+           length(regexp_replace(t, '[^A-Z]', '', 'g')) AS upper_case,
+           length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS letters
+    FROM w LEFT JOIN covered USING (r)),
+failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 6 * n_lines OR word_chars < 2 * n_words
+            OR word_chars > 25 * n_words OR 10 * lettered < 6 * n_words OR 10 * upper_case > 6 * letters) AS kept
+FROM failed"""
+
+# All pairs of texts that share a shingle, so for small tables only.
+_NEAR = rf"""
+WITH RECURSIVE t AS (
+    SELECT text, min(doc_id) AS rep,
+           regexp_extract_all(translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '{_WORD}') AS ws
+    FROM documents WHERE text IS NOT NULL GROUP BY text),
+s AS (
+    SELECT DISTINCT rep, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM t),
+n AS (SELECT rep, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.rep < b.rep GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.rep = a JOIN n y ON y.rep = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+reach(u, v) AS (
+    SELECT rep, rep FROM t
+    UNION
+    SELECT r.u, f.b FROM reach r JOIN (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) f ON r.v = f.a),
+c AS (SELECT u, min(v) AS class_id, count(*) AS n_texts FROM reach GROUP BY u)
+SELECT doc_id, class_id, n_texts FROM documents JOIN t USING (text) JOIN c ON u = rep
+UNION ALL SELECT doc_id, doc_id, 1 FROM documents WHERE text IS NULL"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_quality_rules": _QUALITY, "op4_near_dedup": _NEAR}

@@ -18,8 +18,9 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
+from acctlens.llm.rows import packed_rows, unpacked_rows
 from acctlens.llm.textbytes import batches
 from acctlens.operators.joins import lookup_join
 from acctlens.sources.tables import settle
@@ -136,22 +137,20 @@ def redact_secrets(docs: DataFrame, ledger: DataFrame | None = None) -> DataFram
     new = grow_ledger(docs, ledger)
     full = new if ledger is None else ledger.unionByName(new)
     known = full.where((F.col("rules_version") == RULES_VERSION) & (F.col("spans") != ""))
-    tagged = docs.withColumn("_blob", F.sha2("text", 256))
-    counts = tagged.select("_blob").groupBy("_blob").agg(F.count(F.lit(1)).alias("_n"))
-    found = lookup_join(tagged, known.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "_blob", counts=counts)
-    names, counted = docs.columns, "n_chars" in docs.columns
+    tagged = packed_rows(docs, F.sha2("text", 256).alias("blob"), F.col("text"))
+    counts = tagged.groupBy("blob").agg(F.count(F.lit(1)).alias("_n"))
+    found = lookup_join(tagged, known.select("blob", "spans"), "blob", counts=counts)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
             for part in batches(whole, "text"):
-                spans, texts = part.column("_spans").to_pylist(), part.column("text").to_pylist()
-                columns = {n: part.column(n) for n in names}
-                if any(spans):
-                    texts = [redacted(t, s) if s else t for t, s in zip(texts, spans)]
-                    columns["text"] = pa.array(texts, columns["text"].type)
-                    if counted:
-                        chars = zip(columns["n_chars"].to_pylist(), texts, spans)
-                        columns["n_chars"] = pa.array([len(t) if s else n for n, t, s in chars], columns["n_chars"].type)
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names)
-
-    return found.select(*names, "_spans").mapInArrow(run, docs.schema)
+                spans, texts = part.column("spans").to_pylist(), part.column("text").to_pylist()
+                cut = pa.array([redacted(t, s) if s else t for t, s in zip(texts, spans)], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("row"), cut, pa.array([bool(s) for s in spans])], ["row", "text", "cut"])
+
+    cut = found.select("row", "text", "spans").mapInArrow(run, T.StructType([found.schema["row"], T.StructField("text", T.StringType()), T.StructField("cut", T.BooleanType())]))
+    changed = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col("cut"), chars).otherwise(F.col("row").getField("n_chars"))
+    return unpacked_rows(cut, docs, **changed)
