@@ -99,7 +99,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     the application is done with its results.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
