@@ -182,7 +182,7 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
         F.first("size").alias("size"), F.first("bands").alias("bands"))
     # The numbers are fixed by writing the table.
     texts = settle(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
-    members = shared_buckets(texts.select(F.explode("bands").alias("bucket"), "id", "size"))
+    members = shared_buckets(texts.select(F.explode("bands").alias("bucket"), "id"), texts.select("id", "size"))
     wanted = members.select("id").distinct().join(texts.select("id", "digest", "mark"), "id")
     sets = settle(_shingle_sets(docs, wanted), "sets")
     roots = linked(members, _verifier(sets, threshold), sizes_within(threshold))

@@ -116,11 +116,12 @@ def test_signature_estimates_probability_jaccard():
 def test_linked_compares_what_is_not_connected(spark):
     # one bucket of two groups that are not alike, so that every pair across them must be refused
     n = 6 * SMALL_BUCKET
-    members = spark.range(n).select(F.lit(1).cast("long").alias("bucket"), "id", F.lit(1).alias("size"))
-    roots = linked(shared_buckets(members), lambda pairs: pairs.where("a % 2 = b % 2"))
+    members = spark.range(n).select(F.lit(1).cast("long").alias("bucket"), "id")
+    members = shared_buckets(members, members.select("id", F.lit(1).alias("size")))
+    roots = linked(members, lambda pairs: pairs.where("a % 2 = b % 2"))
     assert {r.id: r.root for r in roots.collect()} == {i: i % 2 for i in range(2, n)}
     # a chain: only neighbours are alike
-    roots = linked(shared_buckets(members), lambda pairs: pairs.where("b - a = 1"))
+    roots = linked(members, lambda pairs: pairs.where("b - a = 1"))
     assert {r.id: r.root for r in roots.collect()} == {i: 0 for i in range(1, n)}
 
 
