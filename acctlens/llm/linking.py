@@ -102,16 +102,23 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], also: C
     without which they can't be linked. ``verify`` takes distinct pairs (a, b) and returns those
     that are links.
     """
-    last = members.agg(F.max("level")).first()[0]
     possible = F.lit(True) if also is None else also
     roots: DataFrame | None = None
-    for now in range(0 if last is None else last + 1):
-        # Members of buckets that were settled at once have no later hubs.
-        seen = members if now == 0 else members.where(F.col("n") > SMALL_BUCKET)
-        if roots is None:
-            seen = seen.withColumn("root", F.col("id"))
+    now, empty = 0, members.select("id", F.col("id").alias("root")).where("false")
+    while True:
+        if now:
+            # Only buckets that are still of several groups go on; small ones were settled at once.
+            seen = members.where(F.col("n") > SMALL_BUCKET)
+            if roots is not None:
+                seen = seen.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+            mixed = seen.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("bucket")
+            members = settle(seen.join(mixed, "bucket"), "members")
         else:
-            seen = seen.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+            members = members.withColumn("root", F.col("id"))
+        last = members.agg(F.max("level")).first()[0]
+        if last is None or last < now:
+            return empty if roots is None else roots
+        seen = members
         keyed = seen.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
         hubs = seen.where(F.col("level") == now).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         # Each pair of a bucket once: by the round, then by place, then by id.
@@ -121,10 +128,9 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], also: C
         pairs = hubs.alias("x").join(keyed.alias("y"), same & later & (F.col("x.root") != F.col("y.root")) & possible)
         pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
         links = settle(verify(pairs), "links")
+        now += 1
         if links.isEmpty():
             continue
         if roots is not None:
             links = links.union(roots.select("id", "root"))
         roots = settle(connected(links), "roots")
-    empty = members.select("id", F.col("id").alias("root")).where("false")
-    return empty if roots is None else roots
