@@ -173,17 +173,17 @@ def evidence(node: Node) -> tuple[str, ...]:
     size = "size:" + ("0" if not node.chars else str(min(4, int(math.log(node.chars, 6)))))
     share = node.linked / node.chars if node.chars else 0.0
     links = "none" if not node.linked else "few" if share < 0.3 else "some" if share < 0.7 else "most"
-    return (f"tag:{tag}/{links}", "cue:" + node.cue, size)
+    return (f"tag:{tag}/{node.cue}/{links}", size)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Log odds of main text: of each feature, of the root, and the child's label given the parent's."""
+    """Log odds of main text of each feature and of the root, and the child's label given the parent's."""
 
     features: dict[str, float]
     prior: float
-    # Chance that a child is main text if its parent is around, and if it is main.
-    child: tuple[float, float]
+    # By the child's names: chance that it is main text if its parent is around, and if it is main.
+    child: dict[str, tuple[float, float]]
 
 
 def train(pages: Iterable[str]) -> Model:
@@ -197,29 +197,30 @@ def train(pages: Iterable[str]) -> Model:
             labels[known[i]] += 1
             seen.update((f, known[i]) for f in evidence(node))
             if i:
-                edges[known[node.parent], known[i]] += 1
+                edges[node.cue, known[node.parent], known[i]] += 1
     odds = {
         f: math.log((seen[f, 1] + 1) / (labels[1] + 2)) - math.log((seen[f, 0] + 1) / (labels[0] + 2))
         for f in {f for f, _ in seen}}
-    child = tuple((edges[p, 1] + 1) / (edges[p, 0] + edges[p, 1] + 2) for p in (0, 1))
+    child = {
+        cue: tuple((edges[cue, p, 1] + 1) / (edges[cue, p, 0] + edges[cue, p, 1] + 2) for p in (0, 1))
+        for cue in ("none", "around", "main")}
     return Model(odds, math.log((labels[1] + 1) / (labels[0] + 1)), child)
 
 
 def marginals(page: Page, model: Model) -> list[float]:
     """Log odds of main text of every node, by messages up and down the tree."""
-    t0, t1 = model.child
     get = model.features.get
     # The edges carry the share of main text, so a node's own features come in without a prior.
     belief = [max(-20.0, min(20.0, sum(get(f, 0.0) for f in evidence(n)))) for n in page.nodes]
     belief[0] += model.prior
-    up = [0.0] * len(belief)
+    up, ties = [0.0] * len(belief), [model.child[n.cue] for n in page.nodes]
     exp, log = math.exp, math.log
     for i in range(len(belief) - 1, 0, -1):
-        e = exp(max(-60.0, min(60.0, belief[i])))
+        e, (t0, t1) = exp(max(-60.0, min(60.0, belief[i]))), ties[i]
         up[i] = log((t1 * e + 1 - t1) / (t0 * e + 1 - t0))
         belief[page.nodes[i].parent] += up[i]
     for i in range(1, len(belief)):
-        e = exp(max(-60.0, min(60.0, belief[page.nodes[i].parent] - up[i])))
+        e, (t0, t1) = exp(max(-60.0, min(60.0, belief[page.nodes[i].parent] - up[i]))), ties[i]
         belief[i] += log((t1 * e + t0) / ((1 - t1) * e + 1 - t0))
     return belief
 

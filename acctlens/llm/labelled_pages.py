@@ -39,6 +39,7 @@ ARTICLE = [
     '<article class="post" data-main="1"><h2>{s2}</h2><nav data-main="0"><ul>{links}</ul></nav><p>{s12}</p><div>{s30}</div><dl><dt>{s1}</dt><dd>{s8}</dd></dl><footer data-main="0">{s4}</footer></article>',
     '<article data-main="1"><h1>{s2}</h1><p>{s6}</p><div class="ad" data-main="0">{s4}</div><div class="comments" data-main="0"><h4>{s2}</h4><ul><li><p>{s40}</p></li><li>{s9}</li></ul></div>'
     '<div class="cookie-banner" data-main="0"><p>{s20}</p></div><div class="related" data-main="0"><ul>{links}</ul></div></article>',
+    '<article data-main="1"><div><div><div><h1>{s4}</h1><div><p>{s12}</p>{paragraphs}</div><div>{s20}</div></div></div></div><div><div><p>{s3}</p></div></div></article>',
     '<article class="story" data-main="1"><h1>{s4}</h1><p>{s2}</p><aside data-main="0"><p>{s12}</p><ul>{links}</ul></aside><p>{s60}</p><p>{s1}</p></article>',
 ]
 SIDE = [

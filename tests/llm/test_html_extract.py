@@ -58,7 +58,7 @@ def test_messages_give_the_exact_marginals(model):
         for i, (x, node) in enumerate(zip(labels, page.nodes)):
             weight *= exp(own[i]) if x else 1.0
             if i:
-                t = model.child[labels[node.parent]]
+                t = model.child[node.cue][labels[node.parent]]
                 weight *= t if x else 1 - t
         for i, x in enumerate(labels):
             mass[i][x] += weight
