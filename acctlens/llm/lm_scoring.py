@@ -224,7 +224,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         seen = known.column("token").to_numpy()
         order = np.argsort(seen)
         seen, c = seen[order], known.column("c").to_numpy()[order].astype(np.float64)
-        n_tokens, n_known, base, score = [], [], [], []
+        n_tokens, n_known, base, read, rarity = [], [], [], [], []
         floor = np.log10(words.all_tokens + SMOOTH * (words.all_distinct + 1))
         rest = np.log(words.rest + SMOOTH * (words.rest_distinct + 1))
         for _, _, t in chunks(texts.column("text").combine_chunks(), lower=True):
@@ -238,9 +238,12 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             n_tokens.append(np.diff(starts))
             n_known.append(t.per_text(count > 0, starts))
             base.append(np.add.reduceat(np.log10(count + SMOOTH) - floor, starts[:-1]))
-            chance = gru.score(flat, ids, starts, words.end) + np.add.reduceat(within, starts[:-1])
-            score.append(chance / np.log(10))
-        join = [np.concatenate(x) if x else np.zeros(0) for x in (n_tokens, n_known, base, score)]
+            read.append(ids.astype(np.int32))
+            rarity.append(np.add.reduceat(within, starts[:-1]))
+        join = [np.concatenate(x) for x in (n_tokens, n_known, base, rarity)]
+        # All texts of the block side by side: its longest text sets the number of steps once.
+        starts = np.concatenate([[0], np.cumsum(join[0])])
+        join[3] = (gru.score(flat, np.concatenate(read), starts, words.end) + join[3]) / np.log(10)
         total = np.full(len(texts), int(words.all_tokens))
         columns = [texts.column("doc_id"), held, pa.array(join[0].astype(np.int64)), pa.array(join[1].astype(np.int64)),
                    pa.array(total, pa.int64()), pa.array(join[2]), pa.array(join[3])]
