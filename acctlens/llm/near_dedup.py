@@ -71,7 +71,12 @@ def weighted(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def prob_min_hash(owner: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int, places: int) -> np.ndarray:
-    """Signatures (n x places) of n weighted sets given as parallel arrays; an empty set has zeros."""
+    """Signatures (n x places) of n weighted sets given as parallel arrays; an empty set has zeros.
+
+    Places are drawn from ten bits of a random number, so there are 1,024 at most.
+    """
+    if places > 1024:
+        raise ValueError("at most 1024 places")
     earliest = np.full(n * places, np.inf)
     names = np.zeros(n * places, np.uint64)
     active = np.arange(len(owner))

@@ -102,14 +102,14 @@ def test_signature_estimates_probability_jaccard():
     rnd = np.random.default_rng(2)
     names = rnd.integers(1, 2**63, 400).astype(np.uint64)
     x, y = rnd.integers(0, 5, 400).astype(float), rnd.integers(0, 5, 400).astype(float)
-    places = 4096
+    places = 1024
 
     def signature(w):
         at = np.flatnonzero(w)
         return nd.prob_min_hash(np.zeros(len(at), int), names[at], w[at], 1, places)[0]
 
     true = sum(1 / np.maximum(x / x[d], y / y[d]).sum() for d in range(400) if x[d] and y[d])
-    assert abs((signature(x) == signature(y)).mean() - true) < 0.04
+    assert abs((signature(x) == signature(y)).mean() - true) < 0.06
     assert (nd.prob_min_hash(np.zeros(1, int), names[:1], np.ones(1), 1, 128) == names[0]).all()
 
 
