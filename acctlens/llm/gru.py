@@ -152,11 +152,37 @@ class Trainer:
         state = np.zeros((ids.shape[1], HIDDEN), np.float32)
         for t in range(0, len(ids), WINDOW):
             part = slice(t, t + WINDOW)
-            grad, state = gradient(self.flat, ids[part], target[part], mask[part], state)
-            size = np.sqrt(float(grad @ grad))
-            grad *= min(1.0, 1.0 / max(size, 1e-9))
-            self.squares += grad * grad
-            self.flat -= self.rate * grad / np.sqrt(self.squares)
+            state = self.window(ids[part], target[part], mask[part], state)
+
+    def window(self, ids: np.ndarray, target: np.ndarray, mask: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """One step of training; the state after the window."""
+        grad, state = gradient(self.flat, ids, target, mask, state)
+        size = np.sqrt(float(grad @ grad))
+        grad *= min(1.0, 1.0 / max(size, 1e-9))
+        self.squares += grad * grad
+        self.flat -= self.rate * grad / np.sqrt(self.squares)
+        return state
+
+
+    def texts(self, tokens: np.ndarray, starts: np.ndarray, first: int, side: int, turn: int) -> None:
+        """Train on every window of whole texts, given as for :func:`score`, the state carried on from
+        a text's first to its last token. Texts of like length go side by side; ``turn`` orders the groups."""
+        sizes = np.diff(starts)
+        order = np.argsort(-sizes, kind="stable")
+        before = np.empty_like(tokens)
+        before[1:] = tokens[:-1]
+        before[starts[:-1]] = first
+        groups = range(0, len(order), side)
+        for g in np.random.default_rng(turn).permutation(len(groups)):
+            some = order[groups[g] : groups[g] + side]
+            state = np.zeros((len(some), HIDDEN), np.float32)
+            for t in range(0, int(sizes[some[0]]), WINDOW):
+                live = int(np.searchsorted(-sizes[some], -t, side="left"))
+                some, state = some[:live], state[:live]
+                place = np.arange(t, t + min(WINDOW, int(sizes[some[0]]) - t))[:, None]
+                inside = place < sizes[some]
+                at = np.where(inside, starts[some] + place, 0)
+                state = self.window(before[at], tokens[at], inside, state)
 
 
 def score(flat: np.ndarray, tokens: np.ndarray, starts: np.ndarray, first: int, side: int = 1024) -> np.ndarray:

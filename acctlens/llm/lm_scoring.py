@@ -6,9 +6,9 @@ vocabulary: the most frequent tokens, and for all others an id for their shape.
 chance is that of its shape, from the network, times its smoothed share among the tokens of that
 shape, so every token of the corpus has its part in the model.
 
-Training: every training text gives one stretch of some windows, at a place that its hash chooses.
-Each task trains from the same parameters over its texts, by truncated backpropagation with the state
-carried from window to window; the tasks' parameters are averaged, and that is repeated. Scoring:
+Training: each task trains from the same parameters over every window of all its training texts, by
+truncated backpropagation with the state carried on from a text's first to its last token; the tasks'
+parameters are averaged by their tokens, and that is repeated. Scoring:
 every text is read from its first to its last token with the state carried on.
 
 Texts meet the counts of their tokens in blocks: a block of texts and the counts of its distinct
@@ -35,8 +35,7 @@ from acctlens.sources.tables import settle
 SMOOTH = 0.1
 END = np.uint64(0x5851F42D4C957F2D)
 BLOCK_BYTES = 12 << 20
-# Windows of one training text, and rounds of training and averaging.
-STRETCH = 2
+# Rounds of training over all tokens and averaging.
 ROUNDS = 3
 SIDE = 64
 SLICES = 64
@@ -143,21 +142,8 @@ class Vocabulary:
         return int(self.shape_ids[END_SHAPE])
 
 
-def _stretches(value: np.ndarray, ids: np.ndarray, starts: np.ndarray, end: int, turn: int) -> tuple[np.ndarray, ...]:
-    """One stretch of each text, side by side: (before, target, mask), each steps x texts."""
-    sizes, steps = np.diff(starts), STRETCH * gru.WINDOW
-    room = np.maximum(0, sizes - steps) + 1
-    draw = mixed(value[starts[:-1]] + value[starts[1:] - 2].astype(np.uint64) * np.uint64(3) + sizes.astype(np.uint64) * np.uint64(31) + np.uint64(turn))
-    begin = starts[:-1] + (draw % room.astype(np.uint64)).astype(np.int64)
-    at = begin + np.arange(steps)[:, None]
-    mask = at < starts[1:]
-    at = np.where(mask, at, 0)
-    before = np.where(at == starts[:-1], end, ids[np.maximum(at - 1, 0)])
-    return before, ids[at], mask
-
-
 def _training(docs: DataFrame, flat: np.ndarray, words: Vocabulary, turn: int) -> DataFrame:
-    """(part, slice, n, values): parameters of each task, in slices, times the texts it saw."""
+    """(part, slice, n, values): parameters of each task, in slices, times the tokens it saw."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer, seen = gru.Trainer(flat), 0
@@ -165,11 +151,8 @@ def _training(docs: DataFrame, flat: np.ndarray, words: Vocabulary, turn: int) -
             for _, _, t in chunks(part.column("text"), lower=True):
                 value, shape, starts = tokens(t)
                 ids, _ = words.of(value, shape)
-                before, target, mask = _stretches(value, ids, starts, words.end, turn)
-                for lo in range(0, t.n, SIDE):
-                    some = slice(lo, lo + SIDE)
-                    trainer.windows(before[:, some], target[:, some], mask[:, some])
-                seen += t.n
+                trainer.texts(ids, starts, words.end, SIDE, turn)
+                seen += len(value)
         if seen:
             cut = np.array_split(trainer.flat.astype(np.float64) * seen, SLICES)
             part = int(mixed(value[:1])[0] % np.uint64(1 << 20))
@@ -189,7 +172,7 @@ def _summed(table: pa.Table) -> pa.Table:
 
 
 def _averaged(models: DataFrame, flat: np.ndarray) -> np.ndarray:
-    """The mean of the tasks' parameters, weighted by texts, summed in groups and then in all."""
+    """The mean of the tasks' parameters, weighted by tokens, summed in groups and then in all."""
     schema = "part long, slice int, n long, values binary"
     sums = models.withColumn("part", F.pmod("part", F.lit(64))).groupBy("part", "slice").applyInArrow(_summed, schema)
     sums = sums.withColumn("part", F.lit(0).cast("long")).groupBy("slice").applyInArrow(_summed, schema)
