@@ -1,10 +1,10 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
-A document is its set of five-word shingles, each weighted by one plus the logarithm of its count.
-Every shingle is a Poisson process of the rate of its weight, whose arrivals fall on the signature's
+A document is its set of five-word shingles, all of weight one however often they are repeated, as in the
+similarity that decides. Every shingle is a Poisson process of the rate of its weight, whose arrivals fall on the signature's
 places at random; a place keeps its earliest arrival. A process stops as soon as it is later than
 the latest place, so most shingles of a long text end after one or two arrivals. The chance that two
-documents agree in a place is the probability Jaccard similarity of their weights.
+documents agree in a place is the Jaccard similarity of their sets.
 
 Bands of the signature name the candidates. A pair is a link if the exact Jaccard similarity of the
 two shingle sets is at least the threshold; classes are the connected documents. Equal texts are one
@@ -60,14 +60,13 @@ def shingles(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     return owner[order], value[order]
 
 
-def weighted(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash, weight) of the distinct shingles, by text and hash."""
+def distinct(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the distinct shingles, by text and hash."""
     order = np.lexsort((value, owner))
     owner, value = owner[order], value[order]
     new = np.ones(len(owner), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
-    at = np.flatnonzero(new)
-    return owner[at], value[at], 1.0 + np.log(np.diff(np.append(at, len(owner))))
+    return owner[new], value[new]
 
 
 def prob_min_hash(owner: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int, places: int) -> np.ndarray:
@@ -117,9 +116,9 @@ def _signed(docs: DataFrame) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for i, j, t in chunks(part.column("text"), lower=True):
-                owner, value, weight = weighted(*shingles(t))
+                owner, value = distinct(*shingles(t))
                 size = np.bincount(owner, minlength=t.n)
-                keys = band_keys(prob_min_hash(owner, value, weight, t.n, BANDS * ROWS), BANDS, ROWS)
+                keys = band_keys(prob_min_hash(owner, value, np.ones(len(owner)), t.n, BANDS * ROWS), BANDS, ROWS)
                 ends = np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(ends, pa.array(keys[size > 0].ravel()))
                 given = [part.column(c).slice(i, j - i) for c in ("doc_id", "digest", "mark")]
@@ -144,7 +143,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for i, j, t in chunks(part.column("text"), lower=True):
-                owner, value, _ = weighted(*shingles(t))
+                owner, value = distinct(*shingles(t))
                 ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=t.n))]) * 8
                 data = value.tobytes()
                 sets = pa.array([data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
