@@ -27,9 +27,8 @@ from pyspark.sql import DataFrame
 
 from acctlens.llm.textbytes import batches
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]{0,9999}+"|'[^']{0,9999}+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|[^<]++|<""",
-    re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)|[^<]++|<", re.S)
+UNQUOTED = re.compile(r"""[^>"']*+""")
 # After the last sign that could end a tag: comments and text only.
 PLAIN = re.compile(r"<!--.*|[^<]++|<", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -79,6 +78,26 @@ def _attributes(source: str) -> dict[str, str]:
     return {n.lower(): a or b or c or "" for n, a, b, c in ATTRIBUTE.findall(source)}
 
 
+def _tag_end(html: str, at: int, final: dict[str, int], dead: set[int]) -> int:
+    """Where the ``>`` of a tag is whose attributes begin at ``at``: the first one outside quoted values,
+    however long, or the first of all if a quote is not closed or no tag ends after the values.
+
+    ``final`` has the last quotes of the page, which nothing closes. ``dead`` keeps the quotes from which no
+    end was found, so that a broken page is passed once.
+    """
+    place, met = at, []
+    while True:
+        place = UNQUOTED.match(html, place).end()
+        sign = html[place : place + 1]
+        if sign == ">":
+            return place
+        if not sign or place in dead or place == final[sign]:
+            dead.update(met, [place])
+            return html.find(">", at)
+        met.append(place)
+        place = html.find(sign, place + 1) + 1
+
+
 def _cue(attributes: dict[str, str]) -> str:
     names = " ".join(attributes.get(n, "") for n in ("class", "id", "role", "aria-label"))
     if "hidden" in attributes or re.search(r"display\s*:\s*none", attributes.get("style", "")):
@@ -108,11 +127,12 @@ def parse(html: str) -> Page:
                 texts.append((-1, ""))
 
     at, find, last = 0, TOKEN.match, html.rfind(">")
+    final, dead = {sign: html.rfind(sign) for sign in "\"'"}, set()
     while at < len(html):
         found = find(html, at) if at <= last else PLAIN.match(html, at)
         at = found.end()
         text = found[0]
-        tag = found[2] or found[5] if found.re is TOKEN else None
+        tag = found[2] if found.re is TOKEN else None
         if tag is None:
             if (text[0] != "<" or text == "<") and not hidden and not text.isspace():
                 _, node, link = stack[-1]
@@ -123,8 +143,9 @@ def parse(html: str) -> Page:
             elif text.isspace() and not hidden:
                 texts.append((stack[-1][1], " "))
             continue
-        tag, source = tag.lower(), found[3] or found[6] or ""
-        if found[1] or found[4]:
+        end = _tag_end(html, at, final, dead)
+        tag, source, at = tag.lower(), html[at:end], end + 1
+        if found[1]:
             if opened[tag] > 0:
                 close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
             continue
