@@ -49,9 +49,13 @@ BASE_RULES = [
     SecretRule("hex", re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")),
 ]
 MORE_RULES = [
-    SecretRule("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+(?:-----END [A-Z ]*PRIVATE KEY-----)?"), hints=("-----begin",)),
+    SecretRule("pem", re.compile(
+        r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+        # Up to the end, whatever lies between, or else header lines and base64 only.
+        r"(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+        r"|(?:\s*+[A-Za-z][A-Za-z0-9-]*+:[^\n]*+\n)*+[A-Za-z0-9+/=\s]+)"), hints=("-----begin",)),
     SecretRule("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"), hints=("eyj",)),
-    SecretRule("login", re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{3,128}@"), hints=("://",)),
+    SecretRule("login", re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/@]++:[^\s:/@]{3,}+@"), hints=("://",)),
 ]
 RULES = BASE_RULES + MORE_RULES
 LEDGER = (
