@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from acctlens.llm import bpe, html_extract, line_dedup, lm_scoring, merkle, near_dedup, packing, quality_rules, secret_scan, sharding, vector_search
+from acctlens.llm import bpe, html_extract, line_dedup, lm_scoring, merkle, near_dedup, packing, quality_rules, secret_scan, sharding, toxicity, vector_search, whitening
 from acctlens.llm.labelled_pages import labelled_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,12 +59,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(_table(spark, sf_dir, "documents"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def registry() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_bpe, op2_sharding, op3_packing, op4_near_dedup, op5_lm_scoring, op6_quality_rules,
         op7_html_extraction, op8_vector_search, op9_line_dedup, op10_secret_scan,
-        op12_merkle_manifest)}
+        op11_toxicity, op12_merkle_manifest, op13_embedding_whitening)}
