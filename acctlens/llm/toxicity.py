@@ -36,8 +36,8 @@ FEATURES = 8192
 # Added to each bin's counts.
 SMOOTH = 1.0
 PENALTY = 1.0
-# Characters that are hashed at once; a longer text goes piece by piece.
-PIECE = 1 << 18
+# Characters, and texts, that are hashed at once; a longer text goes piece by piece.
+PIECE, TEXTS = 1 << 18, 256
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,7 +56,7 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np
         text = " " + " ".join((text or "").lower().split()) + " "
         for at in range(0, len(text), step):
             part = text[at : at + PIECE]
-            if many + len(part) > PIECE and parts:
+            if parts and (many + len(part) > PIECE or len(parts) == TEXTS):
                 yield _piece(owners, parts)
                 owners, parts, many = [], [], 0
             owners.append(i)
@@ -79,7 +79,7 @@ def bins(signs: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
     for k in range(SIZES[-1]):
         # Further signs count for the places that still have them.
         value *= FACTOR
-        value[: len(signs) - k] += signs[k:]
+        value[: max(0, len(signs) - k)] += signs[k:]
         value += np.uint64(1)
         if k + 1 in SIZES:
             at = np.flatnonzero(left > k)
@@ -108,12 +108,16 @@ def _sets(texts: list[str | None], lookup: np.ndarray | None = None) -> np.ndarr
     """Distinct (text << BIN_BITS | bin), sorted; with a ``lookup``, of the bins it has a place for, as that place."""
     out = [np.zeros(0, np.int64)]
     for owner, signs, left in pieces(texts):
+        if lookup is None:
+            out.append(np.unique(np.concatenate([owner[at] << BIN_BITS | value for at, value in bins(signs, left)])))
+            continue
+        held = np.zeros(TEXTS * FEATURES, bool)
         for at, value in bins(signs, left):
-            if lookup is not None:
-                value = lookup[value]
-                kept = value >= 0
-                at, value = at[kept], value[kept]
-            out.append(np.unique(owner[at] << BIN_BITS | value))
+            place = lookup[value]
+            kept = np.flatnonzero(place >= 0)
+            held[(owner[at[kept]] - owner[0]) * FEATURES + place[kept]] = True
+        held = np.flatnonzero(held)
+        out.append(held // FEATURES + owner[0] << BIN_BITS | held % FEATURES)
     return np.unique(np.concatenate(out))
 
 
@@ -137,16 +141,20 @@ class Classifier:
 
 
 def logistic(rows: np.ndarray, columns: np.ndarray, scale: np.ndarray, labels: np.ndarray, penalty: float = PENALTY, steps: int = 200) -> tuple[np.ndarray, float]:
-    """(weights, bias) of a penalised logistic regression by L-BFGS; entry (row, column) has the value of its column's scale."""
+    """(weights, bias) of a penalised logistic regression by L-BFGS; entry (row, column) has the value of its column's scale.
+
+    Both kinds of labels weigh the same in all, so that one half is where they are parted.
+    """
     n, many = len(labels), len(scale)
+    weight = np.where(labels, n / (2 * labels.sum()), n / (2 * (~labels).sum()))
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
         x = np.bincount(rows, (w[:-1] * scale)[columns], n) + w[-1]
         signed = np.where(labels, x, -x)
         p = 1 / (1 + np.exp(np.clip(signed, -700, 700)))
-        pull = np.where(labels, -p, p)
+        pull = np.where(labels, -p, p) * weight
         grad = np.append(np.bincount(columns, pull[rows], many) * scale + penalty * w[:-1], pull.sum())
-        return float(np.logaddexp(0, -signed).sum() + penalty / 2 * (w[:-1] @ w[:-1])), grad
+        return float((weight * np.logaddexp(0, -signed)).sum() + penalty / 2 * (w[:-1] @ w[:-1])), grad
 
     w, past = np.zeros(many + 1), []
     value, grad = loss(w)
@@ -200,7 +208,7 @@ def _with_ratios(counts: DataFrame, smooth: float) -> DataFrame:
     return counts.select("bin", ratio.alias("ratio"), (F.abs(ratio) / F.sqrt(1 / toxic + 1 / clean)).alias("sure"))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Classifier:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     known = examples(docs, labels, sample)
     kinds = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(kinds) < 2:
@@ -208,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
         share = toxic / (sum(kinds.values()) + 1)
         return Classifier(np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share))) if share else -700.0)
     counts = settle(_counts(known), "ngrams")
-    best = _with_ratios(counts, SMOOTH).orderBy(F.col("sure").desc(), "bin").limit(features).collect()
+    best = _with_ratios(counts, SMOOTH).orderBy(F.col("sure").desc(), "bin").limit(FEATURES).collect()
     chosen, ratios = np.array([r["bin"] for r in best]), np.array([r["ratio"] for r in best])
     lookup = Classifier(chosen, ratios, 0.0).lookup()
 
@@ -227,9 +235,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     return Classifier(chosen, weights * ratios, bias)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Per row: doc_id, held_out, score and predicted."""
-    model = train(docs, labels, sample, features)
+    model = train(docs, labels, sample)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
