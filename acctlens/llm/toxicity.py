@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from acctlens.llm.textbytes import batches
 from acctlens.sources.tables import settle
 
 SIZES = (3, 4, 5, 6)
@@ -38,6 +39,8 @@ SMOOTH = 1.0
 PENALTY = 1.0
 # Characters, and texts, that are hashed at once; a longer text goes piece by piece.
 PIECE, TEXTS = 1 << 18, 256
+# Texts whose sets are held at once while fitting, in bytes.
+BATCH_BYTES = 1 << 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,7 +94,7 @@ def _counts(examples: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << BIN_BITS), np.int64)
-        for part in parts:
+        for part in (b for p in parts for b in batches(p, "text", BATCH_BYTES)):
             toxic = part.column("toxic").to_numpy(zero_copy_only=False)
             seen = _sets(part.column("text").to_pylist())
             kinds = toxic[seen >> BIN_BITS]
@@ -221,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
     lookup = Classifier(chosen, ratios, 0.0).lookup()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in (b for p in parts for b in batches(p, "text", BATCH_BYTES)):
             held = _sets(part.column("text").to_pylist(), lookup)
             ends = np.searchsorted(held >> BIN_BITS, np.arange(len(part) + 1)).astype(np.int32)
             places = pa.array((held & ((1 << BIN_BITS) - 1)).astype(np.int16))
