@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from acctlens.functions import network as net
 from acctlens.operators.joins import key_counts, lookup_join
+from acctlens.operators.ordered import in_ranges, merged_ranges, unused
+from acctlens.sources.tables import settle
 
 # (column, text) pairs that mark a serving event; the match is case-sensitive (fixed values).
 SERVING_PATTERNS = [
@@ -67,25 +69,30 @@ def subnet_rollup(df: DataFrame, ip_col: str, prefixes: tuple[int, ...] = (24, 1
 def cidr_match(df: DataFrame, ip_col: str, networks: DataFrame, repeats: bool = False) -> DataFrame:
     """Adds ``in_allowed``: the address lies in any network of ``networks`` (column cidr).
 
-    Both address families. Each distinct address is cut to every prefix length in use, at most 129,
-    and looked up as it is: no range join, and the work does not depend on the list's length. Many
-    addresses share a network, hence the skew-proof lookup. What is no address or no network
-    matches nothing. Set ``repeats`` where many rows may be equal in all columns. For a short
-    configured list use :func:`acctlens.functions.network.in_networks` instead.
+    Both address families. Distinct addresses and the networks' ends are numbers and go through one ordered
+    pass (:func:`acctlens.operators.ordered.in_ranges`), so the list may be as long as the log. What is no
+    address or no network matches nothing. Set ``repeats`` where many rows may be equal in all columns. For
+    a short configured list use :func:`acctlens.functions.network.in_networks` instead.
     """
-    nets = networks.select(net.network_bits(F.col("cidr")).alias("_net")).where("_net IS NOT NULL").distinct()
-    lengths = nets.agg(F.array_sort(F.collect_set(F.length("_net")))).scalar()
-    counts = key_counts(df, ip_col).where(F.col(ip_col).isNotNull())
-    bits = counts.withColumn("_bits", net.ip_bits(F.col(ip_col))).where("_bits IS NOT NULL")
-    candidates = bits.select(ip_col, "_n", "_bits", F.explode(lengths).alias("_length")).where(
-        F.length("_bits") >= F.col("_length")
-    ).select(ip_col, "_n", F.substring(F.col("_bits"), F.lit(1), F.col("_length")).alias("_net"))
-    hits = lookup_join(candidates, nets.select("_net", F.lit(True).alias("_hit")), "_net", "inner")
-    # Reading the count here keeps this use of the counts equal to the join's, so they are made once.
-    hits = hits.groupBy(ip_col).agg((F.max("_n") > 0).alias("in_allowed"))
+    # Written, as it is read for the numbers and for the hot addresses of the join.
+    counts = settle(key_counts(df, ip_col), "addresses")
+    number = unused(counts, "number")
+    ranges = networks.select(net.network_range(F.col("cidr")).alias("r")).where("r IS NOT NULL").select("r.*")
+    points = counts.select(ip_col, net.ip_number(F.col(ip_col)).alias(number)).where(F.col(number).isNotNull())
+    hits = in_ranges(points, number, ranges, "in_allowed").where("in_allowed").select(ip_col, "in_allowed")
     flagged = lookup_join(df, hits, ip_col, counts=counts, repeats=repeats)
     return flagged.withColumn("in_allowed", F.coalesce("in_allowed", F.lit(False)))
 
 
+def merged_networks(networks: DataFrame) -> DataFrame:
+    """(family, first, last) of the disjoint ranges that the networks (column cidr) cover, IPv4 as numbers;
+    of IPv6 the upper and lower 64 bits, each less 2 ** 63."""
+    ranges = networks.select(net.network_range(F.col("cidr")).alias("r")).where("r IS NOT NULL").select("r.*")
+    merged = merged_ranges(ranges)
+    return merged.select(
+        "first.family", F.col("first.high").alias("first_high"), F.col("first.low").alias("first_low"),
+        F.col("last.high").alias("last_high"), F.col("last.low").alias("last_low"))
+
+
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).where(F.col(column).isNotNull()).distinct()

@@ -301,6 +301,13 @@ def _with(body: str, extra: dict[str, str] | None = None) -> str:
     return (f"WITH {', '.join(parts)} " if parts else "") + body
 
 
+# Networks of the customers: IPv4 ends within 172.20/16, IPv6 ends within 2001:db8/32. Offsets are cut to the network.
+_LEDGER = """
+    SELECT f // fs * fs AS four_low, f // fs * fs + fs - 1 AS four_high, s // ss * ss AS six_low, s // ss * ss + ss - 1 AS six_high
+    FROM (SELECT c_custkey % 256 * 256 + c_custkey * 7 % 256 AS f, CAST(1 AS BIGINT) << CAST(12 - c_custkey % 13 AS INTEGER) AS fs,
+                 CAST(c_custkey % 4096 AS HUGEINT) << 80 AS s, CAST(1 AS HUGEINT) << CAST(95 - c_custkey % 90 AS INTEGER) AS ss FROM customer)"""
+
+
 def _cidr_test(ip: str) -> str:
     """13.110.0.0/15, 192.0.2.0/24, 198.51.100.0/24 and 2001:db8::/32, by the texts of their addresses."""
     return (
@@ -524,6 +531,18 @@ def oracle_sql() -> dict[str, str]:
                    {_cidr_test('source_ip_address')} AS in_list
             FROM (SELECT event_id, CASE event_id % 7 WHEN 0 THEN '2001:db8::' || hex(event_id % 65536)
                          WHEN 1 THEN '2001:db9:0:0::' || hex(event_id % 65536) ELSE source_ip_address END AS source_ip_address FROM audit)""",
+        "network_ledger": f"""
+            WITH nets AS ({_LEDGER}),
+            log AS (SELECT event_id, event_id % 3 = 0 AS six, event_id % 8192 AS w, user_id % 256 AS d, event_id % 251 AS c FROM events)
+            SELECT event_id, CASE WHEN six THEN '2001:db8:' || hex(w) || '::' || hex(w) ELSE '172.20.' || c || '.' || d END AS ip,
+                   EXISTS (SELECT 1 FROM nets n WHERE CASE WHEN six THEN n.six_low <= (w::HUGEINT << 80) + w AND (w::HUGEINT << 80) + w <= n.six_high
+                                                      ELSE n.four_low <= c * 256 + d AND c * 256 + d <= n.four_high END) AS in_allowed
+            FROM log""",
+        "merged_networks": f"""
+            WITH nets AS (SELECT DISTINCT four_low AS a, four_high AS b FROM ({_LEDGER})),
+            seen AS (SELECT a, b, max(b) OVER (ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM nets),
+            opened AS (SELECT a, b, max(CASE WHEN reach IS NULL OR a > reach THEN a END) OVER (ORDER BY a, b) AS start FROM seen)
+            SELECT 2886991872 + start AS first_low, 2886991872 + max(b) AS last_low FROM opened GROUP BY start""",
         "callout_verdicts": f"""
             SELECT event_id, source_ip_address AS ip,
                    CASE WHEN NOT ({_cidr_test('source_ip_address')}) THEN 'not listed: add ' || source_ip_address || '/32'

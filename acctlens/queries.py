@@ -693,6 +693,29 @@ def cidr_match(b: BenchTables) -> DataFrame:
     return audit.cidr_match(log, "source_ip_address", networks).select("*", listed)
 
 
+def _ledger(b: BenchTables) -> DataFrame:
+    """A network for each customer, wide and narrow ones, nested and apart, and its number's digits as IPv6."""
+    key = F.col("c_custkey")
+    four = F.concat(F.lit("172.20."), key % 256, F.lit("."), (key * 7) % 256, F.lit("/"), 20 + key % 13)
+    six = F.concat(F.lit("2001:db8:"), F.hex(key % 4096), F.lit("::/"), 33 + key % 90)
+    return b.raw("customer").select(F.explode(F.array(four, six)).alias("cidr"))
+
+
+@query
+def network_ledger(b: BenchTables) -> DataFrame:
+    """Each event's address against networks that grow in number with the customers."""
+    turn, number = F.col("event_id") % 3, F.hex(F.col("event_id") % 8192)
+    ip = F.when(turn == 0, F.concat(F.lit("2001:db8:"), number, F.lit("::"), number)).otherwise(
+        F.concat(F.lit("172.20."), F.col("event_id") % 251, F.lit("."), F.col("user_id") % 256))
+    return audit.cidr_match(b.raw("events").select("event_id", ip.alias("ip")), "ip", _ledger(b))
+
+
+@query
+def merged_networks(b: BenchTables) -> DataFrame:
+    """The disjoint ranges that the IPv4 networks of the customers cover."""
+    return audit.merged_networks(_ledger(b)).where("family = 4").select("first_low", "last_low")
+
+
 @query
 def callout_verdicts(b: BenchTables) -> DataFrame:
     """Callout messages, their address as JSON after a rejection, with address and verdict."""
