@@ -1,46 +1,104 @@
-"""Continuous ingest of change records, from which the latest row per key is read.
+"""Continuous ingest of change records into a log-structured mirror, from which the latest row per key is read.
 
-Each micro-batch becomes a folder of its own, named by its number, with the newest row per key of the
-batch. Writing a batch again replaces the same folder, which makes replays harmless, and the commit
-of the write keeps unfinished files out of sight. Those folders are the whole state: readers take the
-newest row per key over all of them, and a late record loses by its order columns whenever it
-arrives.
+A mirror is a versioned table. Its base holds one row per key, in a fixed number of buckets by a hash of the
+key; each micro-batch adds a delta, the newest row per key of the batch. When there are as many deltas as
+``max_deltas``, they are merged into the buckets that they touch, and only those are written again. A reader
+sees one version: base buckets and deltas, of which the newest row per key counts. So a read opens at most
+one folder for each bucket and delta, however many batches there have been.
+
+The order columns alone decide between rows of a key, so a late record loses whenever it arrives and a
+batch that is stored again changes nothing.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from acctlens.operators.rollups import latest_by_key
+from acctlens.sources.versions import Files, Version, VersionedTable
 
 ORDER = ["change_ts", "change_seq"]
 
 
 @dataclass(frozen=True)
 class Mirror:
-    """A mirrored object: schema, key, order of changes, and the shared folder of its batches."""
+    """A mirrored object: schema, key, order of changes, and its shared folder.
+
+    Size ``buckets`` so that one bucket of the base is some hundred megabytes.
+    """
 
     folder: str
     schema: T.StructType
     key: str = "Id"
     order: tuple[str, ...] = tuple(ORDER)
+    buckets: int = 16
+    max_deltas: int = 16
+
+    @property
+    def table(self) -> VersionedTable:
+        return VersionedTable(self.folder)
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        return latest_by_key(rows.select(*self.schema.names), self.key, list(self.order))
 
     def store_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """Reduce the batch to its newest row per key and store it under its number."""
-        newest = latest_by_key(batch, self.key, list(self.order))
-        newest.write.mode("overwrite").parquet(f"{self.folder}/batch_id={batch_id}")
-
-    def read(self, spark: SparkSession) -> DataFrame:
-        """Current row per key, none before the first batch. Deleted rows stay, flagged, as the
-        metrics expect."""
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        """Add the batch's newest row per key as a delta, and merge the deltas if they have become many."""
+        spark = batch.sparkSession
+        # Files follow the batch's size, not the number of reducers.
+        newest = self._newest(batch).hint("rebalance")
+        base = self.table.version(spark)
+        notes = base.notes or {"base": {}, "deltas": [], "last_batch": None}
+        deltas = [*notes["deltas"], self.table.stage(newest)]
+        version = self._commit(spark, base, notes["base"], deltas, batch_id)
+        if len(deltas) >= self.max_deltas:
+            self.compact(spark, version)
+
+    def _commit(self, spark: SparkSession, version: Version, base: dict[str, str], deltas: list[str], batch_id: int | None) -> Version:
+        notes = {"base": base, "deltas": deltas, "last_batch": batch_id}
+        return self.table.commit(spark, version, [*base.values(), *deltas], self.schema, notes)
+
+    def compact(self, spark: SparkSession, version: Version | None = None) -> None:
+        """Merge all deltas into the buckets of the base that they touch; other buckets stay as they are."""
+        version = version or self.table.version(spark)
+        if not version.number or not version.notes["deltas"]:
+            return
+        base, bucket = version.notes["base"], "_bucket"
+        fresh = self._frame(spark, version.notes["deltas"])
+        # No more values than buckets.
+        touched = sorted(r[0] for r in fresh.select(self._bucket().alias(bucket)).distinct().collect())
+        old = self._frame(spark, [base[str(k)] for k in touched if str(k) in base])
+        merged = self._newest(old.unionByName(fresh)).withColumn(bucket, self._bucket())
+        name = self.table.stage(merged.repartition(len(touched) or 1, bucket), bucket)
+        written = set(Files(spark, self.folder).names(name))
+        base = base | {str(k): f"{name}/{bucket}={k}" for k in touched if f"{bucket}={k}" in written}
+        self._commit(spark, version, base, [], version.notes["last_batch"])
+
+    def _frame(self, spark: SparkSession, folders: list[str]) -> DataFrame:
+        return self.table.frame(spark, Version(1, tuple(folders), self.schema))
+
+    def read(self, spark: SparkSession, number: int | None = None) -> DataFrame:
+        """Current row per key, or that of an earlier version; none before the first batch. Deleted rows
+        stay, flagged, as the metrics expect."""
+        version = self.table.version(spark, number)
+        if not version.number:
             return spark.createDataFrame([], self.schema)
-        rows = spark.read.schema(self.schema).parquet(self.folder).select(*self.schema.names)
-        return latest_by_key(rows, self.key, list(self.order))
+        rows = self._frame(spark, version.folders)
+        # The base alone has one row per key already.
+        return self._newest(rows) if version.notes["deltas"] else rows.select(*self.schema.names)
+
+    def changed_keys(self, spark: SparkSession, since: int) -> DataFrame | None:
+        """Keys of the rows that came after a version; None if they have been merged into the base since."""
+        now, then = self.table.version(spark), self.table.version(spark, since)
+        if then.number and now.notes["base"] != then.notes["base"]:
+            return None
+        known = set(then.notes["deltas"]) if then.number else set()
+        return self._frame(spark, [d for d in now.notes.get("deltas", []) if d not in known]).select(self.key).distinct()
 
 
 def start_mirror(

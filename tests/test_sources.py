@@ -30,6 +30,46 @@ def test_clustered_layout_splits_a_hot_pair(spark):
     assert max(sizes) < 20000 / 3
 
 
+@pytest.mark.parametrize("dims, bits", [(1, 5), (2, 1), (2, 5), (3, 3), (4, 2)])
+def test_hilbert_curve_takes_one_step_at_a_time(dims, bits):
+    from itertools import product
+
+    cells = sorted(product(range(1 << bits), repeat=dims), key=lambda c: tb.hilbert_place(list(c), bits))
+    assert sorted(tb.hilbert_place(list(c), bits) for c in cells) == list(range(1 << bits * dims))
+    assert all(sum(abs(x - y) for x, y in zip(a, b)) == 1 for a, b in zip(cells, cells[1:]))
+
+
+def test_clustered_layout_skips_files_by_either_column(spark, tmp_path):
+    """File statistics alone leave out at least half of the files for a filter on one of the columns."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    df = spark.range(40000).select(
+        F.col("id").cast("string").alias("sf_account_id"), F.concat(F.lit("i"), F.xxhash64("id") % 6).alias("industry"),
+        F.concat(F.lit("r"), F.xxhash64("id", F.lit(2)) % 5).alias("region"), F.lit(1).alias("_curve"))
+    df = df.withColumn("region", F.when(F.col("sf_account_id") != "7", F.col("region")))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        tb.write_clustered(df, tb.Catalog(directory=str(tmp_path)), "t", ["industry", "region"], "sf_account_id")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    out = tb.read_table(spark, tb.Catalog(directory=str(tmp_path)), "t")
+    assert out.exceptAll(df).count() == 0 and out.count() == 40000
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{tmp_path}/t/data-*/*.parquet")]
+    assert len(files) >= 24
+    for name, values in (("industry", [r[0] for r in df.select("industry").distinct().collect()]), ("region", [f"r{i}" for i in range(-4, 5)])):
+        for value in values:
+            met = 0
+            for meta in files:
+                at = meta.schema.names.index(name)
+                ends = [meta.row_group(g).column(at).statistics for g in range(meta.num_row_groups)]
+                met += any(s.min <= value <= s.max for s in ends)
+            assert met <= len(files) / 2, (name, value, met)
+
+
 def test_refresh_gold(spark, sf_dir, tmp_path):
     from acctlens.operators import metrics as m
     from acctlens.plans.gold import refresh_gold

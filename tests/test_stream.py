@@ -65,6 +65,56 @@ def test_replay(spark, ingest):
     assert sorted(before) == sorted(mirror.read(spark).collect())
 
 
+def test_many_batches_keep_reads_bounded(spark, tmp_path):
+    """Against a replay of all changes in plain Python, with late and repeated rows, through many merges."""
+    mirror = Mirror(str(tmp_path / "m"), parsed("Id string, v bigint, change_ts bigint, change_seq bigint"), buckets=4, max_deltas=5)
+    rnd, newest, stored = random.Random(5), {}, []
+    for batch in range(40):
+        rows = [(f"K{rnd.randrange(60)}", rnd.randrange(1000), rnd.randrange(batch + 1), batch * 100 + i) for i in range(6)]
+        rows += rnd.sample(stored, min(len(stored), 2))
+        stored += rows
+        for r in rows:
+            newest[r[0]] = max(newest.get(r[0], r), r, key=lambda x: x[2:])
+        mirror.store_batch(spark.createDataFrame(rows, mirror.schema), batch)
+        folders = mirror.table.version(spark).folders
+        assert len(folders) <= mirror.buckets + mirror.max_deltas
+        if batch % 13 == 4:
+            assert sorted(map(tuple, mirror.read(spark).collect())) == sorted(newest.values())
+    files = mirror.read(spark).inputFiles()
+    assert len(files) <= mirror.buckets + mirror.max_deltas
+    assert sorted(map(tuple, mirror.read(spark).collect())) == sorted(newest.values())
+    pinned, number = mirror.read(spark), mirror.table.version(spark).number
+    mirror.compact(spark)
+    assert sorted(map(tuple, pinned.collect())) == sorted(map(tuple, mirror.read(spark, number).collect())) == sorted(newest.values())
+    assert mirror.table.vacuum(spark, keep=1, older_than=-5) and sorted(map(tuple, mirror.read(spark).collect())) == sorted(newest.values())
+
+
+def test_merge_rewrites_only_touched_buckets(spark, tmp_path):
+    mirror = Mirror(str(tmp_path / "m"), parsed("Id string, v bigint, change_ts bigint, change_seq bigint"), buckets=8, max_deltas=2)
+
+    def store(n, *keys):
+        mirror.store_batch(spark.createDataFrame([(k, n, n, n) for k in keys], mirror.schema), n)
+
+    keys = [f"K{i}" for i in range(100)]
+    store(1, *keys), store(2, *keys)
+    before = mirror.table.version(spark).notes["base"]
+    assert len(before) == 8
+    store(3, "K7"), store(4, "K7")
+    after = mirror.table.version(spark).notes["base"]
+    assert sum(before[k] != after[k] for k in before) == 1
+    assert {r["Id"]: r["v"] for r in mirror.read(spark).collect()} == {k: 4 if k == "K7" else 2 for k in keys}
+
+
+def test_changed_keys(spark, tmp_path):
+    mirror = Mirror(str(tmp_path / "m"), parsed("Id string, v bigint, change_ts bigint, change_seq bigint"), max_deltas=4)
+    for n in range(1, 4):
+        mirror.store_batch(spark.createDataFrame([(f"K{n}", n, n, n), ("all", n, n, n)], mirror.schema), n)
+    assert sorted(r[0] for r in mirror.changed_keys(spark, 1).collect()) == ["K2", "K3", "all"]
+    assert sorted(r[0] for r in mirror.changed_keys(spark, 0).collect()) == ["K1", "K2", "K3", "all"]
+    mirror.compact(spark)
+    assert mirror.changed_keys(spark, 1) is None
+
+
 def test_metrics_over_a_mirror(spark, ingest):
     from acctlens.operators.metrics import activity_metrics
 
