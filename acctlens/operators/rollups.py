@@ -75,12 +75,13 @@ def first_match(df: DataFrame, column: str, pattern: str, key: str) -> DataFrame
     return df.where(F.col(column).contains(pattern)).orderBy(key).limit(1)
 
 
-def latest_by_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Newest row per key by the order columns.
+def latest_by_key(df: DataFrame, key: str | list[str], order: list[str]) -> DataFrame:
+    """Newest row per key, of one or several columns, by the order columns.
 
     An aggregate instead of a ranking window: each task keeps one row per key before the
     shuffle, so a key with very many versions never gathers in one task.
     """
-    rest = [c for c in df.columns if c != key]
+    keys = [key] if isinstance(key, str) else list(key)
+    rest = [c for c in df.columns if c not in keys]
     newest = F.max_by(F.struct(*rest), F.struct(*order))
-    return df.groupBy(key).agg(newest.alias("_row")).select(key, "_row.*").select(*df.columns)
+    return df.groupBy(*keys).agg(newest.alias("_row")).select(*keys, "_row.*").select(*df.columns)

@@ -556,7 +556,7 @@ def oracle_sql() -> dict[str, str]:
                         THEN 'PRIVATE' ELSE 'PUBLIC' END AS kind, count(*) AS events FROM audit GROUP BY 1""",
     }
     bodies["stream_mirror"] = bodies["latest_by_key"]
-    bodies["gold_table"] = bodies["customer_360"]
+    bodies["gold_table"] = bodies["incremental_gold"] = bodies["customer_360"]
     bodies["outbound_files"] = bodies["text_codec_write"]
     bodies["typed_publish"] = f"""
         SELECT sf_account_id AS Id, ml_risk_score AS Risk_Score__c, risk_category AS Risk_Category__c,

@@ -17,6 +17,7 @@ from acctlens.functions import codes, network as net, text as tx
 from acctlens.operators import audit, joins, mapping, metrics as m, peers, quality, rollups
 from acctlens.operators.metric_layer import account_metrics
 from acctlens.plans import briefing as br, customer_load as load, gold as g, insights as ins, scoring as sc
+from acctlens.plans.incremental import GoldView
 from acctlens.schemas import FEATURES
 from acctlens.sources import bench_tables as bt, logs, outbound
 from acctlens.sources.bench_tables import BenchTables
@@ -241,6 +242,59 @@ def gold_table(b: BenchTables) -> DataFrame:
     return _gold_output(read_table(b.spark, cat, "customer_360"))
 
 
+def _change_sets(b: BenchTables) -> tuple[dict, dict]:
+    """(the tables as they were, as first change sets; what has changed since): added, moved, withdrawn and altered rows."""
+    now, part = b.entities(), F.xxhash64
+    first: dict = {}
+    later: dict = {}
+
+    def put(name: str, key: str, moved: dict | None = None) -> None:
+        """Of ten rows one is new, one has been altered, and one was there twice under another key."""
+        turn = F.pmod(part(key), F.lit(10))
+        df = now[name]
+        was = df.where(turn == 1).withColumns(moved or {})
+        extra = df.where(turn == 2).withColumns(moved or {})
+        first[name] = (None, df.where(turn > 1).unionByName(was).unionByName(extra))
+        later[name] = (was.unionByName(extra), df.where(turn.isin(0, 1)))
+
+    other = {"AccountId": F.lit("AC-3")}
+    put("sf_task", "Id", {**other, "ActivityDate": F.lit("2024-01-31").cast("date")})
+    put("sf_contact", "Id", other)
+    put("sf_opportunity", "Id", {**other, "Amount": F.lit(7.5), "Description": F.lit("Product Family: withdrawn")})
+    put("sf_case", "Id", {**other, "IsEscalated": F.lit(True)})
+    # Orders come with their lines.
+    order = "sales_order_header_key"
+    turn, lines = F.pmod(part(order), F.lit(10)), now["cur_sales_order_line"]
+    header = now["cur_sales_order_header"]
+    moved = header.where(turn == 1).withColumn("customer_shipto_key", F.lit(5).cast("bigint"))
+    first["cur_sales_order_header"] = (None, header.where(turn > 1).unionByName(moved))
+    first["cur_sales_order_line"] = (None, lines.where(turn > 0))
+    later["cur_sales_order_header"] = (moved, header.where(turn < 2))
+    later["cur_sales_order_line"] = (lines.where(turn == 1), lines.where(turn < 2))
+    shipped, late = now["cur_shipment_line"], F.pmod(F.col("customer_shipto_key"), F.lit(10)) == 0
+    first["cur_shipment_line"] = (None, shipped.where(~late).unionByName(shipped.where(late).withColumn("backorder_qty", F.lit(1.0))))
+    later["cur_shipment_line"] = (shipped.where(late).withColumn("backorder_qty", F.lit(1.0)), shipped.where(late))
+    changed = now["sf_account"].where(F.pmod(part("Id"), F.lit(10)) == 0)
+    first["sf_account"] = (None, now["sf_account"])
+    later["sf_account"] = (changed.withColumn("Name", F.lit("former")), changed)
+    return first, later
+
+
+@query
+def incremental_gold(b: BenchTables) -> DataFrame:
+    """The gold table built from earlier tables and then brought up to date by change sets alone."""
+    first, later = _change_sets(b)
+    names = ["sf_account", "sf_cdm_key_mapping", "cur_customer_shipto", "cur_customer_sales_org", "cur_product"]
+    now = b.entities()
+    dimensions = {name: now[name] for name in names}
+    part = F.pmod(F.xxhash64("Id"), F.lit(10))
+    was = {**dimensions, "sf_account": now["sf_account"].withColumn("Name", F.when(part == 0, "former").otherwise(F.col("Name")))}
+    view = GoldView(scratch_path(b.spark, "view"), bt.SOURCE, window_days=bt.ACTIVITY_WINDOW)
+    view.refresh(first, was, bt.EVENTS_AS_OF)
+    view.refresh(later, dimensions, bt.EVENTS_AS_OF)
+    return _gold_output(view.read(b.spark))
+
+
 @query
 def risk_score_raw(b: BenchTables) -> DataFrame:
     return _gold(b).select("sf_account_id", "risk_score_raw")

@@ -27,12 +27,13 @@ ORDER = ["change_ts", "change_seq"]
 class Mirror:
     """A mirrored object: schema, key, order of changes, and its shared folder.
 
-    Size ``buckets`` so that one bucket of the base is some hundred megabytes.
+    A key of several columns has its bucket from the first. Size ``buckets`` so that one bucket of the
+    base is some hundred megabytes.
     """
 
     folder: str
     schema: T.StructType
-    key: str = "Id"
+    key: str | tuple[str, ...] = "Id"
     order: tuple[str, ...] = tuple(ORDER)
     buckets: int = 16
     max_deltas: int = 16
@@ -41,11 +42,15 @@ class Mirror:
     def table(self) -> VersionedTable:
         return VersionedTable(self.folder)
 
+    @property
+    def keys(self) -> list[str]:
+        return [self.key] if isinstance(self.key, str) else list(self.key)
+
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(self.keys[0]), F.lit(self.buckets)).cast("int")
 
     def _newest(self, rows: DataFrame) -> DataFrame:
-        return latest_by_key(rows.select(*self.schema.names), self.key, list(self.order))
+        return latest_by_key(rows.select(*self.schema.names), self.keys, list(self.order))
 
     def store_batch(self, batch: DataFrame, batch_id: int) -> None:
         """Add the batch's newest row per key as a delta, and merge the deltas if they have become many."""
@@ -92,13 +97,29 @@ class Mirror:
         # The base alone has one row per key already.
         return self._newest(rows) if version.notes["deltas"] else rows.select(*self.schema.names)
 
+    def read_keys(self, spark: SparkSession, wanted: DataFrame) -> DataFrame:
+        """Current rows whose first key column is among ``wanted``, a frame of that column. Of the base
+        only the buckets of those keys are opened."""
+        version, key = self.table.version(spark), self.keys[0]
+        if not version.number:
+            return spark.createDataFrame([], self.schema)
+        # No more values than buckets.
+        touched = {str(r[0]) for r in wanted.select(self._bucket()).distinct().collect()}
+        folders = [f for k, f in version.notes["base"].items() if k in touched]
+        rows = self._frame(spark, [*folders, *version.notes["deltas"]])
+        return self._newest(rows.join(wanted.select(key).distinct(), key, "left_semi"))
+
+    def last_batch(self, spark: SparkSession) -> int | None:
+        """Number of the batch that was stored last."""
+        return self.table.version(spark).notes.get("last_batch")
+
     def changed_keys(self, spark: SparkSession, since: int) -> DataFrame | None:
         """Keys of the rows that came after a version; None if they have been merged into the base since."""
         now, then = self.table.version(spark), self.table.version(spark, since)
         if then.number and now.notes["base"] != then.notes["base"]:
             return None
         known = set(then.notes["deltas"]) if then.number else set()
-        return self._frame(spark, [d for d in now.notes.get("deltas", []) if d not in known]).select(self.key).distinct()
+        return self._frame(spark, [d for d in now.notes.get("deltas", []) if d not in known]).select(*self.keys).distinct()
 
 
 def start_mirror(
