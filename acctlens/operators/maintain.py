@@ -63,11 +63,14 @@ class SumState:
         for k in self.keys:
             rows = rows.where(F.col(k).isNotNull())
         delta = settle(self._summed(rows), "delta")
-        if (self.mirror.last_batch(spark) or 0) < refresh:
-            old = self.mirror.read_keys(spark, delta.select(self.keys[0]))
-            old = old.join(delta.select(*self.keys), list(self.keys), "left_semi").drop("_refresh")
-            new = self._summed(old.unionByName(delta)).withColumn("_refresh", F.lit(refresh).cast("bigint"))
-            self.mirror.store_batch(new, refresh)
+        last = self.mirror.last_batch(spark) or 0
+        if last < refresh:
+            new = delta
+            if last:
+                old = self.mirror.read_keys(spark, delta.select(self.keys[0]))
+                old = old.join(delta.select(*self.keys), list(self.keys), "left_semi").drop("_refresh")
+                new = self._summed(old.unionByName(delta))
+            self.mirror.store_rows(new.withColumn("_refresh", F.lit(refresh).cast("bigint")), refresh)
         return delta.select(self.keys[0]).distinct()
 
     def read(self, spark: SparkSession, wanted: DataFrame | None = None) -> DataFrame:

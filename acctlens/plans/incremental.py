@@ -137,8 +137,8 @@ class GoldView:
         refresh takes all rows as new. A refresh that failed is repeated with the same change sets.
         """
         spark = dimensions["sf_account"].sparkSession
-        version = self._mirror(T.StructType()).table.version(spark)
-        number = (version.notes.get("last_batch") or 0) + 1
+        gold = self._mirror(T.StructType())
+        number = (gold.last_batch(spark) or 0) + 1
         accounts, customers = [], []
         for name, side in SIDES.items():
             if any(t in changes for t in side.tables):
@@ -150,7 +150,7 @@ class GoldView:
         for keys in customers:
             accounts.append(mapping.join(keys.select(CUSTOMER).distinct(), CUSTOMER, "left_semi").select(ACCOUNT))
         # A new date touches all accounts that there are.
-        if version.number and self._as_of(spark) != as_of:
+        if gold.said(spark).get("as_of", as_of.isoformat()) != as_of.isoformat():
             accounts.append(dimensions["sf_account"].select(F.col("Id").alias(ACCOUNT)))
         touched = spark.createDataFrame([], f"{ACCOUNT} string")
         for keys in accounts:
@@ -159,13 +159,8 @@ class GoldView:
         rows = self._rows(spark, touched, dimensions, as_of)
         gone = touched.join(rows.select(ACCOUNT), ACCOUNT, "left_anti")
         stamped = rows.withColumn("_gone", F.lit(False)).unionByName(gone.withColumn("_gone", F.lit(True)), allowMissingColumns=True)
-        stamped = stamped.withColumns({"_as_of": F.lit(as_of), "_refresh": F.lit(number).cast("bigint")})
-        self._mirror(stamped.schema).store_batch(stamped, number)
-
-    def _as_of(self, spark: SparkSession) -> date | None:
-        mirror = self._mirror(T.StructType())
-        schema = mirror.table.version(spark).schema
-        return self._mirror(schema).read(spark).agg(F.max("_as_of")).first()[0]
+        stamped = stamped.withColumn("_refresh", F.lit(number).cast("bigint"))
+        self._mirror(stamped.schema).store_rows(stamped, number, {"as_of": as_of.isoformat()})
 
     def _take(self, spark: SparkSession, name: str, changes: dict[str, Changes], dimensions: Tables, number: int) -> list[DataFrame]:
         """Add a side's change set to its states; the keys that it touches."""
@@ -177,6 +172,7 @@ class GoldView:
         rows = signed((parts[0], parts[1]), *side.measures)
         if rows is None:
             return []
+        rows = settle(rows, "changes")
         keys = [self._sums(name).apply(spark, rows.drop("value"), number)]
         if side.value is not None:
             keys.append(self._values(name).apply(spark, rows.select(side.key, "value", "_rows"), number))

@@ -54,19 +54,22 @@ class Mirror:
 
     def store_batch(self, batch: DataFrame, batch_id: int) -> None:
         """Add the batch's newest row per key as a delta, and merge the deltas if they have become many."""
-        spark = batch.sparkSession
-        # Files follow the batch's size, not the number of reducers.
-        newest = self._newest(batch).hint("rebalance")
+        self.store_rows(self._newest(batch), batch_id)
+
+    def store_rows(self, rows: DataFrame, batch_id: int, said: dict | None = None) -> None:
+        """:meth:`store_batch` of rows that have each key once, with words for :meth:`said`."""
+        spark = rows.sparkSession
         base = self.table.version(spark)
-        notes = base.notes or {"base": {}, "deltas": [], "last_batch": None}
-        deltas = [*notes["deltas"], self.table.stage(newest)]
-        version = self._commit(spark, base, notes["base"], deltas, batch_id)
-        if len(deltas) >= self.max_deltas:
+        notes = base.notes or {"base": {}, "deltas": []}
+        # Files follow the batch's size, not the number of reducers.
+        delta = self.table.stage(rows.select(*self.schema.names).hint("rebalance"))
+        notes = {**notes, "deltas": [*notes["deltas"], delta], "last_batch": batch_id, "said": said or {}}
+        version = self._commit(spark, base, notes)
+        if len(notes["deltas"]) >= self.max_deltas:
             self.compact(spark, version)
 
-    def _commit(self, spark: SparkSession, version: Version, base: dict[str, str], deltas: list[str], batch_id: int | None) -> Version:
-        notes = {"base": base, "deltas": deltas, "last_batch": batch_id}
-        return self.table.commit(spark, version, [*base.values(), *deltas], self.schema, notes)
+    def _commit(self, spark: SparkSession, version: Version, notes: dict) -> Version:
+        return self.table.commit(spark, version, [*notes["base"].values(), *notes["deltas"]], self.schema, notes)
 
     def compact(self, spark: SparkSession, version: Version | None = None) -> None:
         """Merge all deltas into the buckets of the base that they touch; other buckets stay as they are."""
@@ -82,7 +85,7 @@ class Mirror:
         name = self.table.stage(merged.repartition(len(touched) or 1, bucket), bucket)
         written = set(Files(spark, self.folder).names(name))
         base = base | {str(k): f"{name}/{bucket}={k}" for k in touched if f"{bucket}={k}" in written}
-        self._commit(spark, version, base, [], version.notes["last_batch"])
+        self._commit(spark, version, {**version.notes, "base": base, "deltas": []})
 
     def _frame(self, spark: SparkSession, folders: list[str]) -> DataFrame:
         return self.table.frame(spark, Version(1, tuple(folders), self.schema))
@@ -97,15 +100,19 @@ class Mirror:
         # The base alone has one row per key already.
         return self._newest(rows) if version.notes["deltas"] else rows.select(*self.schema.names)
 
+    def buckets_of(self, wanted: DataFrame) -> set[str]:
+        """The buckets that some values of the first key column fall in."""
+        return {str(r[0]) for r in wanted.select(self._bucket()).distinct().collect()}
+
     def read_keys(self, spark: SparkSession, wanted: DataFrame) -> DataFrame:
         """Current rows whose first key column is among ``wanted``, a frame of that column. Of the base
         only the buckets of those keys are opened."""
         version, key = self.table.version(spark), self.keys[0]
         if not version.number:
             return spark.createDataFrame([], self.schema)
-        # No more values than buckets.
-        touched = {str(r[0]) for r in wanted.select(self._bucket()).distinct().collect()}
-        folders = [f for k, f in version.notes["base"].items() if k in touched]
+        base = version.notes["base"]
+        touched = self.buckets_of(wanted) if base else set()
+        folders = [f for k, f in base.items() if k in touched]
         rows = self._frame(spark, [*folders, *version.notes["deltas"]])
         return self._newest(rows.join(wanted.select(key).distinct(), key, "left_semi"))
 
@@ -113,6 +120,10 @@ class Mirror:
         """Number of the batch that was stored last."""
         return self.table.version(spark).notes.get("last_batch")
 
+    def said(self, spark: SparkSession) -> dict:
+        """What the writer of the last batch has said of it."""
+        return self.table.version(spark).notes.get("said", {})
+
     def changed_keys(self, spark: SparkSession, since: int) -> DataFrame | None:
         """Keys of the rows that came after a version; None if they have been merged into the base since."""
         now, then = self.table.version(spark), self.table.version(spark, since)
