@@ -101,3 +101,9 @@ def json_field_or_raw(text: Column, field: str) -> Column:
     return F.when(F.json_object_keys(text).isNull(), strip(text)).otherwise(
         F.get_json_object(text, f"$.{field}")
     )
+
+
+def iso_utc(moment: Column) -> Column:
+    """A timestamp as ISO text in UTC with the fixed ending ``.000Z``, whatever the session's time zone."""
+    utc = F.to_utc_timestamp(moment, F.current_timezone())
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'.000Z'")

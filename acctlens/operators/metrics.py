@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from acctlens.functions import text as tx
 
@@ -177,8 +177,8 @@ def order_side(header: DataFrame, line: DataFrame, product: DataFrame) -> DataFr
     """:func:`order_metrics` and :func:`product_coverage` of every customer with orders, in one pass.
 
     Lines are summed per (order, product), then per (order, family), before they meet the headers.
-    One row of each order, its first by family, stands for the order in the count; the rows of an
-    order are already together there. Families of lines without a product count as none.
+    One family of each order stands for the order in the count. Families of lines without a product
+    count as none.
     """
     value = F.col("qty_ordered") * F.col("unit_price")
     parts = line.groupBy("sales_order_header_key", "product_key").agg(
@@ -188,10 +188,14 @@ def order_side(header: DataFrame, line: DataFrame, product: DataFrame) -> DataFr
     parts = parts.join(known, "product_key", "left").groupBy("sales_order_header_key", "family").agg(
         F.sum("_value").alias("_value"), F.sum("_lines").alias("_lines"), F.max("_known").alias("_known")
     )
-    order = Window.partitionBy("customer_shipto_key", "sales_order_header_key").orderBy(F.col("family"))
-    parts = _headers(header).join(parts, "sales_order_header_key").withColumn(
-        "_first", (F.row_number().over(order) == 1).cast("long")
-    )
+    # One row for each order, of as many parts as it has families, so that the first part can stand for it.
+    whole = parts.groupBy("sales_order_header_key").agg(F.collect_list(F.struct("family", "_value", "_lines", "_known")).alias("_parts"))
+    parts = _headers(header).join(whole, "sales_order_header_key").select(
+        "sales_order_header_key", "customer_shipto_key", F.posexplode("_parts").alias("_place", "_part"))
+    # Repeated headers add their values and count once; the rows of an order lie together already.
+    parts = parts.groupBy("sales_order_header_key", "customer_shipto_key", F.col("_part.family").alias("family")).agg(
+        F.sum("_part._value").alias("_value"), F.sum("_part._lines").alias("_lines"), F.max("_part._known").alias("_known"),
+        (F.min("_place") == 0).cast("long").alias("_first"))
     by_family = parts.groupBy("customer_shipto_key", "family").agg(
         *[F.sum(c).alias(c) for c in ("_value", "_lines", "_first")], F.max("_known").alias("_known")
     )

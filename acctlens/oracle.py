@@ -301,6 +301,11 @@ def _with(body: str, extra: dict[str, str] | None = None) -> str:
     return (f"WITH {', '.join(parts)} " if parts else "") + body
 
 
+# CRC-32 of an account id, bit by bit; the constants are those of the checksum itself.
+_CRC = """xor(4294967295::UBIGINT, list_reduce(list_transform(string_split(sf_account_id, ''), lambda s: ascii(s)::UBIGINT),
+    lambda c, b: list_reduce(range(8)::UBIGINT[], lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END,
+                             xor(c, b)), 4294967295::UBIGINT))"""
+
 # Networks of the customers: IPv4 ends within 172.20/16, IPv6 ends within 2001:db8/32. Offsets are cut to the network.
 _LEDGER = """
     SELECT f // fs * fs AS four_low, f // fs * fs + fs - 1 AS four_high, s // ss * ss AS six_low, s // ss * ss + ss - 1 AS six_high
@@ -343,6 +348,28 @@ def oracle_sql() -> dict[str, str]:
             WHERE {log_test}""",
         "outbound_records": f"SELECT sf_account_id AS id, 'Account' AS kind, {score_text} AS description FROM scored",
         "outbound_batches": "SELECT count(*) AS records, CAST(0 AS BIGINT) AS oversized, CAST(0 AS BIGINT) AS repeated_ids FROM scored",
+        "delivery_ledger": """
+            SELECT 'AC-' || k AS id, 1 + CAST(k % 3 = 0 OR k % 5 = 0 AS BIGINT) AS sent,
+                   CASE WHEN k % 3 = 0 THEN 1 WHEN k % 5 = 0 THEN 2 ELSE 1 END AS delivered,
+                   CAST(k % 3 = 0 AND k % 5 = 0 AS BIGINT) AS failed
+            FROM (SELECT c_custkey AS k FROM customer)""",
+        "metric_sets": """
+            SELECT industry, region, CAST(grouping(industry, region) AS BIGINT) AS grouping_id, count(*) AS account_count,
+                   CAST(sum(total_orders) AS BIGINT) AS total_orders, CAST(sum(open_case_count) AS BIGINT) AS open_cases,
+                   count(*) FILTER (risk_category = 'High') AS high_risk_accounts,
+                   round(count(*) FILTER (risk_category = 'High') * 100.0::DOUBLE / count(*), 6) AS pct_high_risk,
+                   round(CASE WHEN sum(total_closed_won + total_closed_lost) <> 0
+                         THEN sum(total_closed_won) * 100.0::DOUBLE / sum(total_closed_won + total_closed_lost) END, 6) AS win_value_rate
+            FROM scored GROUP BY GROUPING SETS ((industry, region), (industry), (region), ())""",
+        "ml_folds": f"""
+            SELECT * FROM (WITH f AS (SELECT {_CRC} % 4 AS fold, CAST(risk_score_raw AS DOUBLE) AS y FROM gold),
+            s AS (SELECT fold, count(*) AS n, sum(y) AS total FROM f GROUP BY 1),
+            a AS (SELECT count(*) AS n, sum(y) AS total FROM f),
+            m AS (SELECT s.fold, a.n - s.n AS trained, (a.total - s.total) / (a.n - s.n) AS mean FROM s, a)
+            SELECT CAST(f.fold AS INTEGER) AS fold, count(*) AS rows, any_value(trained) AS trained,
+                   round(avg(abs(y - mean)), 6) AS mean_error, true AS better FROM f JOIN m ON m.fold = f.fold GROUP BY f.fold)""",
+        "ml_permutation_checks": "SELECT CAST(18 AS BIGINT) AS features, true AS days_matter",
+        "assessed_text": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.000Z') AS assessed FROM events",
         "missing_columns": "SELECT unnest(['Risk_Score__c', 'Risk_Category__c', 'Last_Risk_Assessment__c']) AS field",
         "ml_score_checks": "SELECT count(*) AS rows, count(*) AS accounts, true AS small_error FROM gold",
         "ml_importance_checks": "SELECT CAST(18 AS BIGINT) AS features, CAST(1.0 AS DOUBLE) AS total, true AS none_negative",
@@ -556,7 +583,7 @@ def oracle_sql() -> dict[str, str]:
                         THEN 'PRIVATE' ELSE 'PUBLIC' END AS kind, count(*) AS events FROM audit GROUP BY 1""",
     }
     bodies["stream_mirror"] = bodies["latest_by_key"]
-    bodies["gold_table"] = bodies["incremental_gold"] = bodies["customer_360"]
+    bodies["gold_table"] = bodies["incremental_gold"] = bodies["bucketed_gold"] = bodies["customer_360"]
     bodies["outbound_files"] = bodies["text_codec_write"]
     bodies["typed_publish"] = f"""
         SELECT sf_account_id AS Id, ml_risk_score AS Risk_Score__c, risk_category AS Risk_Category__c,

@@ -8,14 +8,17 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from acctlens.functions import risk, text as tx
 from acctlens.operators.joins import lookup_join
 from acctlens.operators.metrics import require_key
 from acctlens.operators.quality import choose_format
 from acctlens.schemas import FEATURES
-from acctlens.sources.tables import Catalog, write_snapshot
+from acctlens.sources.tables import Catalog, settle, write_snapshot
+
+# Accounts of a group within which permuted values change places.
+SWAP_ROWS = 20_000
 
 SUMMARY = [
     "sf_account_id", "account_name", "ml_risk_score", "risk_category", "days_since_last_activity",
@@ -91,6 +94,61 @@ def feature_importances(model: PipelineModel, cols: list[str] = FEATURES) -> Dat
     return table.withColumn("importance_pct", pct).orderBy(F.desc("importance"), "feature")
 
 
+def fold_of(key: str = "sf_account_id", folds: int = 5) -> Column:
+    """The fold of a row by a checksum of its key, the same on every run and partitioning."""
+    return F.pmod(F.crc32(F.col(key).cast("string")), F.lit(folds)).cast("int")
+
+
+def cross_validate(
+    features: DataFrame, label: str, folds: int = 5, seed: int = 42, rounds: int = 20, cols: list[str] = FEATURES
+) -> DataFrame:
+    """A row per fold with rows: fold, rows, trained, error, mean_error.
+
+    Each fold is scored by a model of the other folds; both errors are mean absolute ones, the second that of
+    the other folds' mean label. The frame is settled, as every model reads it. Fitting goes fold by fold, as each is a job of
+    its own.
+    """
+    known = settle(features.where(F.col(label).isNotNull()).withColumn("_fold", fold_of(folds=folds)), "folds")
+    out = None
+    for fold in range(folds):
+        rest, own = known.where(F.col("_fold") != fold), known.where(F.col("_fold") == fold)
+        if own.isEmpty() or rest.isEmpty():
+            continue
+        model = train(rest, label, seed, rounds, cols)
+        mean = rest.agg(F.avg(label).alias("mean"), F.count(F.lit(1)).alias("n")).first()
+        row = model.transform(own).agg(
+            F.count(F.lit(1)).alias("rows"), F.avg(F.abs(F.col("prediction") - F.col(label))).alias("error"),
+            F.avg(F.abs(F.col(label) - F.lit(mean["mean"]))).alias("mean_error"))
+        row = row.select(F.lit(fold).alias("fold"), "rows", F.lit(mean["n"]).cast("bigint").alias("trained"), "error", "mean_error")
+        out = row if out is None else out.unionByName(row)
+    if out is None:
+        return features.sparkSession.createDataFrame([], "fold int, rows long, trained long, error double, mean_error double")
+    return out
+
+
+def permutation_importances(
+    model: PipelineModel, features: DataFrame, label: str, cols: list[str] = FEATURES
+) -> DataFrame:
+    """(feature, gain): what the mean absolute error gains when the feature's values change places.
+
+    Accounts are dealt to groups and put in a hashed order there; each takes the value of the one before
+    it. Scored in one pass, a row for each feature and account.
+    """
+    known = features.where(F.col(label).isNotNull()).select("sf_account_id", label, *cols)
+    groups = 1 + known.count() // SWAP_ROWS
+    group = Window.partitionBy(F.pmod(F.xxhash64("sf_account_id"), F.lit(groups))).orderBy(F.xxhash64("sf_account_id", F.lit(1)), "sf_account_id")
+    rest = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = F.struct(*cols)
+    swapped = settle(known.withColumn("_other", F.coalesce(F.lag(own).over(group), F.last(own).over(rest))), "swapped")
+    which = F.explode(F.array(*[F.lit(c) for c in ["", *cols]])).alias("feature")
+    rows = swapped.select("*", which).withColumns(
+        {c: F.when(F.col("feature") == c, F.col("_other")[c]).otherwise(F.col(c)) for c in cols})
+    errors = model.transform(rows).groupBy("feature").agg(F.avg(F.abs(F.col("prediction") - F.col(label))).alias("error"))
+    # One row for each feature.
+    plain = errors.where("feature = ''").select(F.col("error").alias("plain")).scalar()
+    return errors.where("feature <> ''").select("feature", (F.col("error") - plain).alias("gain")).orderBy(F.desc("gain"), "feature")
+
+
 def rule_scored(gold: DataFrame) -> DataFrame:
     """Gold with the composite score standing in for the model's, plus category and driver."""
     return with_category(gold.withColumn("ml_risk_score", F.round("risk_score_raw", 1)))

@@ -8,7 +8,9 @@ depend on the order of addition.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -21,7 +23,9 @@ from acctlens.plans.incremental import GoldView
 from acctlens.schemas import FEATURES
 from acctlens.sources import bench_tables as bt, logs, outbound
 from acctlens.sources.bench_tables import BenchTables
+from acctlens.sources.bucketed import co_partition, drop_bucketed
 from acctlens.sources.tables import Catalog, literal_column, read_table, scratch_path, settle
+from acctlens.sources.versions import Files, VersionedTable
 from acctlens.streaming.mirror import Mirror, start_mirror
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +39,9 @@ RAW_TABLES = [
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
+# Test tables that the gold table is made of.
+GOLD_TABLES = ["region", "nation", "customer", "part", "orders", "lineitem", "events"]
+
 _REGISTRY: dict[str, Query] = {}
 
 
@@ -59,24 +66,31 @@ def _gold(b: BenchTables) -> DataFrame:
     return g.build_c360(b.entities(), bt.EVENTS_AS_OF, bt.SOURCE, bt.ACTIVITY_WINDOW)
 
 
-def _scored(b: BenchTables) -> DataFrame:
-    return sc.rule_scored(_gold(b))
-
-
-# Gold tables that this application has refreshed, by application and source folder.
-_REFRESHED: dict[tuple[str, str], Catalog] = {}
+# Gold tables that have been refreshed, by application, source folder and state of the source.
+_REFRESHED: dict[tuple, Catalog] = {}
 
 
 def _refreshed(b: BenchTables) -> DataFrame:
-    """The refreshed gold table, written once per application and source and then read."""
-    key = (b.spark.conf.get("spark.app.id"), b.cat.directory)
-    if key not in _REFRESHED:
+    """The refreshed gold table, written once per application and state of the source, and then read.
+
+    The state of the source is the newest change of its tables, so changed tables are read anew, as is a
+    table whose files have been removed.
+    """
+    source = Files(b.spark, b.cat.directory)
+    changed = max(source.modified(b.cat.path(name).rsplit("/", 1)[1]) for name in GOLD_TABLES)
+    key = (b.spark.conf.get("spark.app.id"), b.cat.directory, changed)
+    known = _REFRESHED.get(key)
+    if known is None or not VersionedTable(known.path("customer_360")).numbers(b.spark):
         cat = Catalog(directory=scratch_path(b.spark, "gold"))
         g.refresh_gold(b.entities(), bt.EVENTS_AS_OF, bt.SOURCE, cat, window_days=bt.ACTIVITY_WINDOW)
         _REFRESHED[key] = cat
     return read_table(b.spark, _REFRESHED[key], "customer_360")
 
 
+def _scored(b: BenchTables) -> DataFrame:
+    return sc.rule_scored(_refreshed(b))
+
+
 def _coverage(b: BenchTables) -> DataFrame:
     """Customer and family pairs as a written table: the lines are read once for all its uses."""
     pairs = m.customer_families(b.cur_sales_order_header(), b.cur_sales_order_line(), b.cur_product())
@@ -141,7 +155,37 @@ def outbound_files(b: BenchTables) -> DataFrame:
     """The change feed's files read as JSON."""
     path = scratch_path(b.spark, "feed")
     outbound.write_outbound(br.outbound_record(sc.publish(_scored(b), b.sf_account(), ASSESSED)), path)
-    return b.spark.read.schema("Id string, Description string").json(path)
+    batches = b.spark.read.schema("batch string, records array<struct<Id: string, Description: string>>").json(path)
+    return batches.select(F.inline("records"))
+
+
+@query
+def delivery_ledger(b: BenchTables) -> DataFrame:
+    """Three runs of a feed of all accounts: a third fails at first, a fifth changes later. How often each was sent, and to what end."""
+    ledger = outbound.delivery_ledger(scratch_path(b.spark, "ledger"), buckets=4)
+    record = F.to_json(F.struct("Id", F.col("Description")), {"ignoreNullFields": "false"})
+    number = F.col("customer_shipto_key")
+    accounts = b.sf_account().join(b.sf_cdm_key_mapping().select(F.col("sf_account_id").alias("Id"), number), "Id")
+    early = accounts.select("Id", record.alias("body"))
+    changed = F.when(number % 5 == 0, F.concat("Description", F.lit(" | moved"))).otherwise(F.col("Description"))
+    late = accounts.withColumn("Description", changed).select("Id", record.alias("body"))
+    sent = []
+    for run, feed in enumerate((early, late, late), 1):
+        waiting = settle(outbound.pending(feed, ledger), "waiting")
+        path = scratch_path(b.spark, "feed")
+        outbound.write_outbound(waiting, path)
+        lines = outbound.read_batches(b.spark, path)
+        key = F.get_json_object("line", "$.Id")
+        results = settle(lines.select(
+            key.alias("id"), outbound.digest("line").alias("digest"), "batch",
+            F.lit(True if run > 1 else None).alias("sure"), F.substring(key, 4, 20).cast("bigint").alias("n")), "results")
+        results = results.withColumn("success", F.col("sure").isNotNull() | (F.col("n") % 3 > 0)).withColumn(
+            "errors", F.when(~F.col("success"), "rejected"))
+        outbound.record_outcomes(ledger, results, run)
+        sent.append(results.select("id", "batch"))
+    times = reduce(DataFrame.unionByName, sent).groupBy("id").agg(F.count(F.lit(1)).alias("sent"))
+    known = ledger.read(b.spark).groupBy("id").agg(F.count_if("success").alias("delivered"), F.count_if(~F.col("success")).alias("failed"))
+    return times.join(known, "id")
 
 
 def _results(b: BenchTables) -> DataFrame:
@@ -242,6 +286,16 @@ def gold_table(b: BenchTables) -> DataFrame:
     return _gold_output(read_table(b.spark, cat, "customer_360"))
 
 
+@query
+def bucketed_gold(b: BenchTables) -> DataFrame:
+    """The gold table over facts that are bucketed by their keys."""
+    prefix = f"acctlens_{uuid.uuid4().hex}_"
+    tables = co_partition(b.entities(), Catalog(schema="default"), 8, prefix)
+    gold = settle(g.build_c360(tables, bt.EVENTS_AS_OF, bt.SOURCE, bt.ACTIVITY_WINDOW), "gold")
+    drop_bucketed(b.spark, Catalog(schema="default"), prefix)
+    return _gold_output(gold)
+
+
 def _change_sets(b: BenchTables) -> tuple[dict, dict]:
     """(the tables as they were, as first change sets; what has changed since): added, moved, withdrawn and altered rows."""
     now, part = b.entities(), F.xxhash64
@@ -297,17 +351,17 @@ def incremental_gold(b: BenchTables) -> DataFrame:
 
 @query
 def risk_score_raw(b: BenchTables) -> DataFrame:
-    return _gold(b).select("sf_account_id", "risk_score_raw")
+    return _refreshed(b).select("sf_account_id", "risk_score_raw")
 
 
 @query
 def risk_flags(b: BenchTables) -> DataFrame:
-    return _gold(b).select("sf_account_id", "is_stale_account", "has_escalated_cases", "has_backorders")
+    return _refreshed(b).select("sf_account_id", "is_stale_account", "has_escalated_cases", "has_backorders")
 
 
 @query
 def cap_audit(b: BenchTables) -> DataFrame:
-    return rollups.cap_audit(_gold(b))
+    return rollups.cap_audit(_refreshed(b))
 
 
 # --- scoring ---------------------------------------------------------------------------------
@@ -316,13 +370,13 @@ def cap_audit(b: BenchTables) -> DataFrame:
 @query
 def feature_matrix(b: BenchTables) -> DataFrame:
     money = ["open_pipeline_value", "total_closed_won", "total_closed_lost", "total_order_value"]
-    return _rounded(sc.feature_matrix(_gold(b)), 2, *money)
+    return _rounded(sc.feature_matrix(_refreshed(b)), 2, *money)
 
 
 @query
 def json_roundtrip(b: BenchTables) -> DataFrame:
     """Feature records written as JSON and read back."""
-    records = sc.feature_json(sc.feature_matrix(_gold(b)))
+    records = sc.feature_json(sc.feature_matrix(_refreshed(b)))
     back = F.from_json("record", ", ".join(f"{c} double" for c in FEATURES)).alias("f")
     return records.select("sf_account_id", back).select(
         "sf_account_id", "f.annual_revenue", "f.days_since_last_activity", "f.total_orders",
@@ -407,6 +461,34 @@ def ml_importance_checks(b: BenchTables) -> DataFrame:
     )
 
 
+def _cross_validated(b: BenchTables) -> DataFrame:
+    gold = _refreshed(b)
+    labelled = sc.raw_features(gold).join(gold.select("sf_account_id", "risk_score_raw"), "sf_account_id")
+    return sc.cross_validate(labelled, "risk_score_raw", folds=4, rounds=8)
+
+
+@query
+def ml_folds(b: BenchTables) -> DataFrame:
+    """A row per fold: its rows, those trained on, the error of their mean, and whether the model does better."""
+    folds = _cross_validated(b)
+    return folds.select("fold", "rows", "trained", F.round("mean_error", 6).alias("mean_error"), (F.col("error") < F.col("mean_error")).alias("better"))
+
+
+@query
+def ml_permutation(b: BenchTables) -> DataFrame:
+    """What the error of a model gains when a feature's values change places among the accounts."""
+    gold, model = _model(b)
+    labelled = sc.raw_features(gold).join(gold.select("sf_account_id", "risk_score_raw"), "sf_account_id")
+    return sc.permutation_importances(model, labelled, "risk_score_raw")
+
+
+@query
+def ml_permutation_checks(b: BenchTables) -> DataFrame:
+    """What must hold of it: all features, and the days without activity, which make the score, matter."""
+    days = F.max(F.when(F.col("feature") == "days_since_last_activity", F.col("gain")))
+    return ml_permutation(b).agg(F.count(F.lit(1)).alias("features"), (days > 0.1).alias("days_matter"))
+
+
 # --- rollups, lookups and load ---------------------------------------------------------------
 
 
@@ -539,6 +621,12 @@ def text_codec_write(b: BenchTables) -> DataFrame:
     return sc.publish(_scored(b), b.sf_account(), ASSESSED)
 
 
+@query
+def assessed_text(b: BenchTables) -> DataFrame:
+    """Times of the events as the customer system takes them: UTC, ISO text, milliseconds as zeros."""
+    return b.raw("events").select("event_id", tx.iso_utc(F.col("ts").cast("timestamp")).alias("assessed"))
+
+
 @query
 def typed_publish(b: BenchTables) -> DataFrame:
     """The target has the typed fields."""
@@ -634,6 +722,15 @@ def metric_all_dims(b: BenchTables) -> DataFrame:
     return account_metrics(_scored(b)).query(dims, ["account_count", "total_orders"])
 
 
+@query
+def metric_sets(b: BenchTables) -> DataFrame:
+    """Industry, region, both and all accounts in one pass, the totals told from missing values by their number."""
+    sets = [["industry", "region"], ["industry"], ["region"], []]
+    measures = ["account_count", "total_orders", "open_cases", "high_risk_accounts", "pct_high_risk", "win_value_rate"]
+    out = account_metrics(sc.rule_scored(_refreshed(b))).query_sets(sets, measures)
+    return _rounded(out, 6, "pct_high_risk", "win_value_rate")
+
+
 @query
 def revenue_trend(b: BenchTables) -> DataFrame:
     out = ins.revenue_trend(b.order_revenue(), bt.ORDERS_AS_OF)

@@ -41,7 +41,7 @@ class Files:
         return sorted(s.getPath().getName() for s in self.system.listStatus(self.path(name)))
 
     def modified(self, name: str) -> float:
-        """Seconds since 1970 of a folder's newest change, its files included."""
+        """Seconds since 1970 of the newest change of a file, or of a folder and what lies in it."""
         path = self.path(name)
         return max(s.getModificationTime() for s in [self.system.getFileStatus(path), *self.system.listStatus(path)]) / 1000
 

@@ -150,6 +150,16 @@ def test_callout_verdict(value, message, ip, verdict):
     assert value(net.callout_verdict(text, ["13.108.0.0/14"])) == verdict
 
 
+def test_iso_text_is_utc(value, spark):
+    moment = lit("2026-01-31 23:30:05.678").cast("timestamp")
+    assert value(tx.iso_utc(moment)) == "2026-01-31T23:30:05.000Z"
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert value(tx.iso_utc(moment)) == "2026-02-01T04:30:05.000Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_least_ignores_null(value):
     assert value(F.least(lit(40), lit(None).cast("int"))) == 40
 

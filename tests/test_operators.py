@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from acctlens.operators import audit, joins, metrics as m, peers, quality, rollups
-from acctlens.operators.metric_layer import account_metrics
+from acctlens.operators.metric_layer import MetricLayer, account_metrics
 
 AS_OF = date(2026, 10, 1)
 
@@ -374,6 +374,20 @@ def test_subnets(frame):
 # --- metric layer ----------------------------------------------------------------------------
 
 
+def test_metric_sets_in_one_pass(frame):
+    df = frame([("a", None, 1.0), ("a", "x", 2.0), (None, "x", 4.0)], "industry string, region string, annual_revenue double")
+    layer = MetricLayer(df, {"industry": F.upper("industry"), "region": F.col("region")}, {"n": F.count(F.lit(1)), "rich": F.count_if(F.col("industry") == "a")})
+    out = layer.query_sets([["industry", "region"], ["industry"], ["region"], []], ["n", "rich"])
+    assert sorted(map(str, rows_of(out.select("industry", "region", "grouping_id", "n", "rich")))) == sorted(map(str, [
+        ("A", None, 0, 1, 1), ("A", "x", 0, 1, 1), (None, "x", 0, 1, 0), ("A", None, 1, 2, 2), (None, None, 1, 1, 0),
+        (None, None, 2, 1, 1), (None, "x", 2, 2, 1), (None, None, 3, 3, 2)]))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Expand") == 1 and plan.count("LogicalRDD") + plan.count("LocalRelation") <= 1
+    assert rows_of(layer.query_sets([[]], ["n"]).select("n", "grouping_id")) == [(3, 0)]
+    with pytest.raises(KeyError):
+        layer.query_sets([["nothing"]], ["n"])
+
+
 def test_metric_layer(frame):
     cols = ["industry", "ml_risk_score", "risk_category", "annual_revenue", "total_closed_won", "total_closed_lost"]
     df = frame([("x", 60.0, "High", 10.0, 1.0, 1.0), ("x", 10.0, "Low", 30.0, 8.0, 0.0),

@@ -8,7 +8,7 @@ from acctlens.queries import registry
 from compare import connect, differences
 
 # Models have no SQL form; what must hold of them has, in the ``_checks`` queries.
-ROWS_ONLY = {"ml_score", "ml_importances"}
+ROWS_ONLY = {"ml_score", "ml_importances", "ml_permutation"}
 
 
 @pytest.fixture(scope="module")

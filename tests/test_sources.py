@@ -110,19 +110,56 @@ def test_make_and_conform(spark):
     assert len(parsed(AUDIT_LOG).fields) == 7 and all(parsed(s).fields for s in MIRROR.values())
 
 
-@pytest.mark.parametrize("rows, parts, batch, files", [(1, 1, 200, 1), (450, 1, 200, 3), (450, 1, 7, 65), (1500, 4, 200, 8)])
-def test_write_outbound(spark, tmp_path, rows, parts, batch, files):
-    df = spark.range(0, rows, 1, parts).select(F.to_json(F.struct(F.col("id").alias("Id"))).alias("body"))
+@pytest.mark.parametrize("rows, parts, batch, framed", [(1, 1, 200, 1), (450, 1, 200, 3), (450, 1, 7, 65), (1500, 4, 200, 8), (0, 1, 200, 0)])
+def test_write_outbound(spark, tmp_path, rows, parts, batch, framed):
+    df = spark.range(0, rows, 1, parts).select(F.col("id").alias("Id"), F.to_json(F.struct(F.col("id").alias("Id"))).alias("body"))
     outbound.write_outbound(df, str(tmp_path / "feed"), batch=batch)
     batches = outbound.read_batches(spark, str(tmp_path / "feed"))
     lines = [json.loads(r.line) for r in batches.collect()]
     assert sorted(r["Id"] for r in lines) == list(range(rows))
-    assert batches.select("batch").distinct().count() == files
+    assert batches.select("batch").distinct().count() == framed
+    # Files follow bytes, and the same records make the same batches.
+    assert len([f for f in (tmp_path / "feed").iterdir() if f.name.startswith("part-")]) <= 8
+    again = outbound.frame_batches(df.repartition(5), batch=batch)
+    assert sorted(r.batch for r in again.collect()) == sorted({r.batch for r in batches.collect()})
     assert tuple(outbound.check_batches(batches, batch=batch).first()) == (rows, 0, 0)
     if rows == 450:
         assert outbound.check_batches(batches.union(batches), batch=batch).first()["repeated_ids"] == 450
 
 
+def test_batches_of_several_groups(spark, monkeypatch):
+    monkeypatch.setattr(outbound, "GROUP", 100)
+    df = spark.range(1000).select(F.col("id").alias("Id"), F.lit('{"a": "x, [y]"}').alias("body"))
+    framed = outbound.frame_batches(df, batch=30).collect()
+    assert sum(r.n for r in framed) == 1000 and max(r.n for r in framed) <= 30 and len({r.batch for r in framed}) == len(framed)
+    assert sum(len(json.loads(r.line)["records"]) for r in framed) == 1000
+
+
+def test_ledger_resends_what_is_new_or_failed(spark, frame, tmp_path):
+    ledger = outbound.delivery_ledger(str(tmp_path / "ledger"), buckets=2)
+
+    def feed(*rows):
+        return frame([*rows], "Id string, body string, _done_ string")
+
+    def waiting(df):
+        return sorted((r.Id or "none", r.body) for r in outbound.pending(df, ledger).collect())
+
+    def results(df, **success):
+        return df.select(F.col("Id").alias("id"), outbound.digest().alias("digest"), F.create_map(
+            *[F.lit(x) for pair in success.items() for x in pair])[F.col("Id")].alias("success"), F.lit(None).cast("string").alias("errors"))
+
+    first = feed(("a", "1", ""), ("b", "1", ""), ("c", "1", ""), (None, "1", ""))
+    assert len(waiting(first)) == 4
+    outcome = results(first, a=True, b=False)
+    for _ in range(2):                    # entered twice
+        outbound.record_outcomes(ledger, outcome, 1)
+        assert waiting(first) == [("b", "1"), ("c", "1"), ("none", "1")]
+    second = feed(("a", "2", ""), ("b", "1", ""), ("c", "1", ""))
+    assert waiting(second) == [("a", "2"), ("b", "1"), ("c", "1")]
+    outbound.record_outcomes(ledger, results(second, a=True, b=True, c=True), 2)
+    assert waiting(second) == [] and waiting(feed(("a", "1", ""))) == []
+
+
 def test_reconcile(frame):
     results = frame([(3, False, "c"), (1, True, None), (2, False, "b"), (4, None, "d"), (5, False, "e")],
                     "id int, success boolean, errors string")
