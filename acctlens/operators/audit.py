@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from acctlens.functions import network as net
 from acctlens.operators.joins import key_counts, lookup_join
-from acctlens.operators.ordered import in_ranges, merged_ranges, unused
+from acctlens.operators.ordered import in_ranges, merged_ranges
 from acctlens.sources.tables import settle
 
 # (column, text) pairs that mark a serving event; the match is case-sensitive (fixed values).
@@ -74,13 +74,13 @@ def cidr_match(df: DataFrame, ip_col: str, networks: DataFrame, repeats: bool =
     address or no network matches nothing. Set ``repeats`` where many rows may be equal in all columns. For
     a short configured list use :func:`acctlens.functions.network.in_networks` instead.
     """
+    number = "number" if ip_col != "number" else "number_"
     # Written, as it is read for the numbers and for the hot addresses of the join.
-    counts = settle(key_counts(df, ip_col), "addresses")
-    number = unused(counts, "number")
+    counts = settle(key_counts(df, ip_col).withColumn(number, net.ip_number(F.col(ip_col))), "addresses")
     ranges = networks.select(net.network_range(F.col("cidr")).alias("r")).where("r IS NOT NULL").select("r.*")
-    points = counts.select(ip_col, net.ip_number(F.col(ip_col)).alias(number)).where(F.col(number).isNotNull())
+    points = counts.select(ip_col, number).where(F.col(number).isNotNull())
     hits = in_ranges(points, number, ranges, "in_allowed").where("in_allowed").select(ip_col, "in_allowed")
-    flagged = lookup_join(df, hits, ip_col, counts=counts, repeats=repeats)
+    flagged = lookup_join(df, hits, ip_col, counts=counts.drop(number), repeats=repeats)
     return flagged.withColumn("in_allowed", F.coalesce("in_allowed", F.lit(False)))
 
 

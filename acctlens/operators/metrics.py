@@ -177,36 +177,32 @@ def order_side(header: DataFrame, line: DataFrame, product: DataFrame) -> DataFr
     """:func:`order_metrics` and :func:`product_coverage` of every customer with orders, in one pass.
 
     Lines are summed per (order, product), then per (order, family), before they meet the headers.
-    One family of each order stands for the order in the count. Families of lines without a product
-    count as none.
+    Families of lines without a product count as none.
     """
     value = F.col("qty_ordered") * F.col("unit_price")
     parts = line.groupBy("sales_order_header_key", "product_key").agg(
         F.sum(value).cast("double").alias("_value"), F.count(value).alias("_lines")
     )
     known = product_families(product).withColumn("_known", F.lit(1))
-    parts = parts.join(known, "product_key", "left").groupBy("sales_order_header_key", "family").agg(
-        F.sum("_value").alias("_value"), F.sum("_lines").alias("_lines"), F.max("_known").alias("_known")
-    )
-    # One row for each order, of as many parts as it has families, so that the first part can stand for it.
-    whole = parts.groupBy("sales_order_header_key").agg(F.collect_list(F.struct("family", "_value", "_lines", "_known")).alias("_parts"))
-    parts = _headers(header).join(whole, "sales_order_header_key").select(
-        "sales_order_header_key", "customer_shipto_key", F.posexplode("_parts").alias("_place", "_part"))
+    order, family = F.col("sales_order_header_key"), F.col("family")
+    # Each order by family and as a whole, in one pass; ``_whole`` is 1 for the whole.
+    parts = parts.join(known, "product_key", "left").groupingSets([[order, family], [order]], order, family).agg(
+        F.grouping(family).alias("_whole"), F.sum("_value").alias("_value"), F.sum("_lines").alias("_lines"), F.max("_known").alias("_known"))
     # Repeated headers add their values and count once; the rows of an order lie together already.
-    parts = parts.groupBy("sales_order_header_key", "customer_shipto_key", F.col("_part.family").alias("family")).agg(
-        F.sum("_part._value").alias("_value"), F.sum("_part._lines").alias("_lines"), F.max("_part._known").alias("_known"),
-        (F.min("_place") == 0).cast("long").alias("_first"))
-    by_family = parts.groupBy("customer_shipto_key", "family").agg(
-        *[F.sum(c).alias(c) for c in ("_value", "_lines", "_first")], F.max("_known").alias("_known")
-    )
-    order_value, lines = F.sum("_value"), F.sum("_lines")
-    names = F.concat_ws(", ", F.array_sort(F.collect_list("family")))
+    parts = _headers(header).join(parts, "sales_order_header_key").groupBy(
+        "sales_order_header_key", "customer_shipto_key", "family", "_whole").agg(
+        F.sum("_value").alias("_value"), F.sum("_lines").alias("_lines"), F.max("_known").alias("_known"))
+    by_family = parts.groupBy("customer_shipto_key", "family", "_whole").agg(
+        F.count(F.lit(1)).alias("_orders"), F.sum("_value").alias("_value"), F.sum("_lines").alias("_lines"), F.max("_known").alias("_known"))
+    whole = F.col("_whole") == 1
+    order_value, lines = F.sum(F.when(whole, F.col("_value"))), F.sum(F.when(whole, F.col("_lines")))
+    names = F.collect_list(F.when(~whole, F.col("family")))
     return by_family.groupBy("customer_shipto_key").agg(
-        F.sum("_first").alias("total_orders"),
+        F.sum(F.when(whole, F.col("_orders"))).alias("total_orders"),
         order_value.alias("total_order_value"),
         F.when(lines > 0, order_value / lines).alias("avg_line_value"),
-        F.when(F.max("_known") > 0, F.count("family")).alias("product_families_purchased"),
-        F.when(F.max("_known") > 0, names).alias("product_family_list"),
+        F.when(F.max("_known") > 0, F.size(names).cast("bigint")).alias("product_families_purchased"),
+        F.when(F.max("_known") > 0, F.concat_ws(", ", F.array_sort(names))).alias("product_family_list"),
     )
 
 
