@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from acctlens.llm.textbytes import BASE, BASE_INVERSE, CHUNK_BYTES, batches, mixed, powers
+from acctlens.llm.textbytes import CHUNK_BYTES, batches, span_hashes
 
 # Distinct pieces of text whose ids a Python worker keeps; beyond that it starts anew.
 KNOWN_PIECES = 1_500_000
@@ -306,10 +306,7 @@ class WordBpe:
         # Like a byte's, a character's value in the hash is taken one higher.
         code = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         begin, end = self._cut(code)
-        prefix = np.zeros(len(code) + 1, np.uint64)
-        np.cumsum((code.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(code)), out=prefix[1:])
-        value = (prefix[end] - prefix[begin]) * powers(BASE_INVERSE, len(code) + 1)[begin]
-        value = mixed(value + (end - begin).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        value = span_hashes(code.astype(np.uint64) + np.uint64(1), begin, end)
         distinct, first, which = np.unique(value, return_index=True, return_inverse=True)
         if len(self.known.hashes) > KNOWN_PIECES:
             self.known = KnownPieces()

@@ -14,10 +14,10 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 2 << 20
-# An odd multiplier has an inverse modulo 2 ** 64, so a word's hash is read off two prefix sums.
-BASE = 0x9E3779B97F4A7C15
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
-MASK = (1 << 64) - 1
+# Two primes and a base for each. Modulo a power of two, repetitive texts could have equal hashes.
+FIELDS = ((2147483647, 1581746423), (2147483629, 1040683627))
+# Products that are summed up before they are reduced: 2 ** 16 of less than 2 ** 47 each.
+SUMMED = 1 << 16
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -36,22 +36,48 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS: dict[int, np.ndarray] = {}
+_POWERS: dict[tuple[int, int], np.ndarray] = {}
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64. Kept up to the chunk size."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1024)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        np.cumprod(have, out=have)
-        if size <= CHUNK_BYTES + 1:
-            _POWERS[base] = have
+def powers(base: int, prime: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo the prime. Kept up to the chunk size."""
+    have = _POWERS.get((base, prime), np.ones(1, np.uint64))
+    while len(have) < n:
+        have = np.concatenate([have, have * np.uint64(pow(base, len(have), prime)) % np.uint64(prime)])
+        if len(have) <= 2 * CHUNK_BYTES:
+            _POWERS[base, prime] = have
     return have[:n]
 
 
+def _prefix(values: np.ndarray, base: int, prime: int) -> np.ndarray:
+    """Sums of value * base ** place over the places before each, modulo the prime but for some multiple of it."""
+    n = len(values)
+    terms = values * powers(base, prime, n)
+    if n and values.max() >= 1 << 16:
+        terms %= np.uint64(prime)
+    width = min(SUMMED, n) or 1
+    rows = np.zeros((-(-n // width), width), np.uint64)
+    rows.ravel()[:n] = terms
+    np.cumsum(rows, axis=1, out=rows)
+    before = np.cumsum(rows[:, -1] % np.uint64(prime))
+    rows[1:] += before[:-1, None]
+    return np.concatenate([np.zeros(1, np.uint64), rows.ravel()[:n]])
+
+
+def span_hashes(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the values (unsigned, not 0) from each begin to its end, wherever they are.
+
+    Polynomials modulo two primes, read off prefix sums: 62 bits tell texts apart, of whatever pattern.
+    """
+    parts = []
+    for prime, base in FIELDS:
+        p = np.uint64(prime)
+        sums = _prefix(values, base, prime)
+        part = (sums[ends] % p + p - sums[begins] % p) % p
+        parts.append(part * powers(pow(base, -1, prime), prime, len(values) + 1)[begins] % p)
+    return mixed((parts[0] | parts[1] << np.uint64(32)) ^ mixed((ends - begins).astype(np.uint64)))
+
+
 def spans_covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     """Which of n positions lie in a window of the length beginning at one of the starts."""
     edge = np.zeros(n + 1, np.int64)
@@ -102,11 +128,7 @@ class Texts:
 
     def hashes(self, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hash of the bytes from each begin to its end: equal bytes, equal hash, wherever they are."""
-        prefix = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(self.data)), out=prefix[1:])
-        value = prefix[ends] - prefix[begins]
-        value *= powers(BASE_INVERSE, len(self.data) + 1)[begins]
-        return mixed(value + (ends - begins).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        return span_hashes(self.data.astype(np.uint64) + np.uint64(1), begins, ends)
 
     @cached_property
     def word_hashes(self) -> np.ndarray:
