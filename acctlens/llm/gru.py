@@ -51,24 +51,26 @@ def initial(counts: np.ndarray) -> np.ndarray:
     return flat
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def steps(p: dict[str, np.ndarray], ids: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """States after each step (steps x texts x HIDDEN), and what backpropagation needs."""
+def steps(p: dict[str, np.ndarray], ids: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """States after each step (steps x texts x HIDDEN), and what backpropagation needs, likewise:
+    states before, both gates, the candidate and what the reset gate lets through of it."""
     gates = (p["embed"] @ p["wx"] + p["b"])[ids]
-    states, kept, h = np.empty((len(ids), *state.shape), np.float32), [], state
+    states, inner = np.empty((len(ids) + 1, *state.shape), np.float32), np.empty((len(ids), *state.shape), np.float32)
+    states[0] = state
     for t in range(len(ids)):
+        h, rz, n = states[t], gates[t, :, : 2 * HIDDEN], gates[t, :, 2 * HIDDEN :]
         from_h = h @ p["wh"]
-        rz = _sigmoid(gates[t, :, : 2 * HIDDEN] + from_h[:, : 2 * HIDDEN])
-        r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
-        inner = from_h[:, 2 * HIDDEN :]
-        n = np.tanh(gates[t, :, 2 * HIDDEN :] + r * inner)
-        kept.append((h, r, z, n, inner))
-        h = n + z * (h - n)
-        states[t] = h
-    return states, tuple(kept)
+        rz += from_h[:, : 2 * HIDDEN]
+        # The logistic function, in place.
+        np.negative(rz, out=rz)
+        np.exp(rz, out=rz)
+        rz += 1
+        np.reciprocal(rz, out=rz)
+        inner[t] = from_h[:, 2 * HIDDEN :]
+        n += rz[:, :HIDDEN] * inner[t]
+        np.tanh(n, out=n)
+        states[t + 1] = n + rz[:, HIDDEN:] * (h - n)
+    return states[1:], (states[:-1], gates[:, :, :HIDDEN], gates[:, :, HIDDEN : 2 * HIDDEN], gates[:, :, 2 * HIDDEN :], inner)
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -119,23 +121,27 @@ def gradient(flat: np.ndarray, ids: np.ndarray, target: np.ndarray, mask: np.nda
         back_live[at] += delta @ p["wo"][own]
     back[live] = back_live
     back = back.reshape(states.shape)
-    into = np.zeros_like(state)
-    inputs = np.zeros((*ids.shape, 3 * HIDDEN), np.float32)
+    before, r, z, n, inner = kept
+    # What a step's loss passes on to the gates' inputs, per unit that it passes to its state.
+    to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), inner * r * (1 - r)
+    into, wh = np.zeros_like(state), np.ascontiguousarray(p["wh"].T)
+    inputs = np.empty((*ids.shape, 3 * HIDDEN), np.float32)
+    hidden = np.empty_like(inputs)
     for t in range(len(ids) - 1, -1, -1):
-        h, r, z, n, inner = kept[t]
-        into = into + back[t]
-        dn = into * (1 - z) * (1 - n * n)
-        dz = into * (h - n) * z * (1 - z)
-        dr = dn * inner * r * (1 - r)
-        hidden = np.concatenate([dr, dz, dn * r], axis=1)
-        g["wh"] += h.T @ hidden
-        inputs[t] = np.concatenate([dr, dz, dn], axis=1)
-        into = into * z + hidden @ p["wh"].T
+        into += back[t]
+        own, x = hidden[t], inputs[t]
+        np.multiply(into, to_n[t], out=x[:, 2 * HIDDEN :])
+        np.multiply(into, to_z[t], out=x[:, HIDDEN : 2 * HIDDEN])
+        np.multiply(x[:, 2 * HIDDEN :], to_r[t], out=x[:, :HIDDEN])
+        own[:, : 2 * HIDDEN] = x[:, : 2 * HIDDEN]
+        np.multiply(x[:, 2 * HIDDEN :], r[t], out=own[:, 2 * HIDDEN :])
+        into = into * z[t] + own @ wh
     inputs = inputs.reshape(-1, 3 * HIDDEN)
+    g["wh"][:] = before.reshape(-1, HIDDEN).T @ hidden.reshape(-1, 3 * HIDDEN)
     g["b"][:] = inputs.sum(axis=0)
-    used, which = np.unique(ids.ravel(), return_inverse=True)
-    summed = np.zeros((len(used), 3 * HIDDEN), np.float32)
-    np.add.at(summed, which.ravel(), inputs)
+    order = np.argsort(ids.ravel(), kind="stable")
+    used, first = np.unique(ids.ravel()[order], return_index=True)
+    summed = np.add.reduceat(inputs[order], first, axis=0)
     g["wx"][:] = p["embed"][used].T @ summed
     g["embed"][used] = summed @ p["wx"].T
     return grad, states[-1]

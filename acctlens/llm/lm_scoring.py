@@ -8,8 +8,8 @@ shape, so every token of the corpus has its part in the model.
 
 Training: each task trains from the same parameters over every window of all its training texts, by
 truncated backpropagation with the state carried on from a text's first to its last token; the tasks'
-parameters are averaged by their tokens, and that is repeated. Scoring:
-every text is read from its first to its last token with the state carried on.
+parameters are averaged by their tokens. So scores depend a little on how many tasks the table is read by.
+Scoring: every text is read from its first to its last token with the state carried on.
 
 Texts meet the counts of their tokens in blocks: a block of texts and the counts of its distinct
 tokens come together in one task, so no table of all tokens is sent anywhere.
@@ -35,8 +35,8 @@ from acctlens.sources.tables import settle
 SMOOTH = 0.1
 END = np.uint64(0x5851F42D4C957F2D)
 BLOCK_BYTES = 12 << 20
-# Rounds of training over all tokens and averaging.
-ROUNDS = 3
+# Rounds of training over all tokens and averaging, and texts that a task reads side by side.
+ROUNDS = 1
 SIDE = 64
 SLICES = 64
 
