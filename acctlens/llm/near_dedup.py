@@ -33,8 +33,8 @@ from acctlens.sources.tables import settle
 
 SHINGLE = 5
 THRESHOLD = 0.8
-# At the threshold a pair shares a band with a chance above 0.998.
-BANDS, ROWS = 21, 6
+# At the threshold a pair shares a band with a chance above 0.9994.
+BANDS, ROWS = 25, 6
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
