@@ -77,6 +77,7 @@ def shared_buckets(members: DataFrame, items: DataFrame) -> DataFrame:
     """
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
     sizes = settle(sizes.where("n > 1"), "sizes")
+    free_shuffles(sizes)
     twos = sizes.where("n = 2").select("bucket", F.explode(F.array("low", "high")).alias("id"), "n")
     larger = sizes.where("n > 2").select("bucket", "n")
     if larger.count() <= BROADCAST_BUCKETS:
