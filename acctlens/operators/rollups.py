@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -75,13 +76,46 @@ def first_match(df: DataFrame, column: str, pattern: str, key: str) -> DataFrame
     return df.where(F.col(column).contains(pattern)).orderBy(key).limit(1)
 
 
-def latest_by_key(df: DataFrame, key: str | list[str], order: list[str]) -> DataFrame:
-    """Newest row per key, of one or several columns, by the order columns.
+def newest_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Newest row per key in one pass, for rows with few versions of a key (deltas of a mirror, a batch).
 
-    An aggregate instead of a ranking window: each task keeps one row per key before the
-    shuffle, so a key with very many versions never gathers in one task.
+    Each task keeps one row per key before the shuffle, but sorts its whole rows for that.
     """
-    keys = [key] if isinstance(key, str) else list(key)
     rest = [c for c in df.columns if c not in keys]
     newest = F.max_by(F.struct(*rest), F.struct(*order))
     return df.groupBy(*keys).agg(newest.alias("_row")).select(*keys, "_row.*").select(*df.columns)
+
+
+def latest_by_key(df: DataFrame, key: str | list[str], order: list[str]) -> DataFrame:
+    """Newest row per key, of one or several columns, by the order columns; NULL is the oldest.
+
+    Rows that tie in all order columns are decided by the larger hash of their other columns (maps left
+    out), and of equal rows one stays.
+
+    The greatest value of each order column is found in turn, by a hash aggregate over keys and order
+    columns alone; whole rows are then fetched by a semi join on keys and greatest values. So the sort and
+    the shuffle of an aggregate over whole rows fall away, and a key with very many versions is spread by its
+    order values. ``df`` is read once for each order column and twice more; it must give the same rows each time.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    rest = [f.name for f in df.schema if f.name not in [*keys, *order] and "map<" not in f.dataType.simpleString()]
+    # Names for the greatest values that no column of the rows has.
+    mark = "_"
+    while any(c.startswith(f"{mark}top") for c in df.columns):
+        mark += "_"
+    steps = [F.col(c) for c in keys + list(order)] + ([F.xxhash64(*rest)] if rest else [])
+    names = [f"{mark}top{i}" for i in range(len(steps))]
+
+    def reaching(best: DataFrame, done: int) -> DataFrame:
+        """The rows that have a key's greatest values in all that is decided."""
+        same = [step.eqNullSafe(F.col(name)) for step, name in zip(steps[:done], names)]
+        return df.join(best, reduce(and_, same), "left_semi")
+
+    rows, best = df, None
+    for done in range(len(keys), len(steps)):
+        # The values before are the same in all rows of a key by now, and come along as grouping columns.
+        groups = [step.alias(name) for step, name in zip(steps[:done], names)]
+        best = rows.groupBy(*groups).agg(F.max(steps[done]).alias(names[done]))
+        rows = reaching(best, done + 1)
+    maps = len(keys) + len(order) + len(rest) < len(df.columns)
+    return rows.dropDuplicates(keys) if maps else rows.distinct()

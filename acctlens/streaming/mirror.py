@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from acctlens.operators.rollups import latest_by_key
+from acctlens.operators.rollups import newest_rows
 from acctlens.sources.versions import Files, Version, VersionedTable
 
 ORDER = ["change_ts", "change_seq"]
@@ -50,7 +50,7 @@ class Mirror:
         return F.pmod(F.xxhash64(self.keys[0]), F.lit(self.buckets)).cast("int")
 
     def _newest(self, rows: DataFrame) -> DataFrame:
-        return latest_by_key(rows.select(*self.schema.names), self.keys, list(self.order))
+        return newest_rows(rows.select(*self.schema.names), self.keys, list(self.order))
 
     def store_batch(self, batch: DataFrame, batch_id: int) -> None:
         """Add the batch's newest row per key as a delta, and merge the deltas if they have become many."""

@@ -266,6 +266,41 @@ def test_latest_by_key(frame):
     assert rows_of(rollups.latest_by_key(df, "id", ["ts", "seq"])) == [("a", 3, 5, "a35"), ("b", 3, 5, "b35")]
 
 
+def test_latest_by_key_ties_and_nulls(frame):
+    rows = [
+        (None, 1, None, "old"), (None, 2, None, "new"), ("a", None, 1, "null is oldest"), ("a", -1, None, "kept"),
+        ("b", None, None, "only"), ("c", 5, 1, "same"), ("c", 5, 1, "same"), ("d", 1, 1, "x"), ("d", 1, 1, "y"), ("d", 0, 9, "z"),
+    ]
+    df = frame(rows, "id string, ts int, _top0 int, v string")
+    got = rows_of(rollups.latest_by_key(df, "id", ["ts", "_top0"]))
+    assert [r for r in got if r[0] != "d"] == sorted(
+        [(None, 2, None, "new"), ("a", -1, None, "kept"), ("b", None, None, "only"), ("c", 5, 1, "same")], key=repr)
+    tied = [r for r in got if r[0] == "d"]
+    assert len(tied) == 1 and tied[0] in rows
+    again = rows_of(rollups.latest_by_key(df.repartition(5, "v"), "id", ["ts", "_top0"]))
+    assert again == got
+    assert rollups.latest_by_key(df.where("false"), "id", ["ts"]).count() == 0
+
+
+def test_latest_by_key_against_all_versions(spark):
+    df = spark.range(20_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 0 ELSE xxhash64(id) % 500 END AS k", "xxhash64(id, 1) % 40 AS ts", "xxhash64(id, 2) % 9 AS seq",
+        "map('a', xxhash64(id, 3)) AS props", "xxhash64(id, 4) % 3 AS v")
+    best = {}
+    for r in df.collect():
+        best.setdefault(r.k, []).append((r.ts, r.seq, r.v))
+    rows = rollups.latest_by_key(df, ["k"], ["ts", "seq"]).collect()
+    assert sorted(r.k for r in rows) == sorted(best)
+    for r in rows:
+        assert (r.ts, r.seq) == max(x[:2] for x in best[r.k]) and (r.ts, r.seq, r.v) in best[r.k]
+
+
+def test_latest_by_key_aggregates_keys_and_order_only(spark, sf_dir):
+    df = rollups.latest_by_key(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", ["ts", "event_id"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Window" not in plan
+
+
 def test_cap_audit_and_counts(frame):
     gold = frame([(365,), (365,), (364,)], "days_since_last_activity int")
     assert rows_of(rollups.cap_audit(gold)) == [("365 (capped)", 2, 365), ("Normal", 1, 364)]
