@@ -5,7 +5,9 @@ of its members, its hub, with all others; what links to a hub is then one group
 comparison inside. Later rounds take about four hubs, then four times as many each time, and only
 members that are still in different groups are compared. After the last round every pair of a bucket has either been
 compared or is connected, so no link between groups is lost, and a bucket of like items costs a few
-comparisons for each member.
+comparisons for each member. Members of the bucket's largest group are never held against each other. A bucket of many
+items that nothing connects would end in all pairs; a caller that has sharper buckets for those stops
+after some rounds and goes on with what :func:`undecided` gives.
 """
 
 from __future__ import annotations
@@ -96,36 +98,53 @@ def shared_buckets(members: DataFrame, items: DataFrame) -> DataFrame:
     return settle(out, "members")
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], also: Column | None = None) -> DataFrame:
+def undecided(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The members of buckets that are still of several groups, with their ``root`` and whether they
+    belong to the bucket's largest group (``main``). Small buckets were settled at once."""
+    seen = members.where(F.col("n") > SMALL_BUCKET).drop("root", "main")
+    if roots is None:
+        seen = seen.withColumn("root", F.col("id"))
+    else:
+        seen = seen.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    groups = seen.groupBy("bucket", F.col("root").alias("r")).agg(F.count(F.lit(1)).alias("c"))
+    mixed = groups.groupBy("bucket").agg(F.max(F.struct("c", "r")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    seen = seen.join(mixed.select("bucket", F.col("m.r").alias("r")), "bucket")
+    return seen.withColumn("main", F.col("root") == F.col("r")).drop("r")
+
+
+def linked(
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], also: Column | None = None,
+    roots: DataFrame | None = None, rounds: int | None = None,
+) -> DataFrame:
     """(id, root) of the items that some chain of links ties to a smaller one.
 
     ``members`` comes from :func:`shared_buckets`. ``also`` is a condition on two members x and y
     without which they can't be linked. ``verify`` takes distinct pairs (a, b) and returns those
-    that are links.
+    that are links. ``roots`` holds groups known before. After ``rounds``, if given, no more hubs are compared.
     """
     possible = F.lit(True) if also is None else also
-    roots: DataFrame | None = None
     now, empty = 0, members.select("id", F.col("id").alias("root")).where("false")
     while True:
+        if now == rounds:
+            return empty if roots is None else roots
         if now:
-            # Only buckets that are still of several groups go on; small ones were settled at once.
-            seen = members.where(F.col("n") > SMALL_BUCKET)
-            if roots is not None:
-                seen = seen.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-            mixed = seen.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("bucket")
-            members = settle(seen.join(mixed, "bucket"), "members")
+            members = settle(undecided(members, roots), "members")
         else:
-            members = members.withColumn("root", F.col("id"))
+            members = members.withColumn("root", F.col("id")).withColumn("main", F.lit(False))
+            if roots is not None:
+                members = members.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         last = members.agg(F.max("level")).first()[0]
         if last is None or last < now:
             return empty if roots is None else roots
         seen = members
         keyed = seen.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
         hubs = seen.where(F.col("level") == now).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        # Hubs of the largest group meet the members of others only.
+        hubs = hubs.withColumn("meets", F.explode(F.when(F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
         # Each pair of a bucket once: by the round, then by place, then by id.
         order = [F.struct(f"{m}.level", f"{m}.place", f"{m}.id") for m in "xy"]
         later = order[0] < order[1]
-        same = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") == F.col("y.part"))
+        same = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.meets") == F.col("y.main"))
         pairs = hubs.alias("x").join(keyed.alias("y"), same & later & (F.col("x.root") != F.col("y.root")) & possible)
         pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
         links = settle(verify(pairs), "links")

@@ -10,6 +10,11 @@ Bands of the signature name the candidates. A pair is a link if the exact Jaccar
 two shingle sets is at least the threshold; classes are the connected documents. Equal texts are one
 item throughout, so copies are never compared.
 
+Members of one large bucket that the first hubs don't connect (such as copies that are 0.6 to 0.8 alike) are
+parted further by their rare shingles, without loss: in any common order of all shingles, two sets of sizes m and n that share
+at least o share one among the first m - o + 1 of the one and n - o + 1 of the other. With the rarest first, what
+an edited copy has of its own comes before the passage that the whole group shares.
+
 Words are parted by ASCII white space, A-Z in lower case. A text under five words is one shingle of
 all its words. Null text: a class of its own. Texts without a word: equal texts share a class,
 others are not compared. Repeated rows are copies. Null doc_id: allowed; a class's id is its smallest
@@ -25,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from acctlens.llm.linking import linked, shared_buckets, sizes_within
+from acctlens.llm.linking import linked, shared_buckets, sizes_within, undecided
 from acctlens.llm.rows import packed_rows, unpacked_rows
 from acctlens.llm.textbytes import Texts, chunks, mixed
 from acctlens.operators.joins import lookup_join
@@ -36,6 +41,11 @@ THRESHOLD = 0.8
 # At the threshold a pair shares a band with a chance above 0.9994.
 BANDS, ROWS = 25, 6
 
+# Rounds of hubs (1, then some 4 of a bucket) before rare shingles part what is left.
+HUB_ROUNDS = 2
+# Counters that the rarity of shingles is read from. They order the work; any order gives the same links.
+CELLS = 1 << 18
+
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -178,6 +188,68 @@ def _verifier(sets: DataFrame, threshold: float):
     return verify
 
 
+def _cells(value: np.ndarray) -> np.ndarray:
+    return (value >> np.uint64(20)).astype(np.int64) & (CELLS - 1)
+
+
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall in each cell: one array of fixed size."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for part in parts:
+            for data in part.column("shingles"):
+                np.add.at(total, _cells(np.frombuffer(data.as_py(), np.uint64)), 1)
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array(total[met])], ["cell", "n"])
+
+    found = sets.select("shingles").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CELLS, np.int64)
+    counts[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return counts
+
+
+def rarest(value: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
+    """The first shingles of a set, rarest first, among which a set as alike as the threshold has one too."""
+    order = np.lexsort((value, counts[_cells(value)]))
+    return value[order[: len(value) - int(np.ceil(threshold * len(value) - 1e-9)) + 1]]
+
+
+def _rare_members(sets: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, id, pos): each set's rarest shingles and their places in its order."""
+    counts = _rarity(sets)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for item, data in zip(part.column("id").to_pylist(), part.column("shingles")):
+                first = rarest(np.frombuffer(data.as_py(), np.uint64), counts, threshold)
+                ids = np.full(len(first), item, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(first.view(np.int64)), pa.array(ids), pa.array(np.arange(len(first)))], ["bucket", "id", "pos"])
+
+    return sets.mapInArrow(run, "bucket long, id long, pos long")
+
+
+def _places_within(threshold: float) -> Column:
+    """Members x and y meet among the first shingles that sets of their sizes must share one of."""
+    shared = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("x.size") + F.col("y.size")) - F.lit(1e-6))
+    return (F.col("x.pos") <= F.col("x.size") - shared) & (F.col("y.pos") <= F.col("y.size") - shared)
+
+
+def _links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, root): by hubs of the bands' buckets, and by rare shingles for what these leave open."""
+    verify, sized = _verifier(sets, threshold), sizes_within(threshold)
+    roots = linked(members, verify, sized, rounds=HUB_ROUNDS)
+    left = settle(undecided(members, roots).select("id", "size").distinct(), "left")
+    if left.isEmpty():
+        return roots
+    rare = settle(_rare_members(sets.join(left.select("id"), "id", "left_semi"), threshold), "rare")
+    again = shared_buckets(rare.select("bucket", "id"), left).join(rare, ["bucket", "id"])
+    # After the same rounds of hubs all that is left of a bucket at once.
+    again = again.withColumn("level", F.least("level", F.lit(HUB_ROUNDS)))
+    return linked(again, verify, sized & _places_within(threshold), roots)
+
+
 def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(rows (doc_id, digest), texts (id, root, digest, mark, first doc_id)), both written tables."""
     signed = settle(_signed(docs), "signed")
@@ -189,7 +261,7 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     members = shared_buckets(texts.select(F.explode("bands").alias("bucket"), "id"), texts.select("id", "size"))
     wanted = members.select("id").distinct().join(texts.select("id", "digest", "mark"), "id")
     sets = settle(_shingle_sets(docs, wanted), "sets")
-    roots = linked(members, _verifier(sets, threshold), sizes_within(threshold))
+    roots = _links(members, sets, threshold)
     texts = texts.select("id", "digest", "mark", "first").join(roots, "id", "left")
     return signed.select("doc_id", "digest"), settle(texts.withColumn("root", F.coalesce("root", "id")), "classes")
 
