@@ -290,7 +290,7 @@ def gold_table(b: BenchTables) -> DataFrame:
 def bucketed_gold(b: BenchTables) -> DataFrame:
     """The gold table over facts that are bucketed by their keys."""
     prefix = f"acctlens_{uuid.uuid4().hex}_"
-    tables = co_partition(b.entities(), Catalog(schema="default"), 8, prefix)
+    tables = co_partition(b.entities(), Catalog(schema="default"), prefix=prefix)
     gold = settle(g.build_c360(tables, bt.EVENTS_AS_OF, bt.SOURCE, bt.ACTIVITY_WINDOW), "gold")
     drop_bucketed(b.spark, Catalog(schema="default"), prefix)
     return _gold_output(gold)

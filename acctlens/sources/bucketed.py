@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from acctlens.sources.tables import Catalog
 
+# Rows of the largest fact in a bucket.
+BUCKET_ROWS = 250_000
 ORDER = "sales_order_header_key"
 KEYS = {
     "sf_task": "AccountId", "sf_contact": "AccountId", "sf_opportunity": "AccountId", "sf_case": "AccountId",
@@ -25,12 +27,18 @@ def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
     dealt.write.format("parquet").mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
 
 
-def co_partition(inputs: dict[str, DataFrame], cat: Catalog, buckets: int, prefix: str = "") -> dict[str, DataFrame]:
+def bucket_count(inputs: dict[str, DataFrame], rows: int = BUCKET_ROWS) -> int:
+    """Buckets of at most about ``rows`` rows of the largest fact. Counts the facts."""
+    return max(1, *(-(-inputs[name].count() // rows) for name in KEYS))
+
+
+def co_partition(inputs: dict[str, DataFrame], cat: Catalog, buckets: int | None = None, prefix: str = "") -> dict[str, DataFrame]:
     """The inputs of the gold table with all facts as bucketed tables; dimensions and the account side stay.
 
-    Size ``buckets`` so that a bucket of the largest fact is some hundred megabytes; it is the same for
-    all, so that their buckets meet.
+    ``buckets`` is the same for all, so that their buckets meet. If it is not given it follows the largest fact
+    (:func:`bucket_count`), as one task reads, sorts and groups a bucket.
     """
+    buckets = bucket_count(inputs) if buckets is None else buckets
     out = dict(inputs)
     for name, key in KEYS.items():
         table = cat.table(prefix + name)
