@@ -184,13 +184,14 @@ def order_side(header: DataFrame, line: DataFrame, product: DataFrame) -> DataFr
         F.sum(value).cast("double").alias("_value"), F.count(value).alias("_lines")
     )
     known = product_families(product).withColumn("_known", F.lit(1))
-    order, family = F.col("sales_order_header_key"), F.col("family")
-    # Each order by family and as a whole, in one pass; ``_whole`` is 1 for the whole.
-    parts = parts.join(known, "product_key", "left").groupingSets([[order, family], [order]], order, family).agg(
-        F.grouping(family).alias("_whole"), F.sum("_value").alias("_value"), F.sum("_lines").alias("_lines"), F.max("_known").alias("_known"))
-    # Repeated headers add their values and count once; the rows of an order lie together already.
-    parts = _headers(header).join(parts, "sales_order_header_key").groupBy(
-        "sales_order_header_key", "customer_shipto_key", "family", "_whole").agg(
+    parts = parts.join(known, "product_key", "left").groupBy("sales_order_header_key", "family").agg(
+        F.sum("_value").alias("_value"), F.sum("_lines").alias("_lines"), F.max("_known").alias("_known"))
+    # Each order by family and as a whole, in one pass; ``_whole`` is 1 for the whole. Told apart by an explode, which
+    # leaves the rows of an order together, as grouping sets would not.
+    kinds = F.array(F.struct("family", F.lit(0).alias("_whole")), F.struct(F.lit(None).alias("family"), F.lit(1).alias("_whole")))
+    parts = _headers(header).join(parts, "sales_order_header_key").withColumn("_kind", F.explode(kinds))
+    # Repeated headers add their values and count once.
+    parts = parts.groupBy("sales_order_header_key", "customer_shipto_key", F.col("_kind.family"), F.col("_kind._whole")).agg(
         F.sum("_value").alias("_value"), F.sum("_lines").alias("_lines"), F.max("_known").alias("_known"))
     by_family = parts.groupBy("customer_shipto_key", "family", "_whole").agg(
         F.count(F.lit(1)).alias("_orders"), F.sum("_value").alias("_value"), F.sum("_lines").alias("_lines"), F.max("_known").alias("_known"))

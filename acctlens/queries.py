@@ -21,6 +21,7 @@ from acctlens.operators.metric_layer import account_metrics
 from acctlens.plans import briefing as br, customer_load as load, gold as g, insights as ins, scoring as sc
 from acctlens.plans.incremental import GoldView
 from acctlens.schemas import FEATURES
+from acctlens.session import fit_tasks
 from acctlens.sources import bench_tables as bt, logs, outbound
 from acctlens.sources.bench_tables import BenchTables
 from acctlens.sources.bucketed import co_partition, drop_bucketed
@@ -46,7 +47,13 @@ _REGISTRY: dict[str, Query] = {}
 
 
 def query(fn: Callable[[BenchTables], DataFrame]) -> Callable[[BenchTables], DataFrame]:
-    _REGISTRY[fn.__name__] = lambda spark, sf_dir: fn(BenchTables(spark, sf_dir))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables = BenchTables(spark, sf_dir)
+        source = Files(spark, tables.cat.directory)
+        fit_tasks(spark, sum(source.size(tables.cat.path(name).rsplit("/", 1)[1]) for name in GOLD_TABLES))
+        return fn(tables)
+
+    _REGISTRY[fn.__name__] = run
     return fn
 
 

@@ -45,6 +45,11 @@ class Files:
         path = self.path(name)
         return max(s.getModificationTime() for s in [self.system.getFileStatus(path), *self.system.listStatus(path)]) / 1000
 
+    def size(self, name: str) -> int:
+        """Bytes of a file or of all that lies in a folder; none where there is nothing."""
+        path = self.path(name)
+        return self.system.getContentSummary(path).getLength() if self.system.exists(path) else 0
+
     def read(self, name: str) -> str:
         stream = self.system.open(self.path(name))
         try:
