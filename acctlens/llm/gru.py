@@ -6,8 +6,6 @@ class given the state, times that of the id among its class given the state.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 
 EMBED, HIDDEN = 16, 24
@@ -54,48 +52,87 @@ def initial(counts: np.ndarray) -> np.ndarray:
 def steps(p: dict[str, np.ndarray], ids: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
     """States after each step (steps x texts x HIDDEN), and what backpropagation needs, likewise:
     states before, both gates, the candidate and what the reset gate lets through of it."""
-    gates = (p["embed"] @ p["wx"] + p["b"])[ids]
-    states, inner = np.empty((len(ids) + 1, *state.shape), np.float32), np.empty((len(ids), *state.shape), np.float32)
+    kind, (n_steps, n_texts) = p["wh"].dtype, ids.shape
+    # By gate first, so that each gate of a step is one run of memory. The logistic function of x is (1 + tanh(x / 2)) / 2.
+    half = np.repeat(np.array([0.5, 0.5, 1], kind), HIDDEN)
+    wh = np.ascontiguousarray((p["wh"] * half).reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2))
+    if ids.size < IDS:
+        table = p["embed"][ids.ravel()] @ (p["wx"] * half) + p["b"] * half
+    else:
+        table = (p["embed"] @ (p["wx"] * half) + p["b"] * half)[ids.ravel()]
+    gates = np.ascontiguousarray(table.reshape(n_steps, n_texts, 3, HIDDEN).transpose(0, 2, 1, 3))
+    states, from_h = np.empty((n_steps + 1, n_texts, HIDDEN), kind), np.empty_like(gates)
     states[0] = state
-    for t in range(len(ids)):
-        h, rz, n = states[t], gates[t, :, : 2 * HIDDEN], gates[t, :, 2 * HIDDEN :]
-        from_h = h @ p["wh"]
-        rz += from_h[:, : 2 * HIDDEN]
-        # The logistic function, in place.
-        np.negative(rz, out=rz)
-        np.exp(rz, out=rz)
+    some = np.empty((n_texts, HIDDEN), kind)
+    for t in range(n_steps):
+        h, now, own = states[t], gates[t], from_h[t]
+        np.matmul(h, wh, out=own)
+        rz, n = now[:2], now[2]
+        rz += own[:2]
+        np.tanh(rz, out=rz)
         rz += 1
-        np.reciprocal(rz, out=rz)
-        inner[t] = from_h[:, 2 * HIDDEN :]
-        n += rz[:, :HIDDEN] * inner[t]
+        rz *= 0.5
+        np.multiply(rz[0], own[2], out=some)
+        n += some
         np.tanh(n, out=n)
-        states[t + 1] = n + rz[:, HIDDEN:] * (h - n)
-    return states[1:], (states[:-1], gates[:, :, :HIDDEN], gates[:, :, HIDDEN : 2 * HIDDEN], gates[:, :, 2 * HIDDEN :], inner)
+        np.subtract(h, n, out=some)
+        some *= rz[1]
+        np.add(n, some, out=states[t + 1])
+    return states[1:], (states[:-1], gates[:, 0], gates[:, 1], gates[:, 2], from_h[:, 2])
+
+
+def _picked(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The log softmax of each row of x at its target. Overwrites x."""
+    x -= x.max(axis=1, keepdims=True)
+    own = x[np.arange(len(target)), target]
+    np.exp(x, out=x)
+    return own - np.log(x.sum(axis=1))
+
+
+def _less_target(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The softmax of each row of x, less one at its target: the loss's gradient. Overwrites x."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    x[np.arange(len(target)), target] -= 1
+    return x
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+class _Blocks:
+    """Targets in blocks of ROWS of one class, so that the ids of all classes are worked out in a few calls.
 
+    ``place`` is each target's row among the rows of all blocks, ``classes`` each block's class, and
+    ``first`` the first block of each class that occurs.
+    """
+
+    ROWS = 16
+
+    def __init__(self, target: np.ndarray):
+        own = target // CLASS_SIZE
+        n = np.bincount(own, minlength=CLASSES)
+        many = -(-n // self.ROWS)
+        self.seen = np.flatnonzero(n)
+        self.classes = np.repeat(np.arange(CLASSES), many)
+        before = np.cumsum(many) - many
+        self.first = before[self.seen]
+        order = np.argsort(own.astype(np.uint8), kind="stable")
+        self.place = np.empty(len(target), np.int64)
+        self.place[order] = np.arange(len(target)) + np.repeat(before * self.ROWS - (np.cumsum(n) - n), n)
 
-def _by_class(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Classes and the places whose target lies in them."""
-    classes = target // CLASS_SIZE
-    order = np.argsort(classes, kind="stable")
-    edges = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if edges[c] < edges[c + 1]:
-            yield c, order[edges[c] : edges[c + 1]]
+    def dealt(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.classes) * self.ROWS, rows.shape[1]), rows.dtype)
+        out[self.place] = rows
+        return out.reshape(len(self.classes), self.ROWS, -1)
 
 
 def log_chances(p: dict[str, np.ndarray], states: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log of the chance of each target after its state."""
-    out = _log_softmax(states @ p["wc"] + p["bc"])[np.arange(len(target)), target // CLASS_SIZE]
-    for c, at in _by_class(target):
-        own = slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE)
-        among = _log_softmax(states[at] @ p["wo"][own].T + p["bo"][own])
-        out[at] += among[np.arange(len(at)), target[at] - c * CLASS_SIZE]
-    return out
+    out = _picked(states @ p["wc"] + p["bc"], target // CLASS_SIZE)
+    blocks = _Blocks(target)
+    wo, bo = p["wo"].reshape(CLASSES, CLASS_SIZE, HIDDEN)[blocks.classes], p["bo"].reshape(CLASSES, 1, CLASS_SIZE)[blocks.classes]
+    among = blocks.dealt(states) @ wo.transpose(0, 2, 1)
+    among += bo
+    return out + _picked(among.reshape(-1, CLASS_SIZE)[blocks.place], target % CLASS_SIZE)
 
 
 def gradient(flat: np.ndarray, ids: np.ndarray, target: np.ndarray, mask: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,42 +142,54 @@ def gradient(flat: np.ndarray, ids: np.ndarray, target: np.ndarray, mask: np.nda
     states, kept = steps(p, ids, state)
     live = np.flatnonzero(mask.ravel())
     h, want = states.reshape(-1, HIDDEN)[live], target.ravel()[live]
-    back = np.zeros((mask.size, HIDDEN), np.float32)
     scale = np.float32(1 / max(1, len(live)))
-    delta = np.exp(_log_softmax(h @ p["wc"] + p["bc"]))
-    delta[np.arange(len(want)), want // CLASS_SIZE] -= 1
+    delta = _less_target(h @ p["wc"] + p["bc"], want // CLASS_SIZE)
     delta *= scale
     g["wc"][:], g["bc"][:] = h.T @ delta, delta.sum(axis=0)
     back_live = delta @ p["wc"].T
-    for c, at in _by_class(want):
-        own = slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE)
-        delta = np.exp(_log_softmax(h[at] @ p["wo"][own].T + p["bo"][own]))
-        delta[np.arange(len(at)), want[at] - c * CLASS_SIZE] -= 1
-        delta *= scale
-        g["wo"][own], g["bo"][own] = delta.T @ h[at], delta.sum(axis=0)
-        back_live[at] += delta @ p["wo"][own]
+    blocks = _Blocks(want)
+    by_class, wo = blocks.dealt(h), p["wo"].reshape(CLASSES, CLASS_SIZE, HIDDEN)[blocks.classes]
+    among = by_class @ wo.transpose(0, 2, 1)
+    among += p["bo"].reshape(CLASSES, 1, CLASS_SIZE)[blocks.classes]
+    delta = _less_target(among.reshape(-1, CLASS_SIZE)[blocks.place], want % CLASS_SIZE)
+    delta *= scale
+    delta = blocks.dealt(delta)
+    if len(live):
+        g["wo"].reshape(CLASSES, CLASS_SIZE, HIDDEN)[blocks.seen] = np.add.reduceat(delta.transpose(0, 2, 1) @ by_class, blocks.first)
+        g["bo"].reshape(CLASSES, CLASS_SIZE)[blocks.seen] = np.add.reduceat(delta.sum(axis=1), blocks.first)
+    back_live += (delta @ wo).reshape(-1, HIDDEN)[blocks.place]
+    back = np.zeros((mask.size, HIDDEN), flat.dtype)
     back[live] = back_live
     back = back.reshape(states.shape)
     before, r, z, n, inner = kept
-    # What a step's loss passes on to the gates' inputs, per unit that it passes to its state.
-    to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), inner * r * (1 - r)
-    into, wh = np.zeros_like(state), np.ascontiguousarray(p["wh"].T)
-    inputs = np.empty((*ids.shape, 3 * HIDDEN), np.float32)
-    hidden = np.empty_like(inputs)
+    # What a step's loss passes on to the gates' inputs from the state, per unit that it passes to its state.
+    passed = np.empty((len(ids), 3, *state.shape), flat.dtype)
+    to_n = (1 - z) * (1 - n * n)
+    np.multiply(to_n, r, out=passed[:, 2])
+    np.multiply(passed[:, 2], inner * (1 - r), out=passed[:, 0])
+    np.multiply(before - n, z * (1 - z), out=passed[:, 1])
+    wh = np.ascontiguousarray(p["wh"].reshape(HIDDEN, 3, HIDDEN).transpose(1, 2, 0))
+    into, from_each = np.zeros_like(state, flat.dtype), np.empty((3, *state.shape), flat.dtype)
     for t in range(len(ids) - 1, -1, -1):
-        into += back[t]
-        own, x = hidden[t], inputs[t]
-        np.multiply(into, to_n[t], out=x[:, 2 * HIDDEN :])
-        np.multiply(into, to_z[t], out=x[:, HIDDEN : 2 * HIDDEN])
-        np.multiply(x[:, 2 * HIDDEN :], to_r[t], out=x[:, :HIDDEN])
-        own[:, : 2 * HIDDEN] = x[:, : 2 * HIDDEN]
-        np.multiply(x[:, 2 * HIDDEN :], r[t], out=own[:, 2 * HIDDEN :])
-        into = into * z[t] + own @ wh
-    inputs = inputs.reshape(-1, 3 * HIDDEN)
-    g["wh"][:] = before.reshape(-1, HIDDEN).T @ hidden.reshape(-1, 3 * HIDDEN)
+        now, own = back[t], passed[t]
+        now += into
+        own *= now
+        np.matmul(own, wh, out=from_each)
+        np.multiply(now, z[t], out=into)
+        for each in from_each:
+            into += each
+    to_n *= back
+    by_gate = before.reshape(-1, HIDDEN).T
+    for k in range(3):
+        g["wh"][:, k * HIDDEN : (k + 1) * HIDDEN] = by_gate @ passed[:, k].reshape(-1, HIDDEN)
+    # The candidate's own input does not pass the reset gate.
+    passed[:, 2] = to_n
+    inputs = np.ascontiguousarray(passed.transpose(0, 2, 1, 3)).reshape(-1, 3 * HIDDEN)
     g["b"][:] = inputs.sum(axis=0)
-    order = np.argsort(ids.ravel(), kind="stable")
-    used, first = np.unique(ids.ravel()[order], return_index=True)
+    order = np.argsort(ids.ravel().astype(np.uint16), kind="stable")
+    sorted_ids = ids.ravel()[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
+    used = sorted_ids[first]
     summed = np.add.reduceat(inputs[order], first, axis=0)
     g["wx"][:] = p["embed"][used].T @ summed
     g["embed"][used] = summed @ p["wx"].T
